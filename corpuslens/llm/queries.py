@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .cooccurrence import tag_pairs
+from .names import resolve_names, variant_pairs
 from .repeated_lines import repeated_lines, without_repeated_lines
 from .survivors import merged_records, survivors
 from .tokenizing import token_ids
@@ -28,6 +29,19 @@ def p2_scores(spark, folder):
     return d.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n", "a", "b", "c", *[F.round(x, 6).alias(x) for x in ("lift", "conviction_ab", "conviction_ba")])
 
 
+def p3_found(spark, folder):
+    """Pairs of spellings of one person or organisation."""
+    return variant_pairs(table(spark, folder, "articles"), "author").select(F.col("a").alias("author_a"), F.col("b").alias("author_b"))
+
+
+def p3_entities(spark, folder):
+    """Every spelling with the most frequent spelling of its entity."""
+    articles = table(spark, folder, "articles")
+    e = resolve_names(articles, "author").join(articles.groupBy(F.col("author").alias("spelling")).agg(F.count("*").alias("n")), "spelling")
+    best = e.groupBy("entity").agg(F.min_by("spelling", F.struct(-F.col("n"), F.col("spelling"))).alias("name"))
+    return e.join(best, "entity").select("spelling", "name", "n")
+
+
 def p5_found(spark, folder):
     return repeated_lines(_documents_of_articles(spark, folder))
 
@@ -68,7 +82,7 @@ f AS (SELECT x.source, line FROM x JOIN n USING (source) WHERE line <> '' GROUP
 """
 _FIELDS = ("title", "author", "summary", "full_text", "published_date", "language")
 
-QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids}
 SQL = {
     "p2_found": _TAGS + "SELECT tag_a, tag_b FROM s WHERE c * n >= 4 * a * b",
     "p2_scores": _TAGS + "SELECT tag_a, tag_b, n, a, b, c, round(c * n / (a * b), 6) AS lift, round(CASE WHEN c < a THEN (1 - b / n) / (1 - c / a) END, 6) AS conviction_ab, round(CASE WHEN c < b THEN (1 - a / n) / (1 - c / b) END, 6) AS conviction_ba FROM s",
