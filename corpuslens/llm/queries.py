@@ -8,6 +8,7 @@ from ..session import table
 from .cooccurrence import tag_pairs
 from .names import resolve_names, variant_pairs
 from .repeated_lines import repeated_lines, without_repeated_lines
+from .residue import residue_documents, without_residue
 from .survivors import merged_records, survivors
 from .tokenizing import token_ids
 
@@ -64,6 +65,21 @@ def p8_ids(spark, folder):
     return token_ids(table(spark, folder, "documents"))
 
 
+def p10_found(spark, folder):
+    return residue_documents(table(spark, folder, "documents")).select("doc_id")
+
+
+def p10_kinds(spark, folder):
+    """Documents by kind of residue."""
+    d = residue_documents(table(spark, folder, "documents"))
+    return d.select("doc_id", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n_docs"))
+
+
+def p10_clean(spark, folder):
+    """The documents kept."""
+    return without_residue(table(spark, folder, "documents")).select("doc_id", "source", "n_chars")
+
+
 _TAGS = r"""
 WITH t AS (SELECT DISTINCT article_id, regexp_replace(lower(tag), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS tag FROM article_tags WHERE article_id IS NOT NULL AND tag IS NOT NULL),
 p AS (SELECT * FROM t WHERE tag <> ''), n AS (SELECT count(DISTINCT article_id) AS n FROM p), f AS (SELECT tag, count(*) AS k FROM p GROUP BY tag),
@@ -82,7 +98,7 @@ f AS (SELECT x.source, line FROM x JOIN n USING (source) WHERE line <> '' GROUP
 """
 _FIELDS = ("title", "author", "summary", "full_text", "published_date", "language")
 
-QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
 SQL = {
     "p2_found": _TAGS + "SELECT tag_a, tag_b FROM s WHERE c * n >= 4 * a * b",
     "p2_scores": _TAGS + "SELECT tag_a, tag_b, n, a, b, c, round(c * n / (a * b), 6) AS lift, round(CASE WHEN c < a THEN (1 - b / n) / (1 - c / a) END, 6) AS conviction_ab, round(CASE WHEN c < b THEN (1 - a / n) / (1 - c / b) END, 6) AS conviction_ba FROM s",
