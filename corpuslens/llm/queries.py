@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .cooccurrence import tag_pairs
+from .main_content import main_content
 from .names import resolve_names, variant_pairs
 from .repeated_lines import repeated_lines, without_repeated_lines
 from .residue import residue_documents, without_residue
@@ -52,6 +53,17 @@ def p5_clean(spark, folder):
     return without_repeated_lines(_documents_of_articles(spark, folder))
 
 
+def p6_found(spark, folder):
+    """Numbers of the lines that are not the article's own text."""
+    d = main_content(table(spark, folder, "articles"))
+    return d.select(F.col("id").alias("article_id"), "field", F.explode("page_lines").alias("line_no")).distinct()
+
+
+def p6_texts(spark, folder):
+    """Each field's own text."""
+    return main_content(table(spark, folder, "articles")).select(F.col("id").alias("article_id"), "field", "text")
+
+
 def p7_found(spark, folder):
     return survivors(table(spark, folder, "articles"), table(spark, folder, "feeds"))
 
@@ -98,7 +110,7 @@ f AS (SELECT x.source, line FROM x JOIN n USING (source) WHERE line <> '' GROUP
 """
 _FIELDS = ("title", "author", "summary", "full_text", "published_date", "language")
 
-QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
+QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
 SQL = {
     "p2_found": _TAGS + "SELECT tag_a, tag_b FROM s WHERE c * n >= 4 * a * b",
     "p2_scores": _TAGS + "SELECT tag_a, tag_b, n, a, b, c, round(c * n / (a * b), 6) AS lift, round(CASE WHEN c < a THEN (1 - b / n) / (1 - c / a) END, 6) AS conviction_ab, round(CASE WHEN c < b THEN (1 - a / n) / (1 - c / b) END, 6) AS conviction_ba FROM s",
