@@ -12,12 +12,23 @@ from .repeated_lines import repeated_lines, without_repeated_lines
 from .residue import residue_documents, without_residue
 from .survivors import merged_records, survivors
 from .tokenizing import token_ids
+from .truncation import truncated_fields, truncation_rates
 
 
 def _documents_of_articles(spark, folder):
     return table(spark, folder, "articles").select("id", "source", F.col("full_text").alias("text"))
 
 
+def p1_found(spark, folder):
+    """Fields whose own text was broken off."""
+    return truncated_fields(table(spark, folder, "articles")).where("truncated").select(F.col("id").alias("article_id"), "field").distinct()
+
+
+def p1_rates(spark, folder):
+    """Truncated texts by source and field."""
+    return truncation_rates(table(spark, folder, "articles"))
+
+
 def p2_found(spark, folder):
     """Tags that stand together at least four times as often as by chance."""
     d = tag_pairs(table(spark, folder, "article_tags"))
@@ -110,7 +121,7 @@ f AS (SELECT x.source, line FROM x JOIN n USING (source) WHERE line <> '' GROUP
 """
 _FIELDS = ("title", "author", "summary", "full_text", "published_date", "language")
 
-QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
 SQL = {
     "p2_found": _TAGS + "SELECT tag_a, tag_b FROM s WHERE c * n >= 4 * a * b",
     "p2_scores": _TAGS + "SELECT tag_a, tag_b, n, a, b, c, round(c * n / (a * b), 6) AS lift, round(CASE WHEN c < a THEN (1 - b / n) / (1 - c / a) END, 6) AS conviction_ab, round(CASE WHEN c < b THEN (1 - a / n) / (1 - c / b) END, 6) AS conviction_ba FROM s",
