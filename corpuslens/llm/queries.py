@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .cooccurrence import tag_pairs
 from .main_content import main_content
+from .mixing import mixture, shares
 from .names import resolve_names, variant_pairs
 from .repeated_lines import repeated_lines, without_repeated_lines
 from .residue import residue_documents, without_residue
@@ -88,6 +89,16 @@ def p8_ids(spark, folder):
     return token_ids(table(spark, folder, "documents"))
 
 
+def p9_mix(spark, folder):
+    """The mix: shards of token blocks at the target shares."""
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark, folder):
+    """The shares reached."""
+    return shares(*mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
+
+
 def p10_found(spark, folder):
     return residue_documents(table(spark, folder, "documents")).select("doc_id")
 
@@ -121,7 +132,7 @@ f AS (SELECT x.source, line FROM x JOIN n USING (source) WHERE line <> '' GROUP
 """
 _FIELDS = ("title", "author", "summary", "full_text", "published_date", "language")
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p3_entities": p3_entities, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_kinds": p10_kinds, "p10_clean": p10_clean}
 SQL = {
     "p2_found": _TAGS + "SELECT tag_a, tag_b FROM s WHERE c * n >= 4 * a * b",
     "p2_scores": _TAGS + "SELECT tag_a, tag_b, n, a, b, c, round(c * n / (a * b), 6) AS lift, round(CASE WHEN c < a THEN (1 - b / n) / (1 - c / a) END, 6) AS conviction_ab, round(CASE WHEN c < b THEN (1 - a / n) / (1 - c / b) END, 6) AS conviction_ba FROM s",
