@@ -48,6 +48,8 @@ _ITEMS = frozenset(x for line in MENU.split("\n") for x in line.split("|"))
 _WORDS = max(len(x.split()) for x in _ITEMS)
 _PAGE = re.compile(r"(?i)^(?:" + "|".join(PAGE_LINES) + r")$")
 _CONSENT, _LISTS, _REFERENCE = re.compile(CONSENT), re.compile(LISTS), re.compile(REFERENCE)
+#: Without any of these a longer line that ends like a sentence is running text.
+_MAYBE = re.compile(r"(?i)cookie|willig|privat|datenschutz|zustimm|speichern|consent|partner|privacy|traceurs|vie privée|abonn|subscri|newsletter|inbox|letter|lettre|vorbehalten|reserved|réservés|redaktion|rédaction|jetzt|folgen|follow|suivez|quelle|ressort|angebot|erschien|publi|gefällt|support|soutenez|meinung|kommentar|comment|lesen|lire|read|see also|siehe|mehr|related|teilen|share|\+\+\+|©|copyright|bild|foto|aktuali|updated|mis à jour|hier|here|›|>|\|")
 _BREAKS = re.compile(r"\s*[|•·›»/–]\s*|\t+|\s{2,}")
 _END = re.compile(r"[.!?…:;,]\s*$")
 
@@ -68,9 +70,13 @@ def menu_share(raw: str) -> float:
 
 def link_density(raw: str, line: str, cache: dict) -> float:
     """How far a line belongs to the page: 0 for running text, 1 for menus, notices and references."""
+    if len(line) > 400:
+        return 0.0
     if (d := cache.get(line)) is None:
         d = 0.0
-        if len(line) <= 400 and _PAGE.match(line) or len(line) <= 200 and _CONSENT.search(line) or _LISTS.match(line) or len(line) <= 200 and _REFERENCE.match(line):
+        if len(line) >= 60 and line[-1] in ".!?“”…)" and not _MAYBE.search(line):
+            pass
+        elif len(line) <= 400 and _PAGE.match(line) or len(line) <= 200 and _CONSENT.search(line) or _LISTS.match(line) or len(line) <= 200 and _REFERENCE.match(line):
             d = 1.0
         elif len(line) <= 300:
             d = menu_share(raw)

@@ -15,18 +15,21 @@ BARE_SHARE = 0.25
 #: What ends a text with a full stop is cut (an abbreviation, an ordinal) if it stands inside lines at least so often and at ends in at most this share.
 STOP_LEAST, STOP_SHARE = 20, 0.02
 
-#: Lines of each text as token rows: the three words, what follows, whether the line is the text's last.
+#: Word trigrams (the third word, and what stands before it in its line) with their place: 0 inside a line, 1 at its end, 2 at the text's end.
 _TOKENS = r"""
 WITH lines AS (SELECT pos, n, split(line, ' ') AS t FROM (SELECT size(l) AS n, posexplode(l) AS (pos, line) FROM (
   SELECT filter(transform(split(text, '\n'), x -> regexp_replace(regexp_replace(trim(regexp_replace(x, '[\\s\\p{{Z}}]+', ' ')), '\\s*(\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), '\\d+', '0')), x -> x <> '') AS l FROM {texts}))),
-cells AS (SELECT pos = n - 1 AS final, inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t, concat(slice(t, 2, size(t)), array('$')))) AS (a, b, c, d) FROM lines),
-words AS (SELECT final, a, b, c, d, rtrim('.,;:!?…"”“»«', c) AS bare, c RLIKE '[.!?]["”“»)]*$' AS stop FROM cells WHERE c IS NOT NULL),
+cells AS (SELECT pos = n - 1 AS final, inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t, concat(slice(t, 2, size(t)), array('$')))) AS (a, b, c, d) FROM lines)
+SELECT a, b, c, CASE WHEN d <> '$' THEN 0 WHEN final THEN 2 ELSE 1 END AS place, count(*) AS n FROM cells WHERE c IS NOT NULL GROUP BY ALL
+"""
+#: Occurrences inside texts and at ends of each kind of gram, from the counted trigrams.
+_GRAMS = r"""
+WITH words AS (SELECT *, rtrim('.,;:!?…"”“»«', c) AS bare, c RLIKE '[.!?]["”“»)]*$' AS stop FROM {trigrams}),
 seen AS (
-  SELECT 'B3' AS kind, xxhash64(a, b, if(bare = '', c, bare)) AS gram,
-    CASE WHEN d = '$' AND final AND (bare = c OR bare = '') THEN -1 WHEN d = '$' AND NOT stop THEN 0 ELSE 1 END AS inside FROM words
-  UNION ALL SELECT 'P2', xxhash64(a, b), 1 FROM words WHERE a RLIKE '^\\p{{Lu}}\\p{{Ll}}' AND b RLIKE '^\\p{{Lu}}\\p{{Ll}}'
-  UNION ALL SELECT stack(2, 'E3', xxhash64(a, b, c), 'E1', xxhash64(c)) AS (kind, gram), if(d = '$', -1, 1) AS inside FROM words WHERE stop)
-SELECT kind, gram, sum(if(inside = 1, 1, 0)) AS n_inside, sum(if(inside = -1, 1, 0)) AS n_end FROM seen WHERE inside <> 0 GROUP BY kind, gram
+  SELECT 'B3' AS kind, xxhash64(a, b, if(bare = '', c, bare)) AS gram, n, CASE WHEN place = 2 AND (bare = c OR bare = '') THEN -1 WHEN place > 0 AND NOT stop THEN 0 ELSE 1 END AS inside FROM words
+  UNION ALL SELECT 'P2', xxhash64(a, b), n, 1 FROM words WHERE a RLIKE '^\\p{{Lu}}\\p{{Ll}}' AND b RLIKE '^\\p{{Lu}}\\p{{Ll}}'
+  UNION ALL SELECT stack(2, 'E3', xxhash64(a, b, c), 'E1', xxhash64(c)) AS (kind, gram), n, if(place > 0, -1, 1) AS inside FROM words WHERE stop)
+SELECT kind, gram, sum(if(inside = 1, n, 0)) AS n_inside, sum(if(inside = -1, n, 0)) AS n_end FROM seen WHERE inside <> 0 GROUP BY kind, gram
 """
 #: The last words of each text without marks of omission and broken mark-up.
 _ENDS = r"""
@@ -76,7 +79,7 @@ def truncated_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text"
     own = main_content(articles, fields, key).withColumnRenamed(key, "id").select("id", "source", "field", "text")
     own = cut(own)
     titles = articles.select(F.col(key).alias("id"), "title").dropDuplicates(["id"])
-    counts = cut(spark.sql(_TOKENS, texts=own))
+    counts = cut(spark.sql(_GRAMS, trigrams=cut(spark.sql(_TOKENS, texts=own))))
     ends = spark.sql(_ENDS, texts=own.join(titles, "id", "left"))
     return spark.sql(_JUDGED, ends=ends, counts=counts).withColumnRenamed("id", key)
 
