@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "timestamps")
+MODULES = ("relational", "search", "text", "timestamps")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
