@@ -16,7 +16,9 @@ def clean_line(line: Column) -> Column:
 
 
 def line_array(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), clean_line)
+    """The cleaned lines of a text, blank ones too; equal to ``clean_line`` of each, but in one pass over the text."""
+    runs = F.regexp_replace(text, r"[\s\p{Z}\x{feff}&&[^\n]]+", " ")
+    return F.split(F.trim(runs), " ?\n ?")
 
 
 @dataclass

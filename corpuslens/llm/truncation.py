@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from .main_content import main_content
 
 #: A trigram seen less often elsewhere is too rare to judge by; an end without a full stop is then a cut.
@@ -15,21 +15,16 @@ BARE_SHARE = 0.25
 #: What ends a text with a full stop is cut (an abbreviation, an ordinal) if it stands inside lines at least so often and at ends in at most this share.
 STOP_LEAST, STOP_SHARE = 20, 0.02
 
-#: Word trigrams (the third word, and what stands before it in its line) with their place: 0 inside a line, 1 at its end, 2 at the text's end.
-_TOKENS = r"""
-WITH lines AS (SELECT pos, n, split(line, ' ') AS t FROM (SELECT size(l) AS n, posexplode(l) AS (pos, line) FROM (
-  SELECT filter(transform(split(text, '\n'), x -> regexp_replace(regexp_replace(trim(regexp_replace(x, '[\\s\\p{{Z}}]+', ' ')), '\\s*(\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), '\\d+', '0')), x -> x <> '') AS l FROM {texts}))),
-cells AS (SELECT pos = n - 1 AS final, inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t, concat(slice(t, 2, size(t)), array('$')))) AS (a, b, c, d) FROM lines)
-SELECT a, b, c, CASE WHEN d <> '$' THEN 0 WHEN final THEN 2 ELSE 1 END AS place, count(*) AS n FROM cells WHERE c IS NOT NULL GROUP BY ALL
-"""
-#: Occurrences inside texts and at ends of each kind of gram, from the counted trigrams.
+#: Grams with their occurrences inside texts and at ends, in one pass over the words. Each is a hash of its kind and words:
+#: B three words, the last without punctuation (an end: the text's last words, bare); E three words or one with a full stop (an end: of a line).
 _GRAMS = r"""
-WITH words AS (SELECT *, rtrim('.,;:!?…"”“»«', c) AS bare, c RLIKE '[.!?]["”“»)]*$' AS stop FROM {trigrams}),
-seen AS (
-  SELECT 'B3' AS kind, xxhash64(a, b, if(bare = '', c, bare)) AS gram, n, CASE WHEN place = 2 AND (bare = c OR bare = '') THEN -1 WHEN place > 0 AND NOT stop THEN 0 ELSE 1 END AS inside FROM words
-  UNION ALL SELECT 'P2', xxhash64(a, b), n, 1 FROM words WHERE a RLIKE '^\\p{{Lu}}\\p{{Ll}}' AND b RLIKE '^\\p{{Lu}}\\p{{Ll}}'
-  UNION ALL SELECT stack(2, 'E3', xxhash64(a, b, c), 'E1', xxhash64(c)) AS (kind, gram), n, if(place > 0, -1, 1) AS inside FROM words WHERE stop)
-SELECT kind, gram, sum(if(inside = 1, n, 0)) AS n_inside, sum(if(inside = -1, n, 0)) AS n_end FROM seen WHERE inside <> 0 GROUP BY kind, gram
+WITH lines AS (SELECT pos = n - 1 AS final, split(line, ' ') AS t FROM (SELECT size(l) AS n, posexplode(l) AS (pos, line) FROM (
+  SELECT filter(split(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\s\\p{{Z}}&&[^\\n]]+', ' '), ' ?(\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}}) ?(?=\n|$)', ''), '\\d+', '0')), ' ?\n ?'), x -> x <> '') AS l FROM {texts}))),
+cells AS (SELECT final, inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t, concat(slice(t, 2, size(t)), array('$')))) AS (a, b, c, d) FROM lines),
+words AS (SELECT a, b, c, d = '$' AS ends, final, rtrim('.,;:!?…"”“»«', c) AS bare, substring(rtrim('"”“»)', c), -1, 1) IN ('.', '!', '?') AS stop FROM cells WHERE c IS NOT NULL),
+seen AS (SELECT stack(3, xxhash64('B', a, b, if(bare = '', c, bare)), CASE WHEN ends AND final AND (bare = c OR bare = '') THEN -1 WHEN ends AND NOT stop THEN 0 ELSE 1 END,
+  xxhash64('E', a, b, c), CASE WHEN NOT stop THEN 0 WHEN ends THEN -1 ELSE 1 END, xxhash64('E', c), CASE WHEN NOT stop THEN 0 WHEN ends THEN -1 ELSE 1 END) AS (gram, inside) FROM words)
+SELECT gram, sum(if(inside = 1, 1, 0)) AS n_inside, sum(if(inside = -1, 1, 0)) AS n_end FROM seen WHERE inside <> 0 GROUP BY gram
 """
 #: The last words of each text without marks of omission and broken mark-up.
 _ENDS = r"""
@@ -37,23 +32,22 @@ WITH last AS (SELECT id, source, field, title, text, trim(element_at(filter(tran
 marked AS (SELECT id, source, field, line, title, line RLIKE '(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*)$' AS broken, line RLIKE '(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$' AS omitted FROM last),
 plain AS (SELECT *, split(regexp_replace(regexp_replace(line, '\\s*(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*|\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), '\\d+', '0'), ' ') AS t FROM marked)
 SELECT id, source, field, line, broken, omitted, line = trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS is_title, try_element_at(t, -1) AS c,
-  xxhash64(coalesce(try_element_at(t, -3), '^'), coalesce(try_element_at(t, -2), '^'), if(rtrim('.,;:!?…"”“»«', try_element_at(t, -1)) = '', try_element_at(t, -1), rtrim('.,;:!?…"”“»«', try_element_at(t, -1)))) AS b3,
-  xxhash64(coalesce(try_element_at(t, -4), '^'), coalesce(try_element_at(t, -3), '^'), rtrim('.,;:!?…"”“»«', coalesce(try_element_at(t, -2), '^'))) AS before, xxhash64(coalesce(try_element_at(t, -2), '^'), try_element_at(t, -1)) AS q2,
-  xxhash64(coalesce(try_element_at(t, -3), '^'), coalesce(try_element_at(t, -2), '^'), try_element_at(t, -1)) AS e3, xxhash64(try_element_at(t, -1)) AS e1
+  xxhash64('B', coalesce(try_element_at(t, -3), '^'), coalesce(try_element_at(t, -2), '^'), if(rtrim('.,;:!?…"”“»«', try_element_at(t, -1)) = '', try_element_at(t, -1), rtrim('.,;:!?…"”“»«', try_element_at(t, -1)))) AS b3,
+  xxhash64('B', coalesce(try_element_at(t, -4), '^'), coalesce(try_element_at(t, -3), '^'), rtrim('.,;:!?…"”“»«', coalesce(try_element_at(t, -2), '^'))) AS before,
+  xxhash64('E', coalesce(try_element_at(t, -3), '^'), coalesce(try_element_at(t, -2), '^'), try_element_at(t, -1)) AS e3, xxhash64('E', try_element_at(t, -1)) AS e1
 FROM plain
 """
 _JUDGED = f"""
 WITH judged AS (
-  SELECT e.*, c RLIKE '[.!?]["”“»)]*$' AS stop, coalesce(b3.n_inside, 0) AS b3_in, greatest(coalesce(b3.n_end, 0) - 1, 0) AS b3_end, coalesce(p3.n_inside, 0) AS before_in, coalesce(q2.n_inside, 0) AS q2_in,
+  SELECT e.*, c RLIKE '[.!?]["”“»)]*$' AS stop, coalesce(b3.n_inside, 0) AS b3_in, greatest(coalesce(b3.n_end, 0) - 1, 0) AS b3_end, coalesce(p3.n_inside, 0) AS before_in,
     coalesce(e3.n_inside, 0) AS e3_in, coalesce(e3.n_end, 0) AS e3_end, coalesce(e1.n_inside, 0) AS e1_in, coalesce(e1.n_end, 0) AS e1_end
-  FROM {{ends}} e LEFT JOIN {{counts}} b3 ON b3.kind = 'B3' AND b3.gram = e.b3 LEFT JOIN {{counts}} p3 ON p3.kind = 'B3' AND p3.gram = e.before LEFT JOIN {{counts}} q2 ON q2.kind = 'P2' AND q2.gram = e.q2
-    LEFT JOIN {{counts}} e3 ON e3.kind = 'E3' AND e3.gram = e.e3 LEFT JOIN {{counts}} e1 ON e1.kind = 'E1' AND e1.gram = e.e1)
+  FROM {{ends}} e LEFT JOIN {{counts}} b3 ON b3.gram = e.b3 LEFT JOIN {{counts}} p3 ON p3.gram = e.before LEFT JOIN {{counts}} e3 ON e3.gram = e.e3 LEFT JOIN {{counts}} e1 ON e1.gram = e.e1)
 SELECT id, source, field, CASE
   WHEN broken THEN true WHEN c IS NULL OR c = '' THEN false WHEN is_title THEN false
   WHEN stop AND c RLIKE '[!?]' THEN false
   WHEN stop AND e3_in + e3_end >= {STOP_LEAST} THEN e3_end <= {STOP_SHARE} * (e3_in + e3_end)
   WHEN stop THEN e1_in + e1_end >= {STOP_LEAST} AND e1_end <= {STOP_SHARE} * (e1_in + e1_end)
-  WHEN NOT omitted AND line RLIKE '^\\\\p{{{{L}}}}{{{{2,12}}}}: \\\\p{{{{Lu}}}}' AND q2_in >= {LEAST} AND line RLIKE ', \\\\p{{{{Lu}}}}[^ ,]* \\\\p{{{{Lu}}}}[^ ,]*$' THEN false
+  WHEN NOT omitted AND line RLIKE '^\\\\p{{{{L}}}}{{{{2,12}}}}: \\\\p{{{{Lu}}}}' AND line RLIKE ', \\\\p{{{{Lu}}}}[^ ,]* \\\\p{{{{Lu}}}}[^ ,]*$' THEN false
   WHEN NOT omitted AND c RLIKE '[)]$' THEN false
   WHEN b3_in = 0 AND b3_end >= {LEAST} THEN before_in > 2 * (b3_end + 1)
   WHEN b3_in + b3_end >= {LEAST} THEN b3_end <= {BARE_SHARE} * (b3_in + b3_end)
@@ -77,9 +71,9 @@ def truncated_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text"
     """
     spark = articles.sparkSession
     own = main_content(articles, fields, key).withColumnRenamed(key, "id").select("id", "source", "field", "text")
-    own = cut(own)
+    own = written(own)
     titles = articles.select(F.col(key).alias("id"), "title").dropDuplicates(["id"])
-    counts = cut(spark.sql(_GRAMS, trigrams=cut(spark.sql(_TOKENS, texts=own))))
+    counts = cut(spark.sql(_GRAMS, texts=own))
     ends = spark.sql(_ENDS, texts=own.join(titles, "id", "left"))
     return spark.sql(_JUDGED, ends=ends, counts=counts).withColumnRenamed("id", key)
 
