@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "search", "enrichment", "text", "timestamps")
+MODULES = ("relational", "search", "enrichment", "pipeline", "text", "timestamps")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
