@@ -93,16 +93,14 @@ def test_german_words():
     assert german.stem("Premieren").startswith("premier")
 
 
-@pytest.mark.parametrize(
-    ("expression", "want"),
-    [
+def test_text_functions(spark):
+    cases = [
         (T.fold(F.lit("Müller über Lärm Straße")), "mueller ueber laerm strasse"), (T.reading_minutes(F.lit(200)), 1), (T.reading_minutes(F.lit(0)), 1), (F.size(T.sentences(F.lit("Erster Satz. Zweiter Satz! Dritter Satz?"))), 3), (T.normal_url(F.lit("https://X.de/a/?b=2&utm_source=q&a=1#z")), "https://x.de/a?a=1&b=2"),
         (T.normal_url(F.lit("not-a-url")), "not-a-url"), (T.host(F.lit("https://www.x.de:80/a")), "x.de"), (T.url_day(F.lit("https://x.de/2025/03/07/a")).cast("string"), "2025-03-07"), (T.strip_html(F.lit("<p>A &amp; B</p><script>x</script>")), "A & B"), (T.similarity(F.lit("abc"), F.lit("")), 0.0), (T.similarity(F.lit("an"), F.lit("AN")), 1.0),
         (T.excerpt(F.lit("Ein Satz. " * 60), 50), "Ein Satz. Ein Satz. Ein Satz. Ein Satz. Ein Satz."), (F.size(T.ascii_tokens(F.lit("die der das und in mit"))), 0), (F.size(T.quotes(F.lit("Er sagt „das ist ein Satz“ und „ja“."))), 1), (T.language_of(F.lit("the cat and the dog of the house is in the garden for that with it " * 2)), "en"),
-    ],
-)
-def test_text_functions(spark, expression, want):
-    assert spark.range(1).select(expression.alias("x")).first()["x"] == want
+    ]
+    got = spark.range(1).select(*[e.alias(f"x{i}") for i, (e, _) in enumerate(cases)]).first()
+    assert list(got) == [want for _, want in cases]
 
 
 def test_query_language(spark):
