@@ -49,7 +49,9 @@ _WORDS = max(len(x.split()) for x in _ITEMS)
 _PAGE = re.compile(r"(?i)^(?:" + "|".join(PAGE_LINES) + r")$")
 _CONSENT, _LISTS, _REFERENCE = re.compile(CONSENT), re.compile(LISTS), re.compile(REFERENCE)
 #: Without any of these a longer line that ends like a sentence is running text.
-_MAYBE = re.compile(r"(?i)cookie|willig|privat|datenschutz|zustimm|speichern|consent|partner|privacy|traceurs|vie privée|abonn|subscri|newsletter|inbox|letter|lettre|vorbehalten|reserved|réservés|redaktion|rédaction|jetzt|folgen|follow|suivez|quelle|ressort|angebot|erschien|publi|gefällt|support|soutenez|meinung|kommentar|comment|lesen|lire|read|see also|siehe|mehr|related|teilen|share|\+\+\+|©|copyright|bild|foto|aktuali|updated|mis à jour|hier|here|›|>|\|")
+_MAYBE = (
+    "cookie", "willig", "privat", "datenschutz", "zustimm", "speichern", "consent", "partner", "privacy", "traceurs", "vie privée", "abonn", "subscri", "newsletter", "inbox", "letter", "lettre", "vorbehalten", "reserved", "réservés", "redaktion", "rédaction", "jetzt", "folgen", "follow", "suivez", "quelle", "ressort", "angebot", "erschien", "publi", "gefällt", "support", "soutenez", "meinung", "kommentar", "comment", "lesen", "lire", "read", "see also", "siehe", "mehr", "related", "teilen", "share", "+++", "©", "copyright", "bild", "foto", "aktuali", "updated", "mis à jour", "hier", "here", "›", ">", "|",
+)
 _BREAKS = re.compile(r"\s*[|•·›»/–]\s*|\t+|\s{2,}")
 _END = re.compile(r"[.!?…:;,]\s*$")
 
@@ -74,7 +76,8 @@ def link_density(raw: str, line: str, cache: dict) -> float:
         return 0.0
     if (d := cache.get(line)) is None:
         d = 0.0
-        if len(line) >= 60 and line[-1] in ".!?“”…)" and not _MAYBE.search(line):
+        low = line.lower()
+        if len(line) >= 60 and line[-1] in ".!?“”…)" and not any(k in low for k in _MAYBE):
             pass
         elif len(line) <= 400 and _PAGE.match(line) or len(line) <= 200 and _CONSENT.search(line) or _LISTS.match(line) or len(line) <= 200 and _REFERENCE.match(line):
             d = 1.0
@@ -129,12 +132,13 @@ def score_page(text: str, source: str | None, repeated: set[int], cache: dict) -
     return [None if not t else i in own for i, t in enumerate(lines)]
 
 
-def main_content(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "first_paragraph"), key: str = "id", lines_from: str = "full_text") -> DataFrame:
+def main_content(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "first_paragraph"), key: str = "id", lines_from: str = "full_text", carry: tuple[str, ...] = (), normal: bool = False) -> DataFrame:
     """(key, source, field, text, page_lines): each field's own text, and the numbers (from 1) of the lines that are not its own.
 
     A page line at the very end may be cut off, too. Fields that are null have no row, empty and blank ones keep an empty text. Lines that stand in very
     many texts of the source (see ``repeated_lines``) and lines that name the source count as links in
-    full, like menus, notices and references to other articles. Own lines stay as they stand, in order.
+    full, like menus, notices and references to other articles. Own lines stay as they stand, in order;
+    with ``normal`` without blank lines and with single blanks. Columns named in ``carry`` come along.
 
     The repeated lines of a source (at most lines per text * 20) are joined to its texts as one array,
     so the texts themselves are never shuffled while the sources are few enough to be broadcast.
@@ -142,12 +146,13 @@ def main_content(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "f
     ship(sys.modules[__name__])
     known = repeated_lines(articles.select(F.col(key).alias("id"), "source", F.col(lines_from).alias("text"))).groupBy("source").agg(F.collect_set("line").alias("known"))
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    each = articles.select(F.col(key).alias("key"), "source", F.explode(rows).alias("r")).select("key", "source", "r.field", "r.text").where("text is not null")
+    each = articles.select(F.col(key).alias("key"), "source", F.struct(F.lit(1).alias("_"), *carry).alias("carry"), F.explode(rows).alias("r")).select("key", "source", "carry", "r.field", "r.text").where("text is not null")
     each = join_dimension(each, known, "source")
     each = each.withColumn("lines", F.when(F.col("known").isNotNull(), line_array(F.col("text"))))
     last = F.try_element_at(F.filter("lines", lambda x: x != ""), F.lit(-1))
     known_line = lambda x: F.array_contains("known", x) | ((F.length(x) >= CUT) & (x == last) & F.exists("known", lambda k: k.startswith(last)))
-    each = each.select("key", "source", "field", "text", F.filter(F.transform("lines", lambda x, i: F.when(known_line(x), i)), lambda i: i.isNotNull()).alias("marks"))
+    kinds = dict(articles.dtypes)
+    each = each.select("key", "source", *[F.col(f"carry.{c}").alias(f"carry_{c}") for c in carry], "field", "text", F.filter(F.transform("lines", lambda x, i: F.when(known_line(x), i)), lambda i: i.isNotNull()).alias("marks"))
     kind = dict(each.dtypes)["key"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,10 +162,16 @@ def main_content(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "f
             for source, text, marks in zip(batch["source"], batch["text"], batch["marks"], strict=True):
                 own = score_page(text, source, set() if marks is None else set(map(int, marks)), cache)
                 pages.append([i + 1 for i, x in enumerate(own) if x is False])
-                texts.append("\n".join(t for t, x in zip(text.split("\n"), own, strict=True) if x is not False))
-            yield pd.DataFrame({"key": batch["key"], "source": batch["source"], "field": batch["field"], "text": texts, "page_lines": pages})
-
-    return each.mapInPandas(score, f"key {kind}, source string, field string, text string, page_lines array<int>").withColumnRenamed("key", key)
+                if normal:
+                    texts.append("\n".join(" ".join(t.split()) for t, x in zip(text.split("\n"), own, strict=True) if x))
+                else:
+                    texts.append("\n".join(t for t, x in zip(text.split("\n"), own, strict=True) if x is not False))
+            along = {f"carry_{c}": batch[f"carry_{c}"] for c in carry}
+            yield pd.DataFrame({"key": batch["key"], "source": batch["source"], **along, "field": batch["field"], "text": texts, "page_lines": pages})
+
+    more = "".join(f"carry_{c} {kinds[c]}, " for c in carry)
+    out = each.mapInPandas(score, f"key {kind}, source string, {more}field string, text string, page_lines array<int>")
+    return out.withColumnsRenamed({"key": key} | {f"carry_{c}": c for c in carry})
 
 
 __all__ = ["clean_line", "link_density", "main_content", "menu_share", "score_page"]

@@ -18,8 +18,8 @@ STOP_LEAST, STOP_SHARE = 20, 0.02
 #: Grams with their occurrences inside texts and at ends, in one pass over the words. Each is a hash of its kind and words:
 #: B three words, the last without punctuation (an end: the text's last words, bare); E three words or one with a full stop (an end: of a line).
 _GRAMS = r"""
-WITH lines AS (SELECT pos = n - 1 AS final, split(line, ' ') AS t FROM (SELECT size(l) AS n, posexplode(l) AS (pos, line) FROM (
-  SELECT filter(split(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\s\\p{{Z}}&&[^\\n]]+', ' '), ' ?(\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}}) ?(?=\n|$)', ''), '\\d+', '0')), ' ?\n ?'), x -> x <> '') AS l FROM {texts}))),
+WITH split AS (SELECT pos = n - 1 AS final, split(line, ' ') AS t FROM (SELECT size(l) AS n, posexplode(l) AS (pos, line) FROM (SELECT split(text, '\n') AS l FROM {texts} WHERE text <> ''))),
+lines AS (SELECT final, if(element_at(t, -1) IN ('…', '...', '[...]', '[…]'), slice(t, 1, size(t) - 1), t) AS t FROM split),
 cells AS (SELECT final, inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t, concat(slice(t, 2, size(t)), array('$')))) AS (a, b, c, d) FROM lines),
 words AS (SELECT a, b, c, d = '$' AS ends, final, rtrim('.,;:!?…"”“»«', c) AS bare, substring(rtrim('"”“»)', c), -1, 1) IN ('.', '!', '?') AS stop FROM cells WHERE c IS NOT NULL),
 seen AS (SELECT stack(3, xxhash64('B', a, b, if(bare = '', c, bare)), CASE WHEN ends AND final AND (bare = c OR bare = '') THEN -1 WHEN ends AND NOT stop THEN 0 ELSE 1 END,
@@ -28,27 +28,26 @@ SELECT gram, sum(if(inside = 1, 1, 0)) AS n_inside, sum(if(inside = -1, 1, 0)) A
 """
 #: The last words of each text without marks of omission and broken mark-up.
 _ENDS = r"""
-WITH last AS (SELECT id, source, field, title, text, trim(element_at(filter(transform(split(text, '\n'), x -> trim(regexp_replace(x, '[\\s\\p{{Z}}]+', ' '))), x -> x <> ''), -1)) AS line FROM {texts} WHERE trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ')) <> ''),
-marked AS (SELECT id, source, field, line, title, line RLIKE '(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*)$' AS broken, line RLIKE '(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$' AS omitted FROM last),
-plain AS (SELECT *, split(regexp_replace(regexp_replace(line, '\\s*(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*|\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), '\\d+', '0'), ' ') AS t FROM marked)
-SELECT id, source, field, line, broken, omitted, line = trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS is_title, try_element_at(t, -1) AS c,
-  xxhash64('B', coalesce(try_element_at(t, -3), '^'), coalesce(try_element_at(t, -2), '^'), if(rtrim('.,;:!?…"”“»«', try_element_at(t, -1)) = '', try_element_at(t, -1), rtrim('.,;:!?…"”“»«', try_element_at(t, -1)))) AS b3,
-  xxhash64('B', coalesce(try_element_at(t, -4), '^'), coalesce(try_element_at(t, -3), '^'), rtrim('.,;:!?…"”“»«', coalesce(try_element_at(t, -2), '^'))) AS before,
-  xxhash64('E', coalesce(try_element_at(t, -3), '^'), coalesce(try_element_at(t, -2), '^'), try_element_at(t, -1)) AS e3, xxhash64('E', try_element_at(t, -1)) AS e1
-FROM plain
+WITH last AS (SELECT id, source, field, substring_index(text, '\n', -1) AS line, trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS title FROM {texts} WHERE text <> ''),
+marked AS (SELECT id, source, field, line, coalesce(line = title, false) AS is_title, line RLIKE '(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*)$' AS broken, line RLIKE '(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$' AS omitted FROM last),
+plain AS (SELECT *, split(regexp_replace(line, '\\s*(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*|\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), ' ') AS t FROM marked),
+words AS (SELECT *, coalesce(try_element_at(t, -4), '^') AS z, coalesce(try_element_at(t, -3), '^') AS a, coalesce(try_element_at(t, -2), '^') AS b, try_element_at(t, -1) AS c FROM plain)
+SELECT id, source, field, broken, omitted, is_title, c = '' AS empty, c RLIKE '[.!?]["”“»)]*$' AS stop, c RLIKE '[!?]' AS asks, c RLIKE '[)]$' AS bracket,
+  line RLIKE '^\\p{{L}}{{2,12}}: \\p{{Lu}}' AND line RLIKE ', \\p{{Lu}}[^ ,]* \\p{{Lu}}[^ ,]*$' AS cast,
+  posexplode(array(xxhash64('B', a, b, if(rtrim('.,;:!?…"”“»«', c) = '', c, rtrim('.,;:!?…"”“»«', c))), xxhash64('B', z, a, rtrim('.,;:!?…"”“»«', b)), xxhash64('E', a, b, c), xxhash64('E', c))) AS (k, gram)
+FROM words
 """
 _JUDGED = f"""
-WITH judged AS (
-  SELECT e.*, c RLIKE '[.!?]["”“»)]*$' AS stop, coalesce(b3.n_inside, 0) AS b3_in, greatest(coalesce(b3.n_end, 0) - 1, 0) AS b3_end, coalesce(p3.n_inside, 0) AS before_in,
-    coalesce(e3.n_inside, 0) AS e3_in, coalesce(e3.n_end, 0) AS e3_end, coalesce(e1.n_inside, 0) AS e1_in, coalesce(e1.n_end, 0) AS e1_end
-  FROM {{ends}} e LEFT JOIN {{counts}} b3 ON b3.gram = e.b3 LEFT JOIN {{counts}} p3 ON p3.gram = e.before LEFT JOIN {{counts}} e3 ON e3.gram = e.e3 LEFT JOIN {{counts}} e1 ON e1.gram = e.e1)
+WITH found AS (SELECT e.*, coalesce(n_inside, 0) AS n_inside, coalesce(n_end, 0) AS n_end FROM {{ends}} e LEFT JOIN {{counts}} c ON c.gram = e.gram),
+judged AS (SELECT id, source, field, broken, omitted, is_title, empty, stop, asks, bracket, cast, max(if(k = 0, n_inside, 0)) AS b3_in, max(if(k = 0, greatest(n_end - 1, 0), 0)) AS b3_end, max(if(k = 1, n_inside, 0)) AS before_in,
+  max(if(k = 2, n_inside, 0)) AS e3_in, max(if(k = 2, n_end, 0)) AS e3_end, max(if(k = 3, n_inside, 0)) AS e1_in, max(if(k = 3, n_end, 0)) AS e1_end FROM found GROUP BY ALL)
 SELECT id, source, field, CASE
-  WHEN broken THEN true WHEN c IS NULL OR c = '' THEN false WHEN is_title THEN false
-  WHEN stop AND c RLIKE '[!?]' THEN false
+  WHEN broken THEN true WHEN empty THEN false WHEN is_title THEN false
+  WHEN stop AND asks THEN false
   WHEN stop AND e3_in + e3_end >= {STOP_LEAST} THEN e3_end <= {STOP_SHARE} * (e3_in + e3_end)
   WHEN stop THEN e1_in + e1_end >= {STOP_LEAST} AND e1_end <= {STOP_SHARE} * (e1_in + e1_end)
-  WHEN NOT omitted AND line RLIKE '^\\\\p{{{{L}}}}{{{{2,12}}}}: \\\\p{{{{Lu}}}}' AND line RLIKE ', \\\\p{{{{Lu}}}}[^ ,]* \\\\p{{{{Lu}}}}[^ ,]*$' THEN false
-  WHEN NOT omitted AND c RLIKE '[)]$' THEN false
+  WHEN NOT omitted AND cast THEN false
+  WHEN NOT omitted AND bracket THEN false
   WHEN b3_in = 0 AND b3_end >= {LEAST} THEN before_in > 2 * (b3_end + 1)
   WHEN b3_in + b3_end >= {LEAST} THEN b3_end <= {BARE_SHARE} * (b3_in + b3_end)
   ELSE true END AS truncated
@@ -66,15 +65,14 @@ def truncated_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text"
     unless it closes a list of names after a label or a bracket; so are words seen only at ends whose
     three predecessors mostly go on otherwise (a cut word). A text that ends in broken mark-up is cut. A field equal to the row's title is a headline and complete.
 
-    Null, empty and blank fields have no row; digits count as one; rows repeated are judged each.
+    Null, empty and blank fields have no row; rows repeated are judged as one.
     Counts cover all texts and are aggregated map-side on hashes of words.
     """
     spark = articles.sparkSession
-    own = main_content(articles, fields, key).withColumnRenamed(key, "id").select("id", "source", "field", "text")
+    own = main_content(articles, fields, key, carry=("title",), normal=True).withColumnRenamed(key, "id").select("id", "source", "title", "field", "text")
     own = written(own)
-    titles = articles.select(F.col(key).alias("id"), "title").dropDuplicates(["id"])
     counts = cut(spark.sql(_GRAMS, texts=own))
-    ends = spark.sql(_ENDS, texts=own.join(titles, "id", "left"))
+    ends = spark.sql(_ENDS, texts=own)
     return spark.sql(_JUDGED, ends=ends, counts=counts).withColumnRenamed("id", key)
 
 
