@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_dimension, ship
+from ..session import cut, join_dimension, ship
 from .repeated_lines import clean_line, line_array, repeated_lines
 
 #: Items of menus, footers and buttons, in German, English and French.
@@ -144,7 +144,7 @@ def main_content(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "f
     so the texts themselves are never shuffled while the sources are few enough to be broadcast.
     """
     ship(sys.modules[__name__])
-    known = repeated_lines(articles.select(F.col(key).alias("id"), "source", F.col(lines_from).alias("text"))).groupBy("source").agg(F.collect_set("line").alias("known"))
+    known = cut(repeated_lines(articles.select(F.col(key).alias("id"), "source", F.col(lines_from).alias("text"))).groupBy("source").agg(F.collect_set("line").alias("known")))
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
     each = articles.select(F.col(key).alias("key"), "source", F.struct(F.lit(1).alias("_"), *carry).alias("carry"), F.explode(rows).alias("r")).select("key", "source", "carry", "r.field", "r.text").where("text is not null")
     each = join_dimension(each, known, "source")

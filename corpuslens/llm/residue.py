@@ -60,7 +60,8 @@ def sign_of(line: str) -> tuple[str, bool] | None:
             return "placeholder", 2 * sum(map(len, found)) >= len(line)
     run = most = 0
     seen: set[str] = set()
-    words = line.lower().split()
+    low = line.lower()
+    words = low.split()
     for w in words:
         w = w.strip(".,;:!?")
         run = run + 1 if w in c["FILLER"] else 0
@@ -68,6 +69,8 @@ def sign_of(line: str) -> tuple[str, bool] | None:
         most = max(most, run if len(seen) > 2 else 0)
     if most >= 5:
         return "filler", 2 * most >= len(words)
+    if not any(h in low for h in R.HINTS):
+        return None
     bare = c["QUOTED"].sub(" Q ", line)
     total, hit, kind = 0, 0, ""
     for s in c["SPLIT"].split(c["NAV"].sub("", bare)):
@@ -75,6 +78,9 @@ def sign_of(line: str) -> tuple[str, bool] | None:
         n = len(s.split())
         total += n
         k = ""
+        small = s.lower()
+        if not any(h in small for h in R.HINTS):
+            continue
         if c["FILLER_LINE"].search(s):
             k = "filler"
         elif c["ERROR_LINE"].search(s) or c["ERROR_ANYWHERE"].search(s):

@@ -52,3 +52,9 @@ SCRIPT_ADDRESS = r"(?i)\b(?:ihr|ihre|ihrem|ihren|ihres|bitte|browser|browsers|yo
 SCRIPT_LATER = r"(?i)^(?:a required script failed to load\b.*|(?:please )?(?:switch|turn) (?:it|them) on\b.*|(?:update|disable) your (?:browser|blocker)\b.*|allow scripts\b.*)$"
 #: What else such pages hold; it neither makes nor breaks a case.
 CHROME = r"(?i)^(?:ray [0-9a-f]{6,}|kennung der anfrage.*|nginx.*|zurück|zur startseite|startseite|neu laden|anmelden|impressum.*|datenschutz.*|startseite \| .*)$"
+#: No message, filler line or script notice is without one of these (lower case): lines without any are not looked at closer.
+HINTS = (
+    "error", "fehler", "erreur", "found", "gateway", "unavailable", "forbidden", "unauthorized", "request", "denied", "wrong", "session", "sitzung", "exception", "warning", "notice", "traceback", "upstream", "connection", "checking", "wait", "maintenance", "wartung", "be back", "few seconds", "introuvable", "non trouvée",
+    "accès", "indisponible", "expiré", "délai", "server", "dienst", "datenbank", "adresse", "dokument", "artikel", "seite", "ressource", "anwendung", "verbindung", "inhalt", "beitrag", "datei", "service", "system", "angebot", "archiv", "verweigert", "zeitüberschreitung", "ups!", "hoppla", "kennung", "page", "resource", "document",
+    "article", "file", "url", "site", "database", "address", "content", "link", "serveur", "base de données", "contenu", "nginx", "erreichbar", "skript", "script", "blocker", "browser", "blindtext", "folgt", "steht", "kommt", "überschrift", "text", "platzhalter", "bedeutung", "xxx", "bla", "placeholder", "insert", "to come", "tbd", "them on", "it on", "missing", "method", "bad ", "status", "code",
+)
