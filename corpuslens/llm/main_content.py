@@ -88,6 +88,13 @@ def link_density(raw: str, line: str, cache: dict) -> float:
     return d
 
 
+def names_source(line: str, source: str) -> bool:
+    """Whether a line names its source: as whole words, and a name of four letters or more."""
+    at = line.find(source) if len(source) >= 4 else -1
+    end = at + len(source)
+    return at >= 0 and not line[at - 1 : at].isalnum() and not line[end : end + 1].isalnum()
+
+
 def score_page(text: str, source: str | None, repeated: set[int], cache: dict) -> list[bool | None]:
     """For each line of the text whether it is the article's own (None for blank ones).
 
@@ -105,7 +112,7 @@ def score_page(text: str, source: str | None, repeated: set[int], cache: dict) -
     for i, t in enumerate(lines):
         if not t:
             continue
-        d = 1.0 if i in repeated or (source and source in t and len(t) < 300) else link_density(raw[i], t, cache)
+        d = 1.0 if i in repeated or (source and len(t) < 300 and names_source(t, source)) else link_density(raw[i], t, cache)
         if listed and d < 0.5:
             numbered = t[:1].isdigit() and re.match(r"\d{1,2}\.\s", t)
             if listed < 12 and len(t) <= 140 and (numbered or (not _END.search(t) and len(t.split()) >= 3)):

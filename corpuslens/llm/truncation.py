@@ -40,7 +40,7 @@ FROM words
 _JUDGED = f"""
 WITH found AS (SELECT e.*, coalesce(n_inside, 0) AS n_inside, coalesce(n_end, 0) AS n_end FROM {{ends}} e LEFT JOIN {{counts}} c ON c.gram = e.gram),
 judged AS (SELECT id, source, field, broken, omitted, is_title, empty, stop, asks, bracket, cast, max(if(k = 0, n_inside, 0)) AS b3_in, max(if(k = 0, greatest(n_end - 1, 0), 0)) AS b3_end, max(if(k = 1, n_inside, 0)) AS before_in,
-  max(if(k = 2, n_inside, 0)) AS e3_in, max(if(k = 2, n_end, 0)) AS e3_end, max(if(k = 3, n_inside, 0)) AS e1_in, max(if(k = 3, n_end, 0)) AS e1_end FROM found GROUP BY ALL)
+  max(if(k = 2, n_inside, 0)) AS e3_in, max(if(k = 2, greatest(n_end - 1, 0), 0)) AS e3_end, max(if(k = 3, n_inside, 0)) AS e1_in, max(if(k = 3, greatest(n_end - 1, 0), 0)) AS e1_end FROM found GROUP BY ALL)
 SELECT id, source, field, CASE
   WHEN broken THEN true WHEN empty THEN false WHEN is_title THEN false
   WHEN stop AND asks THEN false
