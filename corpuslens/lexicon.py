@@ -42,19 +42,19 @@ class Lexicon:
 
     @classmethod
     def from_folder(cls, folder: str) -> Lexicon:
-        """From keywords.json, sentiment.json, tags.json and synonyms.json; files that are missing leave their lists empty."""
+        """From keywords.json, sentiment.json, tags.json, synonyms.json and tones.json (name to words); files that are missing leave their lists empty."""
 
         def read(name: str) -> dict:
             p = Path(folder, f"{name}.json")
             return json.loads(p.read_text(encoding="utf-8")) if p.exists() else {}
 
-        k, s, t, y = map(read, ("keywords", "sentiment", "tags", "synonyms"))
+        k, s, t, y, z = map(read, ("keywords", "sentiment", "tags", "synonyms", "tones"))
         of = lambda d, n: tuple(d.get(n, ()))
         rules = tuple(TagRule(r["tag"], of(r, "match_text"), of(r, "min_required"), r.get("if_sentiment"), r.get("if_category"), r.get("if_paywall")) for r in t.get("rules", ()))
         limits = k.get("thresholds", {})
         return cls(
             of(k, "required"), of(k, "people"), of(k, "productions"), of(k, "venues"), of(k, "theater_context"), of(k, "exclude_title"), of(s, "positive"), of(s, "negative"), of(s, "intensifiers"), of(s, "negations"),
-            {n: of(s, f"{n}_indicators") for n in ("review", "interview", "announcement")}, {}, rules, tuple(tuple(g) for g in y.get("groups", ())), dict(k.get("scoring_weights", {})),
+            {n: of(s, f"{n}_indicators") for n in ("review", "interview", "announcement")}, {n: tuple(ws) for n, ws in z.items()}, rules, tuple(tuple(g) for g in y.get("groups", ())), dict(k.get("scoring_weights", {})),
             (limits.get("very_relevant", 80), limits.get("relevant", 50), limits.get("maybe_relevant", 30)),
         )
 

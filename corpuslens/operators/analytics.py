@@ -215,8 +215,9 @@ def coverage_density(a: DataFrame, events: DataFrame, days: int = 30) -> DataFra
 
 def period_trend(a: DataFrame) -> DataFrame:
     """Mean relevance of the two halves of the time span; 10 % make a trend."""
-    span = a.where("day is not null").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).withColumn("mid", F.expr("date_add(lo, cast(datediff(hi, lo) / 2 as int))"))
-    d = a.where("day is not null").join(F.broadcast(span)).agg(F.avg(F.when(F.col("day") <= F.col("mid"), F.col("relevance_score"))).alias("first"), F.avg(F.when(F.col("day") > F.col("mid"), F.col("relevance_score"))).alias("second"))
+    span = a.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.expr("date_add(lo, cast(datediff(hi, lo) / 2 as int))").alias("mid")).first()
+    mid = F.lit(span["mid"]).cast("date")
+    d = a.where("day is not null").agg(F.avg(F.when(F.col("day") <= mid, F.col("relevance_score"))).alias("first"), F.avg(F.when(F.col("day") > mid, F.col("relevance_score"))).alias("second"))
     change = F.try_divide(F.col("second") - F.col("first"), F.col("first"))
     return d.select(F.round("first", 6).alias("first"), F.round("second", 6).alias("second"), F.when(change > 0.1, "increasing").when(change < -0.1, "decreasing").otherwise("stable").alias("trend"))
 

@@ -68,6 +68,8 @@ def sentiment(lx: Lexicon) -> Column:
 
 def tone(lx: Lexicon) -> Column:
     """The prevailing tone by words of each list; the first of equals; neutral_reporting without any."""
+    if not lx.tones:
+        return F.lit("neutral_reporting")
     n = [F.struct(_count(F.col("fb"), ws).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, ws) in enumerate(lx.tones.items())]
     best = F.array_max(F.array(*n))
     return F.when(best["n"] > 0, best["k"]).otherwise("neutral_reporting")
@@ -120,7 +122,7 @@ def auto_tags(lx: Lexicon) -> Column:
             out = out & text.contains(T._folded(x))
         return out
 
-    return F.array_distinct(F.array_compact(F.array(*[F.when(holds(r), r.tag) for r in lx.rules])))
+    return F.array_distinct(F.array_compact(F.array(*[F.when(holds(r), r.tag) for r in lx.rules]).cast("array<string>")))
 
 
 def entity_array(lx: Lexicon) -> Column:
@@ -131,7 +133,7 @@ def entity_array(lx: Lexicon) -> Column:
             inside, title = _count(F.col("fb"), (n,)), F.col("ft").contains(T._folded(n))
             m = inside + title.cast("int")
             found.append(F.when(m > 0, F.struct(F.lit(kind).alias("type"), F.lit(n).alias("value"), m.cast("int").alias("mentions"), title.alias("in_title"))))
-    return F.array_compact(F.array(*found))
+    return F.array_compact(F.array(*found).cast("array<struct<type:string,value:string,mentions:int,in_title:boolean>>"))
 
 
 def event_array(lx: Lexicon) -> Column:

@@ -17,23 +17,24 @@ def exact_groups(a: DataFrame, text: str = "full_text") -> DataFrame:
     return d.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1").select("first_id", "n")
 
 
-def same_title_pairs(a: DataFrame, least: float = 0.85, rare: int = 200) -> DataFrame:
-    """(a, b, similarity) of articles with similar titles: star pairs of equal folded titles, and distinct titles that share a word.
+def same_title_pairs(a: DataFrame, least: float = 0.85) -> DataFrame:
+    """(a, b, similarity) of articles whose titles share at least half of their words and are similar by edit distance.
 
-    Only distinct titles are compared, and only those that share two neighbouring words rarer than
-    ``rare`` distinct titles; the edit distance is bounded. Equal titles link to the least of their ids.
+    Equal titles (normalised) form a star around the least of their ids; only distinct titles are
+    compared. Words are ordered by rarity and each title is filed under its rarest ones, just over half
+    of them: two titles that share half of all their words meet under one of these, so nothing is lost,
+    and frequent words bring only titles together that have hardly any others.
     """
     t = cut(a.select("id", T.normal_title(F.col("title")).alias("t")).where("t <> ''"))
     head = t.groupBy("t").agg(F.min("id").alias("head"))
     stars = t.join(head, "t").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    w = F.split("t", " ")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i + 1, 2), " "))
-    keys = head.withColumn("key", F.explode(F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(w))))
-    few = keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k").between(2, rare)).select("key")
-    keys = keys.join(few, "key")
-    other = keys.select("key", F.col("head").alias("b"), F.col("t").alias("u"))
-    near = keys.join(other, "key").where(F.col("head") < F.col("b")).select(F.col("head").alias("a"), "b", "t", "u").distinct()
-    near = near.where(F.abs(F.length("t") - F.length("u")) <= (1 - least) * F.greatest(F.length("t"), F.length("u"))).withColumn("similarity", F.round(T.similarity(F.col("t"), F.col("u")), 6))
+    word = head.select("head", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    rarity = word.groupBy("w").agg(F.count("*").alias("k"))
+    ordered = word.join(rarity, "w").groupBy("head", "t").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("ws"))
+    filed = cut(ordered.select("head", "t", F.transform("ws", lambda x: x["w"]).alias("ws"), F.explode(F.slice("ws", 1, F.floor(F.size("ws") / 2).cast("int") + 1)).alias("x")).select("head", "t", "ws", F.col("x.w").alias("key")))
+    other = filed.select("key", F.col("head").alias("b"), F.col("t").alias("u"), F.col("ws").alias("us"))
+    near = filed.join(other, "key").where((F.col("head") < F.col("b")) & (F.abs(F.length("t") - F.length("u")) <= (1 - least) * F.greatest(F.length("t"), F.length("u"))) & (T.jaccard(F.col("ws"), F.col("us")) >= 0.5))
+    near = near.select(F.col("head").alias("a"), "b", "t", "u").distinct().withColumn("similarity", F.round(T.similarity(F.col("t"), F.col("u")), 6))
     return near.where(F.col("similarity") >= least).select("a", "b", "similarity").unionByName(stars)
 
 

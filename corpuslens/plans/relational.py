@@ -158,7 +158,7 @@ def update_tags_union(s, d):
 
 
 def related_articles(s, d):
-    """Article pairs that share at least three entities within fourteen days, by an equi join on the entity; entities of more than one in fifty articles relate nothing."""
+    """For every article whose id is divisible by 50 those that share at least two entities with it within fourteen days; entities of more than one in fifty articles relate nothing."""
     e = entities(s, d).select("article_id", "entity_type", "entity_value").distinct()
     n = e.select("article_id").distinct().count()
     rare = e.groupBy("entity_type", "entity_value").agg(F.count("*").alias("k")).where(F.col("k") * 50 <= n)
@@ -166,8 +166,8 @@ def related_articles(s, d):
     a = articles(s, d).where("day is not null").select(F.col("id").alias("article_id"), "day")
     x = e.join(a, "article_id")
     y = x.select("entity_type", "entity_value", F.col("article_id").alias("other"), F.col("day").alias("other_day"))
-    j = x.join(y, ["entity_type", "entity_value"]).where((F.col("article_id") < F.col("other")) & (F.abs(F.datediff("day", "other_day")) <= 14))
-    return j.groupBy("article_id", "other").agg(F.count("*").alias("shared")).where("shared >= 3")
+    j = x.where(F.col("article_id") % 50 == 0).join(y, ["entity_type", "entity_value"]).where((F.col("article_id") != F.col("other")) & (F.abs(F.datediff("day", "other_day")) <= 14))
+    return j.groupBy("article_id", "other").agg(F.count("*").alias("shared")).where("shared >= 2")
 
 
 def _density(s, d):
@@ -260,5 +260,5 @@ SQL = {
     "title_updates": _A + r", k AS (SELECT *, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS key FROM a WHERE day IS NOT NULL AND title IS NOT NULL) SELECT key, lag(id) OVER w AS before, id AS after, datediff('day', lag(day) OVER w, day) AS gap, source <> lag(source) OVER w AS changed FROM k WINDOW w AS (PARTITION BY key ORDER BY day, id) QUALIFY lag(id) OVER w IS NOT NULL",
     "failure_runs": "WITH g AS (SELECT *, sum(if(event_type = 'error', 0, 1)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events), r AS (SELECT user_id, island, count(*) AS n FROM g WHERE event_type = 'error' GROUP BY 1, 2) SELECT user_id, max(n) AS longest, arg_max(n, island) AS latest FROM r GROUP BY user_id",
     "update_tags_union": f"WITH t AS ({_TAG}) SELECT article_id, tag FROM (SELECT * FROM t UNION SELECT DISTINCT article_id, 'status:geprueft' FROM article_tags) WHERE NOT (tag LIKE 'tonalitaet:%')",
-    "related_articles": f"WITH {ARTICLES}, {ENTITIES}, n AS (SELECT count(DISTINCT article_id) AS n FROM e), r AS (SELECT entity_type, entity_value FROM e, n GROUP BY 1, 2, n.n HAVING count(*) * 50 <= n.n), x AS (SELECT e.article_id, entity_type, entity_value, day FROM e JOIN r USING (entity_type, entity_value) JOIN a ON a.id = e.article_id WHERE day IS NOT NULL) SELECT x.article_id, y.article_id AS other, count(*) AS shared FROM x JOIN x y ON x.entity_type = y.entity_type AND x.entity_value = y.entity_value AND x.article_id < y.article_id AND abs(datediff('day', x.day, y.day)) <= 14 GROUP BY 1, 2 HAVING count(*) >= 3",
+    "related_articles": f"WITH {ARTICLES}, {ENTITIES}, n AS (SELECT count(DISTINCT article_id) AS n FROM e), r AS (SELECT entity_type, entity_value FROM e, n GROUP BY 1, 2, n.n HAVING count(*) * 50 <= n.n), x AS (SELECT e.article_id, entity_type, entity_value, day FROM e JOIN r USING (entity_type, entity_value) JOIN a ON a.id = e.article_id WHERE day IS NOT NULL) SELECT x.article_id, y.article_id AS other, count(*) AS shared FROM x JOIN x y ON x.entity_type = y.entity_type AND x.entity_value = y.entity_value AND x.article_id <> y.article_id AND x.article_id % 50 = 0 AND abs(datediff('day', x.day, y.day)) <= 14 GROUP BY 1, 2 HAVING count(*) >= 2",
 }

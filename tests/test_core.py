@@ -184,3 +184,56 @@ def test_every_query_has_a_callable_and_sql_has_a_query():
     from corpuslens import plans
 
     assert set(plans.oracle_sql()) <= set(plans.queries()) and len(plans.queries()) > 100
+
+
+def test_similar_titles_equal_brute_force(spark):
+    r = random.Random(6)
+    words = ["kritik", "zu", "salzgräfin", "nachtlicht", "premiere", "am", "freitag", "abend", "haus"]
+    titles = [" ".join(r.choice(words) for _ in range(r.randrange(2, 6))) for _ in range(70)] + ["kritik zu nachtlichtt", "kritik zu nachtlicht"]
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _step(row, i, x, b)
+        return row[-1]
+
+    def _step(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        return out
+
+    heads = {}
+    for i, t in enumerate(titles):
+        heads.setdefault(t, i)
+    want = {(heads[t], i) for i, t in enumerate(titles) if heads[t] != i}
+    for a, x in heads.items():
+        for b, y in heads.items():
+            s, u = set(a.split()), set(b.split())
+            if x < y and 2 * len(s & u) >= len(s | u) and 1 - lev(a, b) / max(len(a), len(b)) >= 0.85:
+                want.add((x, y))
+    got = rows(similarity.same_title_pairs(spark.createDataFrame(list(enumerate(titles)), "id bigint, title string")).select("a", "b"))
+    assert got == want
+
+
+def test_functions_by_name_in_sql(spark):
+    from corpuslens.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT cologne_code('Müller') = cologne_code('Mueller') AS x").first()["x"]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM split_quotes('Er sagt „das ist es wohl“ und „noch ein Satz“.')").collect()] == [(0, "das ist es wohl"), (1, "noch ein Satz")]
+
+
+def test_lexicon_of_a_folder(spark, tmp_path):
+    import json
+
+    from corpuslens.lexicon import Lexicon
+    from corpuslens.operators import enrich
+
+    (tmp_path / "keywords.json").write_text(json.dumps({"required": ["Lindenhof"], "thresholds": {"very_relevant": 100}, "scoring_weights": {"title_exact_match": 200}}))
+    (tmp_path / "tags.json").write_text(json.dumps({"rules": [{"tag": "a:b", "match_text": ["Lindenhof"], "min_required": ["Bühne"]}, {"tag": "c:d", "if_sentiment": "negativ"}]}))
+    (tmp_path / "sentiment.json").write_text(json.dumps({"positive": ["gut"], "negative": ["flach"], "negations": ["nicht"], "intensifiers": ["sehr"]}))
+    lx = Lexicon.from_folder(str(tmp_path))
+    d = spark.createDataFrame([(1, "Lindenhof", "Die Bühne ist nicht gut. Am Ende war das alles sehr flach.", None, None, 500, False, None)], "id int, title string, full_text string, summary string, first_paragraph string, word_count int, paywall boolean, sentiment string")
+    r = enrich.analyse(d, lx).first()
+    assert r["mood"]["score"] == -3 and r["sentiment"] == "negativ" and r["tags"] == ["a:b", "c:d"] and r["score"] >= 200 and r["category"] == "sehr_relevant" and r["reason"] == ""
