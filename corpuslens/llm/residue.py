@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import cut, ship
+from ..session import ship, written
 from . import residue_rules as R
 
 SHINGLE = 5
@@ -171,8 +171,8 @@ def labelled_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
     sign of its own, or if a line that is residue as a whole stands in its component; a sentence with
     one unfilled placeholder labels no sentence without one.
     """
-    lines = cut(lines_of(docs, key, text).select("key", F.xxhash64("line").alias("line_id"), "line"))
-    prints = cut(fingerprints(lines.groupBy("line_id").agg(F.min("line").alias("line"))))
+    lines = written(lines_of(docs, key, text).select("key", F.xxhash64("line").alias("line_id"), "line"))
+    prints = written(fingerprints(lines.groupBy("line_id").agg(F.min("line").alias("line"))))
     components = connected_components(near_duplicates(prints)).select(F.col("node").alias("line_id"), "component")
     placed = prints.join(components, "line_id", "left").select("line_id", "kind", "whole", F.coalesce("component", "line_id").alias("component"))
     label = placed.where("kind is not null and whole").groupBy("component").agg(F.min("kind").alias("label"))
