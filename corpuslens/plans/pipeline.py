@@ -84,3 +84,8 @@ SQL = {
     "embedding_centroids": "WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY 1, 2), j AS (SELECT x.label, vec_id, sum(v * m) / sqrt(sum(v * v) * sum(m * m)) AS cos FROM x JOIN c ON c.label = x.label AND c.i = x.i GROUP BY 1, 2) SELECT label, count(*) AS n, round(avg(cos), 4) AS spread FROM j GROUP BY label",
     "keywords": _A + f", w AS (SELECT unnest(list_filter(regexp_split_to_array({_FOLD('coalesce(full_text, chr(32))')}, '[^a-z0-9]+'), lambda t: length(t) >= 5 AND NOT list_contains({_STOP}, t))) AS term FROM a) SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY 2 DESC, 1 LIMIT 100",
 }
+_esc = lambda c: f"replace(replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+SQL |= {
+    "export_json": _A + "SELECT id, CAST(json_object('id', id, 'title', title, 'source', source) AS VARCHAR) AS json FROM a",
+    "report_cards": _A + f"SELECT id, '<article><h3>' || {_esc('title')} || '</h3><p>' || {_esc('source')} || ' · ' || relevance_score || '</p><p>' || {_esc('summary')} || '</p></article>' AS html FROM a",
+}

@@ -75,3 +75,8 @@ SQL = {
     "title_similarity": f"SELECT x.id, round(1 - levenshtein(f, g) / greatest(length(f), length(g)), 6) AS similarity FROM (SELECT id, duplicate_of, regexp_replace({_FOLD('title')}, '[^ -~]', '', 'g') AS f FROM articles) x JOIN (SELECT id, regexp_replace({_FOLD('title')}, '[^ -~]', '', 'g') AS g FROM articles) y ON x.duplicate_of = y.id",
     "quote_coverage": _A + ", q AS (SELECT id, len(list_filter(list_transform(regexp_extract_all(coalesce(full_text, ''), '[„“«\"]([^„“”«»\"\\n]{8,400})[“”»\"]', 1), lambda q: trim(q, ' ')), lambda q: len(list_filter(regexp_split_to_array(q, '[\\s\\p{Z}]+'), lambda w: w <> '')) >= 3)) AS n FROM a) SELECT count(*) AS n, round(avg(if(n > 0, 1, 0)), 6) AS share FROM q",
 }
+SQL |= {
+    "sentence_counts": _A + r"SELECT id, CAST(len(list_filter(string_split(regexp_replace(full_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '')) AS INTEGER) AS n FROM a WHERE full_text IS NOT NULL",
+    "stripped_summaries": _A + r"SELECT id, trim(regexp_replace(coalesce(summary, NULL), '[\s\p{Z}]+', ' ', 'g'), ' ') AS text FROM a",
+    "url_days": _A + r", p AS (SELECT id, regexp_extract(url, '[/_-]((?:19|20)\d{2})[/_-](\d{1,2})[/_-](\d{1,2})(?:[/_.-]|$)', ['y', 'm', 'd']) AS x FROM a) SELECT id, TRY_CAST(x.y || '-' || lpad(x.m, 2, '0') || '-' || lpad(x.d, 2, '0') AS DATE) AS url_day FROM p",
+}
