@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, join_dimension, ship
+from ..session import join_dimension, ship, written
 from .tokenizing import LEAF, VOCABULARY, token_ids
 
 #: The largest population numpy draws from; beyond it counts are split in proportion.
@@ -102,7 +102,7 @@ def token_blocks(ids: DataFrame, block: int, buckets: int = 1024, seed: int = 0)
     that no source is summed in one task. Documents without tokens take no place.
     """
     d = ids.where(F.size("ids") > 0).select("source", "key", "ids", F.size("ids").cast("bigint").alias("n"), F.xxhash64(F.col("key"), F.lit(seed)).alias("h"))
-    d = cut(d.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")))
+    d = written(d.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")))
     sums = d.groupBy("source", "bucket").agg(F.sum("n").alias("size"))
     before = sums.select("source", "bucket", (F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
@@ -149,7 +149,7 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     rows = sorted((r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in want.collect())
     mine = join_dimension(docs.select(F.col(key).alias("key"), "source", F.col(text).alias("text")), want.select("source"), "source", "left_semi")
     ids = token_ids(mine.select(F.struct("key", "source").alias("key"), "text"), "key", "text", vocabulary, leaf).select("key.source", "key.key", "ids")
-    blocks = cut(token_blocks(ids, block, seed=seed))
+    blocks = written(token_blocks(ids, block, seed=seed))
     tokens = {r["source"]: r["n"] for r in blocks.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     plan = plan_mix(rows, tokens, block, total_tokens)
     names, quota = [s.name for s in plan], np.array([s.quota for s in plan], dtype=np.int64)
