@@ -6,21 +6,21 @@ import html
 import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..session import ship, written
+from ..session import cut, join_dimension, ship, written
 from . import residue_rules as R
 
 SHINGLE = 5
 SIMILARITY = 0.8
-HAMMING = 3
-#: 64 bits in five blocks; three differing bits leave at least two blocks equal: one table for each two blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: One line in so many is counted for the order of shingles, and at most so many frequent ones are kept; results do not depend on them.
+SAMPLE, FREQUENT = 16, 100_000
+#: Beyond so many sets of one shingle those near one of them are not compared with each other.
+MANY = 100
 
 _COMPILED: dict = {}
 
@@ -108,7 +108,7 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(line_id, line, simhash, kind, whole) of distinct lines; digits and hexadecimal ids are masked in the shingles."""
+    """(line_id, line, shingles, kind, whole) of distinct lines; digits and hexadecimal ids are masked in the shingles, sorted 64-bit hashes of five words."""
     ship(sys.modules[__name__], R)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,51 +117,90 @@ def fingerprints(lines: DataFrame) -> DataFrame:
         import numpy as np
 
         for batch in batches:
-            sums, sizes, hashes = [], [], []
+            ends, hashes = [], []
             for line in batch["line"]:
                 words = _rules()["MASK"].sub("0", line.lower()).split()
-                n = max(1, len(words) - SHINGLE + 1)
-                sizes.append(n)
-                hashes += [blake2b(" ".join(words[i : i + SHINGLE]).encode(), digest_size=8).digest() for i in range(n)]
-            if not sizes:
+                hashes += [blake2b(x.encode(), digest_size=8).digest() for x in {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}]
+                ends.append(len(hashes))
+            if not ends:
                 continue
-            bits = np.unpackbits(np.frombuffer(b"".join(hashes), dtype=np.uint8)).reshape(-1, 64)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            sums = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
-            mine = np.packbits(sums * 2 > np.array(sizes)[:, None], axis=1)
-            value = np.ascontiguousarray(mine).view(">i8").astype(np.int64).ravel()
+            values = np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64)
             signs = [sign_of(x) for x in batch["line"]]
-            yield pd.DataFrame({"line_id": batch["line_id"], "line": batch["line"], "simhash": value, "kind": [s and s[0] for s in signs], "whole": [bool(s and s[1]) for s in signs]})
+            yield pd.DataFrame({"line_id": batch["line_id"], "line": batch["line"], "shingles": [np.sort(x) for x in np.split(values, ends[:-1])], "kind": [s and s[0] for s in signs], "whole": [bool(s and s[1]) for s in signs]})
 
-    return lines.mapInPandas(prints, "line_id bigint, line string, simhash bigint, kind string, whole boolean")
+    return lines.mapInPandas(prints, "line_id bigint, line string, shingles array<bigint>, kind string, whole boolean")
 
 
-def _shingles(column: str):
-    words = F.split(F.regexp_replace(F.lower(column), r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+", "0"), " ")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(shingle, line_id, n, pos, parity): the rarest shingles of each set, as many as two sets of ``SIMILARITY`` must share one of.
+
+    Any order of shingles that is the same for all sets loses no pair; this one puts those last that are
+    frequent in a sample, so that few sets meet in one shingle. ``parity`` has a bit for each of 64 classes
+    of shingles, set if the set holds an odd number of them: two sets differ in at least as many shingles as bits.
+    """
+    sample = sets.where(F.pmod(F.xxhash64("line_id"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("shingle"))
+    often = sample.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").orderBy(F.desc("k"), "shingle").limit(FREQUENT).collect()
+    often = sorted((r["shingle"], r["k"]) for r in often)
+    known, counts = [x for x, _ in often], [k for _, k in often]
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        shingle, times = np.array(known, dtype=np.int64), np.array(counts, dtype=np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            n = batch["shingles"].map(len).to_numpy()
+            values = np.concatenate(batch["shingles"].to_list()).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(values), dtype=np.int64)
+            if len(shingle):
+                at = np.minimum(np.searchsorted(shingle, values), len(shingle) - 1)
+                rank = np.where(shingle[at] == values, times[at], 0)
+            order = np.lexsort((values, rank, row))
+            pos = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            keep = pos < (n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1)[row]
+            parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (values & 63).astype(np.uint64)), np.cumsum(n) - n).view(np.int64)
+            yield pd.DataFrame({"shingle": values[order][keep], "line_id": batch["line_id"].to_numpy()[row[keep]], "n": n[row[keep]], "pos": pos[keep], "parity": parity[row[keep]]})
+
+    # A set that differs from another is at most n / (n + 1) similar to it.
+    long = sets.where(F.size("shingles") >= SIMILARITY * (F.size("shingles") + 1) - 1e-9)
+    return long.select("line_id", "shingles").mapInPandas(prefixes, "shingle bigint, line_id bigint, n int, pos int, parity bigint")
+
+
+def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) with a Jaccard similarity of at least ``SIMILARITY``."""
+    of = prints.select("line_id", "shingles")
+    both = pairs.join(of.select(F.col("line_id").alias("a"), F.col("shingles").alias("s")), "a").join(of.select(F.col("line_id").alias("b"), F.col("shingles").alias("t")), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(common >= SIMILARITY * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """(a, b): pairs of lines within ``HAMMING`` bits whose five-word shingles have a Jaccard similarity of at least ``SIMILARITY``.
+    """(a, b): pairs of lines whose five-word shingles have a Jaccard similarity of at least ``SIMILARITY``; every such pair of lines is linked, directly or over others.
 
-    Lines with one fingerprint form a star around the least of them, so that only distinct fingerprints
-    enter the tables; these are partitioned by two of five blocks of bits, which finds every pair within
-    three bits. Every pair, of stars too, is verified on the texts.
+    Lines with one set of shingles form a star around the least of them, so that only distinct sets are
+    joined: exactly, on the rarest shingles (prefix filter), within bounds of length, position and parity. Where
+    more than ``MANY`` sets meet in one shingle, those similar to the least of them form a star too, and
+    only the rest is compared with all. Every pair is verified on the shingles.
     """
-    of = prints.select("line_id", "simhash")
-    heads = of.groupBy("simhash").agg(F.min("line_id").alias("head"))
-    stars = of.join(heads, "simhash").where("line_id <> head").select(F.col("head").alias("a"), F.col("line_id").alias("b"))
-    part = lambda k: F.shiftrightunsigned("simhash", BLOCKS[k][0]).bitwiseAND((1 << BLOCKS[k][1]) - 1)
-    tables = F.array(*[F.struct(F.lit(n).alias("table"), (F.shiftleft(part(i), 13) + part(j)).alias("bits")) for n, (i, j) in enumerate(combinations(range(5), 2))])
-    rows = heads.select("head", "simhash", F.explode(tables).alias("t")).select("head", "simhash", "t.table", "t.bits")
-    other = rows.select("table", "bits", F.col("head").alias("b"), F.col("simhash").alias("simhash_b"))
-    close = rows.join(other, ["table", "bits"]).where((F.col("head") < F.col("b")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash_b"))) <= HAMMING))
-    pairs = close.select(F.col("head").alias("a"), "b").distinct().unionByName(stars)
-    text = prints.select("line_id", "line")
-    both = pairs.join(text.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.withColumns({"s": F.array_distinct(_shingles("x")), "t": F.array_distinct(_shingles("y"))})
-    common = F.size(F.array_intersect("s", "t"))
-    return both.where(common >= SIMILARITY * (F.size("s") + F.size("t") - common)).select("a", "b")
+    of = prints.select("line_id", F.xxhash64("shingles").alias("same"))
+    heads = of.groupBy("same").agg(F.min("line_id").alias("a"), F.count("*").alias("k")).where("k > 1").select("same", "a")
+    stars = cut(of.join(heads, "same").where("line_id <> a").select("a", F.col("line_id").alias("b")))
+    sets = join_dimension(prints.select("line_id", "shingles"), stars.select(F.col("b").alias("line_id")), "line_id", "left_anti")
+    rows = written(_prefixes(sets))
+    keys = rows.groupBy("shingle").agg(F.min("line_id").alias("pivot"), F.count("*").alias("k")).where("k > 1")
+    rows = written(rows.join(keys, "shingle").withColumn("pivot", F.when(F.col("k") > MANY, F.col("pivot"))).drop("k"))
+    around = cut(_verified(rows.where("line_id <> pivot").select(F.col("pivot").alias("a"), F.col("line_id").alias("b")).distinct(), prints))
+    near = around.select(F.col("a").alias("pivot"), F.col("b").alias("line_id"), F.lit(True).alias("near"))
+    rows = rows.join(near, ["pivot", "line_id"], "left").select("shingle", "line_id", "n", "pos", "parity", F.coalesce("near", F.col("line_id") == F.col("pivot"), F.lit(False)).alias("near"))
+    x, y = rows.where("not near").alias("x"), rows.alias("y")
+    close = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where("x.line_id <> y.line_id and (y.near or x.line_id < y.line_id)")
+    shared = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    close = close.where((F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n") - 1e-9) & ((1 + SIMILARITY) * shared >= SIMILARITY * (F.col("x.n") + F.col("y.n")) - 1e-9))
+    close = close.where((1 + SIMILARITY) * F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n")) + 1e-9)
+    pairs = close.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")).distinct()
+    return _verified(pairs, prints).unionByName(around).unionByName(stars)
 
 
 def labelled_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:

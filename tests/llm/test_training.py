@@ -258,6 +258,37 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got <= true
 
 
+@pytest.mark.parametrize("many", [2, 100])
+def test_near_duplicates_link_all_pairs_of_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(residue, "MANY", many)
+    r = random.Random(7)
+    words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    lines = []
+    for _ in range(70):
+        base = [r.choice(words) for _ in range(r.choice([8, 9, 12, 40, 70, 120]))]
+        lines.append(" ".join(base))
+        for _ in range(5):
+            new = list(base)
+            for _ in range(len(new) // 40):
+                new[r.randrange(len(new))] = r.choice(words)
+            lines.append(" ".join(new[r.randrange(2) :]))
+    lines = sorted(set(lines)) + ["eins zwei 1", "eins zwei 22"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id bigint, line string")
+    got = rows(residue.near_duplicates(residue.fingerprints(df)))
+    sets = [(lambda w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(residue._rules()["MASK"].sub("0", x).split()) for x in lines]
+    true = {(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+    def components(pairs):
+        of = list(range(len(lines)))
+        for a, b in sorted(pairs):
+            x, y = of[a], of[b]
+            of = [min(x, y) if z in (x, y) else z for z in of]
+        return of
+
+    assert got <= true and len(true) > 100 and components(got) == components(true)
+    assert many < 100 or got == true
+
+
 def test_empty_tables_give_no_rows(spark):
     a = articles(spark, {"id": 1}).limit(0)
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")
