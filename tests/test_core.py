@@ -237,3 +237,16 @@ def test_lexicon_of_a_folder(spark, tmp_path):
     d = spark.createDataFrame([(1, "Lindenhof", "Die Bühne ist nicht gut. Am Ende war das alles sehr flach.", None, None, 500, False, None)], "id int, title string, full_text string, summary string, first_paragraph string, word_count int, paywall boolean, sentiment string")
     r = enrich.analyse(d, lx).first()
     assert r["mood"]["score"] == -3 and r["sentiment"] == "negativ" and r["tags"] == ["a:b", "c:d"] and r["score"] >= 200 and r["category"] == "sehr_relevant" and r["reason"] == ""
+
+
+def test_related_articles_equal_brute_force_with_frequent_entities(spark):
+    from corpuslens.plans import common, relational
+
+    folder = "/root/testdata/sf0.01"
+    days = {r["id"]: r["day"] for r in common.articles(spark, folder).where("day is not null").collect()}
+    of = {}
+    for r in common.entities(spark, folder).where("entity_type is not null and entity_value is not null").collect():
+        of.setdefault(r["article_id"], set()).add((r["entity_type"], r["entity_value"]))
+    known = [i for i in of if i in days]
+    want = {(i, j, len(of[i] & of[j])) for i in known if i % 50 == 0 for j in known if i != j and abs((days[i] - days[j]).days) <= 14 and len(of[i] & of[j]) >= 2}
+    assert want and {tuple(r) for r in relational.related_articles(spark, folder).collect()} == want
