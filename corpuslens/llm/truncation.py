@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, written
+from ..session import cut, join_dimension, written
 from .main_content import main_content
 
 #: A trigram seen less often elsewhere is too rare to judge by; an end without a full stop is then a cut.
@@ -28,19 +28,25 @@ SELECT gram, sum(if(inside = 1, 1, 0)) AS n_inside, sum(if(inside = -1, 1, 0)) A
 """
 #: The last words of each text without marks of omission and broken mark-up.
 _ENDS = r"""
-WITH last AS (SELECT id, source, field, substring_index(text, '\n', -1) AS line, trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS title FROM {texts} WHERE text <> ''),
-marked AS (SELECT id, source, field, line, coalesce(line = title, false) AS is_title, line RLIKE '(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*)$' AS broken, line RLIKE '(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$' AS omitted FROM last),
+WITH last AS (SELECT id, source, field, text_id, substring_index(text, '\n', -1) AS line, trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS title FROM {texts} WHERE text <> ''),
+marked AS (SELECT id, source, field, text_id, line, coalesce(line = title, false) AS is_title, line RLIKE '(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*)$' AS broken, line RLIKE '(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$' AS omitted FROM last),
 plain AS (SELECT *, split(regexp_replace(line, '\\s*(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*|\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), ' ') AS t FROM marked),
 words AS (SELECT *, coalesce(try_element_at(t, -4), '^') AS z, coalesce(try_element_at(t, -3), '^') AS a, coalesce(try_element_at(t, -2), '^') AS b, try_element_at(t, -1) AS c FROM plain)
-SELECT id, source, field, broken, omitted, is_title, c = '' AS empty, c RLIKE '[.!?]["”“»)]*$' AS stop, c RLIKE '[!?]' AS asks, c RLIKE '[)]$' AS bracket,
+SELECT id, source, field, text_id, broken, omitted, is_title, c = '' AS empty, c RLIKE '[.!?]["”“»)]*$' AS stop, c RLIKE '[!?]' AS asks, c RLIKE '[)]$' AS bracket,
   line RLIKE '^\\p{{L}}{{2,12}}: \\p{{Lu}}' AND line RLIKE ', \\p{{Lu}}[^ ,]* \\p{{Lu}}[^ ,]*$' AS cast,
   posexplode(array(xxhash64('B', a, b, if(rtrim('.,;:!?…"”“»«', c) = '', c, rtrim('.,;:!?…"”“»«', c))), xxhash64('B', z, a, rtrim('.,;:!?…"”“»«', b)), xxhash64('E', a, b, c), xxhash64('E', c))) AS (k, gram)
 FROM words
 """
+#: How many other texts of the same articles have the same end.
+_OWN = """
+WITH each AS (SELECT DISTINCT id, text_id FROM {ends}), pairs AS (SELECT DISTINCT x.text_id, y.text_id AS other FROM each x JOIN each y ON x.id = y.id AND x.text_id <> y.text_id),
+last AS (SELECT DISTINCT text_id, k, gram FROM {ends} WHERE k <> 1)
+SELECT p.text_id, x.k, count(*) AS n_own FROM pairs p JOIN last x ON x.text_id = p.text_id JOIN last y ON y.text_id = p.other AND y.k = x.k AND y.gram = x.gram GROUP BY p.text_id, x.k
+"""
 _JUDGED = f"""
-WITH found AS (SELECT e.*, coalesce(n_inside, 0) AS n_inside, coalesce(n_end, 0) AS n_end FROM {{ends}} e LEFT JOIN {{counts}} c ON c.gram = e.gram),
-judged AS (SELECT id, source, field, broken, omitted, is_title, empty, stop, asks, bracket, cast, max(if(k = 0, n_inside, 0)) AS b3_in, max(if(k = 0, greatest(n_end - 1, 0), 0)) AS b3_end, max(if(k = 1, n_inside, 0)) AS before_in,
-  max(if(k = 2, n_inside, 0)) AS e3_in, max(if(k = 2, greatest(n_end - 1, 0), 0)) AS e3_end, max(if(k = 3, n_inside, 0)) AS e1_in, max(if(k = 3, greatest(n_end - 1, 0), 0)) AS e1_end FROM found GROUP BY ALL)
+WITH found AS (SELECT e.*, coalesce(n_inside, 0) AS n_inside, greatest(coalesce(n_end, 0) - 1 - coalesce(n_own, 0), 0) AS n_else FROM {{ends}} e LEFT JOIN {{counts}} c ON c.gram = e.gram LEFT JOIN {{own}} o ON o.text_id = e.text_id AND o.k = e.k),
+judged AS (SELECT id, source, field, broken, omitted, is_title, empty, stop, asks, bracket, cast, max(if(k = 0, n_inside, 0)) AS b3_in, max(if(k = 0, n_else, 0)) AS b3_end, max(if(k = 1, n_inside, 0)) AS before_in,
+  max(if(k = 2, n_inside, 0)) AS e3_in, max(if(k = 2, n_else, 0)) AS e3_end, max(if(k = 3, n_inside, 0)) AS e1_in, max(if(k = 3, n_else, 0)) AS e1_end FROM found GROUP BY ALL)
 SELECT id, source, field, CASE
   WHEN broken THEN true WHEN empty THEN false WHEN is_title THEN false
   WHEN stop AND asks THEN false
@@ -66,14 +72,18 @@ def truncated_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text"
     three predecessors mostly go on otherwise (a cut word). A text that ends in broken mark-up is cut. A field equal to the row's title is a headline and complete.
 
     Null, empty and blank fields have no row; rows repeated are judged as one.
-    Counts cover all texts and are aggregated map-side on hashes of words.
+    Counts cover every distinct text once, so that copies do not vouch for one another; ends of a text
+    leave out its own and those of other fields of its articles. They are aggregated map-side on hashes of words.
     """
     spark = articles.sparkSession
     own = main_content(articles, fields, key, carry=("title",), normal=True).withColumnRenamed(key, "id").select("id", "source", "title", "field", "text")
-    own = written(own)
-    counts = cut(spark.sql(_GRAMS, texts=own))
-    ends = spark.sql(_ENDS, texts=own)
-    return spark.sql(_JUDGED, ends=ends, counts=counts).withColumnRenamed("id", key)
+    own = written(own.withColumns({"text_id": F.xxhash64("text"), "row": F.monotonically_increasing_id()}))
+    of = own.where("text <> ''").select("text_id", "row")
+    firsts = of.groupBy("text_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = cut(of.join(firsts, "text_id").where("row <> first").select("row"))
+    counts = cut(spark.sql(_GRAMS, texts=join_dimension(own, copies, "row", "left_anti")))
+    ends = written(spark.sql(_ENDS, texts=own))
+    return spark.sql(_JUDGED, ends=ends, counts=counts, own=spark.sql(_OWN, ends=ends)).withColumnRenamed("id", key)
 
 
 def truncation_rates(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "summary")) -> DataFrame:

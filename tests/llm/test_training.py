@@ -162,6 +162,15 @@ def test_broken_off_texts(spark):
     assert got == {(i, "full_text") for i in cuts}
 
 
+@pytest.mark.parametrize("copies", [3, 1000])
+def test_copies_of_a_cut_text_do_not_vouch_for_one_another(spark, copies):
+    whole = [{"id": i, "source": "A", "title": f"Titel {i}", "full_text": f"Wort{i} beginnt den Abend. Die Regie zeigt den Stoff ohne Pause."} for i in range(30)]
+    text = "Das Haus erzählt den Text mit wenig Geld. Am Ende trägt das Ensemble einen seltsam leuchtenden"
+    cut = [{"id": 1000 + i, "source": f"B{i // 3}", "title": "T", "full_text": text, "summary": text.split(". ")[1] if i % 2 else None} for i in range(copies)]
+    got = {(r["id"], r["field"]) for r in truncation.truncated_fields(articles(spark, *whole, *cut)).where("truncated").collect()}
+    assert got == {(r["id"], f) for r in cut for f in ("full_text", "summary") if r[f]}
+
+
 # --- survivors
 
 
