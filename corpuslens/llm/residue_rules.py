@@ -4,7 +4,7 @@ from __future__ import annotations
 
 #: Unfilled placeholders of usual template languages. Control tokens such as <|endoftext|> are none.
 PLACEHOLDER = (
-    r"\{\{[^{}\n]{1,40}\}\}|\$\{[\p{L}_][\p{L}\p{N}_.]{0,40}\}|#\{[\p{L}_][\p{L}\p{N}_.]{0,40}\}|<%[^%\n]{1,40}%>|\{%[^%\n]{1,40}%\}"
+    r"\{\{[^{}\n]+\}\}|\$\{[\p{L}_][\p{L}\p{N}_.]{0,40}\}|#\{[\p{L}_][\p{L}\p{N}_.]{0,40}\}|<%[^%\n]+%>|\{%[^%\n]+%\}"
     r"|\[\[\s?[\p{L}_][\p{L}\p{N}_.]{0,40}\s?\]\]|##[\p{L}_][\p{L}\p{N}_.]{0,40}##|@@[\p{L}_][\p{L}\p{N}_.]{0,40}@@|<<[\p{L}_][\p{L}\p{N}_.]{0,40}>>"
     r"|\{[\p{L}_][\p{L}\p{N}_.]{1,40}\}|%[\p{Lu}_]{3,40}%|%%[\p{L}_][\p{L}\p{N}_.]{1,40}%%|\[[\p{L}_][\p{L}\p{N}_. ]{0,40} (?:HIER EINFÜGEN|EINFÜGEN|INSERT HERE|TO INSERT|À INSÉRER)\]|__[\p{Lu}_]{3,40}__"
 )
@@ -56,5 +56,5 @@ CHROME = r"(?i)^(?:ray [0-9a-f]{6,}|kennung der anfrage.*|nginx.*|zurück|zur st
 HINTS = (
     "error", "fehler", "erreur", "found", "gateway", "unavailable", "forbidden", "unauthorized", "request", "denied", "wrong", "session", "sitzung", "exception", "warning", "notice", "traceback", "upstream", "connection", "checking", "wait", "maintenance", "wartung", "be back", "few seconds", "introuvable", "non trouvée",
     "accès", "indisponible", "expiré", "délai", "server", "dienst", "datenbank", "adresse", "dokument", "artikel", "seite", "ressource", "anwendung", "verbindung", "inhalt", "beitrag", "datei", "service", "system", "angebot", "archiv", "verweigert", "zeitüberschreitung", "ups!", "hoppla", "kennung", "page", "resource", "document",
-    "article", "file", "url", "site", "database", "address", "content", "link", "serveur", "base de données", "contenu", "nginx", "erreichbar", "skript", "script", "blocker", "browser", "blindtext", "folgt", "steht", "kommt", "überschrift", "text", "platzhalter", "bedeutung", "xxx", "bla", "placeholder", "insert", "to come", "tbd", "them on", "it on", "missing", "method", "bad ", "status", "code",
+    "article", "file", "url", "site", "database", "address", "content", "link", "serveur", "base de données", "contenu", "nginx", "erreichbar", "skript", "script", "blocker", "browser", "blindtext", "folgt", "steht", "kommt", "überschrift", "text", "platzhalter", "bedeutung", "xxx", "bla", "placeholder", "insert", "to come", "tbd", " tk", "them on", "it on", "missing", "method", "bad ", "status", "code",
 )

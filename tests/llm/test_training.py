@@ -241,6 +241,11 @@ def test_texts_that_only_speak_of_residue(line):
     assert residue.sign_of(line) is None
 
 
+@pytest.mark.parametrize("line", ["Headline TK", "copy tk", "text tk", "headline to come", "copy tbd", "Blindtext Blindtext", "bla bla bla", "xxx xxx", "Noch ein Satz ohne Bedeutung", "Er steht hier nur, damit die Fläche nicht leer bleibt", "Insert headline here", "Ceci est un faux texte", "Ort: {{ " + "x" * 60 + " }}", "<%= " + "x" * 60 + " %>", "{% if " + "x" * 60 + " %}"])
+def test_hints_and_lengths_lose_no_sign(line):
+    assert residue.sign_of(line)
+
+
 def test_labels_spread_over_near_duplicates_only(spark):
     notice = "Der angeforderte Beitrag liegt hinter einer Wartungsseite und kommt bald wieder, bitte haben Sie bis dahin noch etwas Geduld mit unserem kleinen Team"
     trusted = "Dies ist ein Blindtext " + notice
