@@ -1,184 +1,169 @@
-"""Main body of pages: tree scoring of lines, blocks and the page."""
+"""Main body of pages: tree scoring of lines, containers and the page, in SQL."""
 
 from __future__ import annotations
 
-import re
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, join_dimension, ship
+from ..session import cut, join_dimension
 from .repeated_lines import clean_line, line_array, repeated_lines
 
-#: Items of menus, footers and buttons, in German, English and French.
-MENU = """startseite|home|menü|menu|kultur|bühne|musik|film|politik|sport|wetter|lokales|regional|wirtschaft|reise|wissen|meinung|podcast|podcasts|e-paper|epaper|abo|abonnement|abonnieren|anmelden|registrieren|login|suche|termine|spielpläne|spielplan|stellenmarkt|anzeigenmarkt|newsletter|archiv|video|videos|fotos|galerie
-impressum|datenschutz|datenschutzerklärung|agb|kontakt|über uns|mediadaten|barrierefreiheit|widerruf|cookie-einstellungen|nach oben|zurück|zur startseite|karriere|hilfe|faq|rss|sitemap|teilen|merken|drucken|per nachricht senden|per e-mail senden|kommentieren|weiterlesen|mehr
-culture|stage|theatre|theater|music|books|opinion|politics|weather|travel|business|sign in|sign up|log in|subscribe|search|listings|jobs|about us|about|contact|privacy|privacy policy|terms|terms of use|advertise|imprint|accessibility|back to top|cookie settings|cookies|help|share|share this story|save|print|comment|read more|events|reviews|news|arts|tickets
-accueil|scènes|scène|théâtre|musique|livres|cinéma|agenda|idées|opinions|politique|météo|recherche|rechercher|se connecter|s’abonner|s'abonner|abonnements|mentions légales|cgu|cgv|haut de page|qui sommes-nous|à propos|publicité|plan du site|accessibilité|confidentialité|gestion des cookies|partager|enregistrer|imprimer|commenter|lire la suite|expositions|danse|opéra|boutique|emplois|aide"""
-#: Whole lines of the page around an article (matched from start to end, case ignored).
-PAGE_LINES = (
-    r"[–—-]?\s*(?:anzeige|werbung|advert|advertisement|advertorial|sponsored|publicité|annonce)\s*[–—-]?",
-    r"\d+\s+(?:kommentare?|comments?|commentaires?)", r"(?:kommentare?|comments?|commentaires?)\s*(?:\(\d+\))?",
-    r"(?:lesedauer|lesezeit|reading time|temps de lecture|lecture)\s*:?\s*(?:ca\.?\s*)?\d+\s*(?:min\.?|minuten?|minutes?)", r"\d+\s*min(?:\.|utes?)?\s*(?:read|lesezeit|de lecture)?",
-    r"(?:zuletzt |letzte )?(?:aktualisiert|aktualisierung|last updated|updated|mis à jour(?: le)?|stand)\s*:?\s*(?:am |on |le )?\d.*", r"(?:veröffentlicht|published|publié)(?: am| on| le)?\s*:?\s*\d.*",
-    r"(?:sie sind hier|you are here|vous êtes ici)\s*:.*", r"(?:home|startseite|accueil)\s*[›»>/]\s*.*",
-    r"(?:alle(?:s)? )?(?:akzeptieren|ablehnen|annehmen|zustimmen)(?: und (?:weiter|fortfahren|schließen))?", r"zustimmen und weiter", r"nur (?:notwendige|essenzielle|erforderliche)(?: cookies)?", r"(?:einstellungen|auswahl|präferenzen|cookies?) (?:verwalten|anpassen|speichern|öffnen)",
-    r"(?:accept|reject|allow|decline)(?: all| non-essential| selected)?(?: cookies)?", r"(?:manage|save|cookie) (?:preferences|choices|settings|options)", r"(?:tout )?(?:accepter|refuser)(?: et (?:fermer|continuer))?", r"continuer sans accepter", r"(?:gérer|personnaliser) mes (?:choix|préférences)", r"paramétrer(?: les cookies)?",
-    r"(?:bereits|schon) abonnent\?.*", r"already a subscriber\?.*", r"déjà abonné.*", r"jetzt (?:\S+ ){0,3}(?:wochen?|monate?|tage) (?:gratis|kostenlos).*", r"(?:zum )?newsletter(?: abonnieren)?", r".{0,80}\bjetzt (?:eintragen|anmelden|abonnieren|bestellen)[.!]?",
-    r"(?:sign up|get|subscribe).{0,80}\b(?:inbox|newsletter|letter)\b.*", r"recevez notre (?:lettre|newsletter).*", r"(?:folgen sie|follow us|follow|suivez)\b.{0,60}(?:netzen|medien|facebook|instagram|social|réseaux|us on).*",
-    r"(?:©|\(c\)|copyright\b).{0,120}", r"(?:alle rechte vorbehalten|all rights reserved|tous droits réservés)\b.*", r"von unserer (?:kultur|lokal|feuilleton|theater)?-?redaktion", r"par la rédaction(?: culture)?", r"by our (?:arts|culture|theatre) (?:desk|staff|editors)",
-    r"quelle\s*:.{1,60}", r"(?:ein beitrag|ein artikel|ein text) aus dem ressort.{1,60}", r"(?:bild|foto|fotos|text|bild und text)\s*:.{1,60}/.{1,40}", r"mehr zum thema.{0,80}", r"(?:share|teilen|partager)(?: .{1,60})?(?:drucken|senden|print|imprimer|save)", r"dieser (?:text|beitrag|artikel) erschien zuerst.*", r"first published in.*",
-    r"gefällt ihnen dieser (?:beitrag|artikel|text)\?.*", r"\+\+\+.*\+\+\+", r"(?:support|soutenez)\b.{1,80}(?:friend|subscribe|abonnez-vous|today|aujourd).*", r"die meinung der autorinnen und autoren.*", r"hinweis der redaktion:.*", r".{1,60} – ein angebot de[rs] .*",
-)
-#: Sentences of consent notices, by what they speak of.
-CONSENT = r"(?i)\b(?:cookies?\b|einwilligung|willigen sie|privatsphäre|zustimmen“|dienste von bis zu|speichern dürfen|datenschutz ist uns|your consent|our partners|your privacy|your device|traceurs|vie privée|votre consentement|nos partenaires)"
-#: Headings of lists of other articles, and openings of a reference to one.
-LISTS = r"(?i)^(?:meist ?gelesen|meistgelesene? (?:artikel|beiträge)?|beliebt|beliebte (?:artikel|beiträge)|das könnte sie auch interessieren|auch interessant|neu im ressort|weitere (?:artikel|beiträge|themen)|mehr aus (?:der|dem) .{2,30}|ähnliche (?:artikel|beiträge)|lesen sie auch|most read|most popular|trending(?: now)?|you (?:may|might) also like|related(?: articles| stories)?|more from .{2,30}|recommended(?: for you)?|editors?.{0,3} picks|les plus lus?|à lire aussi|sur le même (?:sujet|thème)|à ne pas manquer|dans la même rubrique|vous aimerez aussi|nos derniers articles)\s*:?$"
-REFERENCE = r"(?i)^(?:[→›»>▶•*-]\s*)?(?:lesen sie (?:auch|dazu|hier)|siehe auch|mehr dazu|mehr zum thema|auch interessant|read (?:more|also|next)|see also|related|more on this|lire aussi|à lire(?: aussi)?|voir aussi|sur le même sujet)\s*(?::|–|—|-|›|»)\s*\S"
-
-#: A text may break off within a page line: a last line of at least so many characters that begins a known one is taken for it.
+#: What stands in so many documents and in one of so many counts as a template of all sources.
+LEAST_DOCS, ONE_IN = 5, 2_000
+#: A light line has less than one point: no comma, no sentence, fewer characters than this.
+LIGHT = 150
+#: A last line of at least so many characters that begins a standing line of the source is that line, cut off.
 CUT = 5
-#: Openings of frequent page lines, for those cut off.
-OPENINGS = tuple("meistgelesen|meist gelesen|das könnte sie auch interessieren|alle rechte vorbehalten|folgen sie|der kulturbrief: jeden|gefällt ihnen dieser|bild und text:|mehr zum thema|teilen merken|wir verwenden cookies|nach oben|barrierefreiheit|cookie-einstellungen|mediadaten|impressum|datenschutz|kommentare|all rights reserved|most read|you may also like|back to top|share this story|get our weekly|tous droits réservés|les plus lus|haut de page|mentions légales|partager enregistrer|recevez notre|lesen sie auch:|siehe auch|mehr dazu:|read more:|related:|lire aussi".split("|"))
-
-_ITEMS = frozenset(x for line in MENU.split("\n") for x in line.split("|"))
-_WORDS = max(len(x.split()) for x in _ITEMS)
-_PAGE = re.compile(r"(?i)^(?:" + "|".join(PAGE_LINES) + r")$")
-_CONSENT, _LISTS, _REFERENCE = re.compile(CONSENT), re.compile(LISTS), re.compile(REFERENCE)
-#: Without any of these a longer line that ends like a sentence is running text.
-_MAYBE = (
-    "cookie", "willig", "privat", "datenschutz", "zustimm", "speichern", "consent", "partner", "privacy", "traceurs", "vie privée", "abonn", "subscri", "newsletter", "inbox", "letter", "lettre", "vorbehalten", "reserved", "réservés", "redaktion", "rédaction", "jetzt", "folgen", "follow", "suivez", "quelle", "ressort", "angebot", "erschien", "publi", "gefällt", "support", "soutenez", "meinung", "kommentar", "comment", "lesen", "lire", "read", "see also", "siehe", "mehr", "related", "teilen", "share", "+++", "©", "copyright", "bild", "foto", "aktuali", "updated", "mis à jour", "hier", "here", "›", ">", "|",
-)
-_BREAKS = re.compile(r"\s*[|•·›»/–]\s*|\t+|\s{2,}")
-_END = re.compile(r"[.!?…:;,]\s*$")
-
-
-def menu_share(raw: str) -> float:
-    """The share of a line's words that are items of menus, read greedily from left to right."""
-    hit = total = 0
-    for part in _BREAKS.split(raw.strip().lower()):
-        words = part.split()
-        total += len(words)
-        i = 0
-        while i < len(words):
-            n = next((n for n in range(min(_WORDS, len(words) - i), 0, -1) if " ".join(words[i : i + n]) in _ITEMS), 0)
-            hit += n
-            i += n or 1
-    return hit / total if total else 0.0
-
-
-def link_density(raw: str, line: str, cache: dict) -> float:
-    """How far a line belongs to the page: 0 for running text, 1 for menus, notices and references."""
-    if len(line) > 400:
-        return 0.0
-    if (d := cache.get(line)) is None:
-        d = 0.0
-        low = line.lower()
-        if len(line) >= 60 and line[-1] in ".!?“”…)" and not any(k in low for k in _MAYBE):
-            pass
-        elif len(line) <= 400 and _PAGE.match(line) or len(line) <= 200 and _CONSENT.search(line) or _LISTS.match(line) or len(line) <= 200 and _REFERENCE.match(line):
-            d = 1.0
-        elif len(line) <= 300:
-            d = menu_share(raw)
-        if len(cache) < 200_000:
-            cache[line] = d
-    return d
-
-
-def names_source(line: str, source: str) -> bool:
-    """Whether a line names its source: as whole words, and a name of four letters or more."""
-    at = line.find(source) if len(source) >= 4 else -1
-    end = at + len(source)
-    return at >= 0 and not line[at - 1 : at].isalnum() and not line[end : end + 1].isalnum()
-
-
-def score_page(text: str, source: str | None, repeated: set[int], cache: dict) -> list[bool | None]:
-    """For each line of the text whether it is the article's own (None for blank ones).
-
-    Lines are the leaves of a tree: page, blocks (runs of lines that no page line interrupts), lines. A
-    line of at least 25 characters earns 1 point, 1 for each comma and up to 3 for its length, less
-    its link density; its points pass to its block and, halved, to the page. The block with most points
-    is the main container. Of its siblings those with points are kept, and those between kept ones
-    (subheads, short questions); blocks without any, before or after, belong to the page. If no block
-    has points, all lines that are not page lines are kept.
+#: A sibling of the best container is kept if it has at least this many points, or as many as the best.
+SIBLING = 1.0
+_HEAD = r"(?:[^\n]*[›»>→]|[^\n:–—]*[:–—]) "
+#: The end of a sentence within a line: three letters, a stop, and a new beginning.
+_INNER = r"""(?<=\p{L}{3})[.!?…]["”“»)’']* ["„“«(–—]*[\p{Lu}(–—]"""
+
+
+def _masked(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[0-9]+", "0")
+
+
+def _ends(line: Column, marks: str) -> Column:
+    """Whether a line ends with one of ``marks``, perhaps within quotation marks or brackets."""
+    return F.substring(F.rtrim(line, F.lit("\"”“»)’'")), -1, 1).isin(*marks)
+
+
+def _spaces(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" ")))
+
+
+def points(line: Column) -> Column:
+    """What a line earns: 1 for a sentence (four words that end with a stop, or one that begins after another), 1 for each comma, up to 3 for its length."""
+    sentence = (_ends(line, ".!?…") & (_spaces(line) >= 3)) | line.rlike(_INNER)
+    return F.when(sentence, 1.0).otherwise(0.0) + F.length(line) - F.length(F.replace(line, F.lit(","))) + F.least(F.lit(3.0), F.length(line) / LIGHT)
+
+
+def _open(line: Column) -> Column:
+    """Short and without a stop at its end, or of three words at most: what may be a link, a label or a counter."""
+    return (F.length(line) < LIGHT) & (~F.substring(line, -1, 1).isin(*".!?…") | (_spaces(line) < 3))
+
+
+def _light(line: Column) -> Column:
+    return (F.length(line) < LIGHT) & ~F.substring(line, -1, 1).isin(*".!?…") & ~line.contains(",")
+
+
+def page_templates(docs: DataFrame) -> DataFrame:
+    """(key, digits, head, list) of what light lines of many documents have in common, whatever their source.
+
+    ``docs`` has text. ``digits``: lines that differ in their digits only (counters, times). ``head``:
+    beginnings up to a colon, dash or arrow that are followed by ever other words without a comma
+    (labels of links, the path of a page), unless a list with commas follows more often (casts).
+    ``list``: lines that two more light lines follow in at least half of their documents (headings of
+    lists, menus). Each stands in at least ``LEAST_DOCS`` documents and one in ``ONE_IN``; so of each kind
+    there are at most ``lines a document * ONE_IN``. Keys are 64-bit hashes, case ignored.
     """
-    raw = text.split("\n")
-    lines = [" ".join(x.replace("﻿", " ").split()) for x in raw]
-    density = [0.0] * len(lines)
-    listed = 0
-    for i, t in enumerate(lines):
-        if not t:
-            continue
-        d = 1.0 if i in repeated or (source and len(t) < 300 and names_source(t, source)) else link_density(raw[i], t, cache)
-        if listed and d < 0.5:
-            numbered = t[:1].isdigit() and re.match(r"\d{1,2}\.\s", t)
-            if listed < 12 and len(t) <= 140 and (numbered or (not _END.search(t) and len(t.split()) >= 3)):
-                d, listed = 1.0, listed + 1
-            else:
-                listed = 0
-        if _LISTS.match(t):
-            listed = 1
-        density[i] = d
-    last = next((i for i in range(len(lines) - 1, -1, -1) if lines[i]), None)
-    if last is not None and CUT <= len(lines[last]) < 40 and any(o.startswith(lines[last].lower()) for o in OPENINGS):
-        density[last] = 1.0
-    blocks: list[list[int]] = [[]]
-    for i, t in enumerate(lines):
-        if t and density[i] >= 0.5:
-            blocks.append([])
-        elif t:
-            blocks[-1].append(i)
-    blocks = [b for b in blocks if b]
-    points = [sum((1 + lines[i].count(",") + min(3.0, len(lines[i]) / 100)) * (1 - density[i]) for i in b if len(lines[i]) >= 25) for b in blocks]
-    kept = [k for k, p in enumerate(points) if p > 0]
-    keep = set(range(kept[0], kept[-1] + 1)) if kept else set(range(len(blocks)))
-    own = {i for k, b in enumerate(blocks) if k in keep for i in b}
-    return [None if not t else i in own for i, t in enumerate(lines)]
-
-
-def main_content(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "first_paragraph"), key: str = "id", lines_from: str = "full_text", carry: tuple[str, ...] = (), normal: bool = False) -> DataFrame:
-    """(key, source, field, text, page_lines): each field's own text, and the numbers (from 1) of the lines that are not its own.
+    n = docs.count()
+    least = max(LEAST_DOCS, -(-n // ONE_IN))
+    lines = docs.where("text <> ''").select(F.monotonically_increasing_id().alias("row"), F.filter(line_array(F.col("text")), lambda x: x != "").alias("l"))
+    three = F.arrays_zip("l", F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))).alias("m"), F.slice("l", 3, F.greatest(F.size("l"), F.lit(1))).alias("n"))
+    each = lines.select("row", F.explode(three).alias("x")).select("row", "x.l", "x.m", "x.n").where(_open(F.col("l")))
+    each = each.select("row", _masked(F.col("l")).alias("line"), _light(F.col("l")).alias("light"), F.coalesce(_light(F.col("l")) & _light(F.col("m")) & _light(F.col("n")), F.lit(False)).alias("listed"))
+    each = each.withColumn("head", F.regexp_extract("line", rf"^({_HEAD})", 1))
+    kinds = F.array(
+        F.struct(F.when(F.col("light"), "line").alias("kind"), F.col("line").alias("key")), F.struct(F.when(F.col("listed"), "list").alias("kind"), F.col("line").alias("key")), F.struct(F.when(F.col("line").contains("0"), "digits").alias("kind"), F.col("line").alias("key")),
+        F.struct(F.when(F.col("head") != "", F.when(F.col("light"), "head").when(F.col("line").contains(","), "comma")).alias("kind"), F.col("head").alias("key")),
+    )
+    once = each.select("row", F.explode(kinds).alias("k")).where("k.kind is not null").select("row", "k.kind", F.xxhash64("k.key").alias("key")).distinct()
+    often = once.groupBy("key").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("digits", "head", "comma", "list", "line")])
+    is_ = {"digits": F.col("n_digits") >= least, "head": (F.col("n_head") >= least) & (F.col("n_head") >= F.col("n_comma")), "list": (F.col("n_list") >= least) & (F.col("n_list") * 2 >= F.col("n_line"))}
+    return often.select("key", *[c.alias(k) for k, c in is_.items()]).where("digits or head or list")
+
+
+def standing_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, line_key) of the repeated lines of each source, and (source, start_key) of all their beginnings of ``CUT`` characters and more."""
+    lines = cut(repeated_lines(docs))
+    begin = F.transform(F.sequence(F.lit(CUT), F.length("line")), lambda i: F.substring(F.col("line"), F.lit(1), i))
+    starts = lines.where(F.length("line") >= CUT).select("source", F.explode(begin).alias("start")).select("source", F.xxhash64("start").alias("start_key")).distinct()
+    return lines.select("source", F.xxhash64("line").alias("line_key")), starts
+
+
+def scored_lines(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "first_paragraph"), key: str = "id", lines_from: str = "full_text") -> DataFrame:
+    """(key, field, text_hash, line_no, own) of every non-blank line.
+
+    Lines are the leaves of a tree: page, containers, lines. A line earns ``points`` for sentences,
+    commas and length, less its link density, which is 1 for standing lines of the source, for what
+    ``page_templates`` knows and for lines of one sentence or two that name their source. Light lines
+    that ask nothing, in a run of three, or of two after a page line, or after a heading of lists are a list of links,
+    density 1, too. Lines between page lines form a container and pass it their
+    points. The container with most points is the body; siblings with at least ``SIBLING`` points are
+    kept, and light ones (subheads, short questions) between kept ones. If none has points, all are.
+    """
+    d = articles.select(F.col(key).alias("key"), "source", *[F.col(f).alias(f"field_{i}") for i, f in enumerate(fields)], F.col(lines_from).alias("from_text"))
+    known, starts = standing_lines(d.select(F.col("key").alias("id"), "source", F.col("from_text").alias("text")))
+    templates = cut(page_templates(d.select(F.col("from_text").alias("text"))))
+    rows = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"field_{i}").alias("text")) for i in range(len(fields))])
+    each = d.withColumn("row", F.monotonically_increasing_id() * len(fields)).select("row", "key", "source", F.explode(rows).alias("r"))
+    each = each.select((F.col("row") + F.col("r.field")).alias("row"), "key", "source", "r.field", F.xxhash64("r.text").alias("text_hash"), F.posexplode(line_array(F.col("r.text"))).alias("pos", "line")).where("line <> ''")
+    line, at = F.col("line"), F.expr("instr(line, source)")
+    around = F.expr("substring(line, instr(line, source) - 1, 1) || ' ' || substring(line, instr(line, source) + length(source), 1)")
+    names_it = F.when((F.length("source") >= 4) & (at > 0), ~around.rlike(r"[\p{L}\p{N}]") & (F.size(F.split(line, _INNER)) <= 2))
+    masked = F.when(_open(line), _masked(line))
+    each = each.select(
+        "row", "key", "source", "field", "text_hash", "pos", points(line).alias("points"), F.xxhash64("line").alias("line_key"), F.xxhash64(masked).alias("masked_key"), F.when(_light(line), F.xxhash64(F.regexp_extract(masked, rf"^({_HEAD})", 1))).alias("head_key"),
+        F.coalesce(masked.contains("0"), F.lit(False)).alias("has_digit"), F.substring(line, -1, 1).isin("?", "!").alias("asks"), F.coalesce(names_it, F.lit(False)).alias("names_it"),
+    )
+    each = join_dimension(each, known.withColumn("standing", F.lit(True)), ["source", "line_key"])
+    each = join_dimension(each, known.groupBy("line_key").agg(F.count("*").alias("n")).where("n > 1").select("line_key", F.lit(True).alias("common")), "line_key")
+    each = join_dimension(each, templates.where("digits or list").select(F.col("key").alias("masked_key"), "digits", "list"), "masked_key")
+    each = join_dimension(each, templates.where("head").select(F.col("key").alias("head_key"), "head"), "head_key")
+    each = join_dimension(each, starts.select("source", F.col("start_key").alias("line_key"), F.lit(True).alias("begins")), ["source", "line_key"])
+    order, page = Window.partitionBy("row").orderBy("pos"), Window.partitionBy("row")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    light = F.col("points") < 1
+    mark = yes("standing") | yes("common") | F.col("names_it") | (yes("digits") & F.col("has_digit")) | (light & (yes("head") | yes("list")))
+    each = each.select("row", "key", "field", "text_hash", "pos", "points", mark.alias("mark"), yes("begins").alias("begins"), yes("list").alias("heads"), yes("head").alias("head"), "asks")
+    each = each.withColumn("last", F.lead("pos").over(order).isNull()).withColumn("mark", F.col("mark") | (F.col("last") & F.col("begins")))
+    each = each.withColumn("kind", F.when(light & (F.col("head") | ~F.col("mark") & ~F.col("asks")), 1).when(F.col("mark"), 0).otherwise(2))
+    each = each.withColumns({"before": F.lag("kind").over(order), "headed": F.coalesce(F.lag("heads").over(order), F.lit(False))})
+    each = each.withColumn("starts", ~F.col("kind").eqNullSafe(F.col("before"))).withColumn("run", F.sum(F.col("starts").cast("int")).over(order))
+    run = Window.partitionBy("row", "run")
+    each = each.withColumns({"length": F.count("*").over(run), "first_before": F.max(F.when(F.col("starts"), F.col("before"))).over(run), "first_headed": F.max(F.col("starts") & F.col("headed")).over(run)})
+    listed = (F.col("kind") == 1) & ((F.col("length") >= 3) | ((F.col("length") >= 2) & (F.col("first_before") == 0)) | F.col("first_headed"))
+    each = each.withColumn("linked", F.col("mark") | F.coalesce(listed, F.lit(False)))
+    each = each.withColumn("container", F.sum(F.col("linked").cast("int")).over(order))
+    each = each.withColumn("total", F.sum(F.when(~F.col("linked"), F.col("points"))).over(Window.partitionBy("row", "container")))
+    each = each.withColumn("keeps", ~F.col("linked") & (F.col("total") >= F.least(F.lit(SIBLING), F.max("total").over(page))))
+    each = each.withColumns({"from_pos": F.min(F.when(F.col("keeps"), F.col("pos"))).over(page), "to_pos": F.max(F.when(F.col("keeps"), F.col("pos"))).over(page)})
+    cut_off = F.col("last") & (F.col("pos") > F.col("to_pos"))
+    own = ~F.col("linked") & (F.col("pos").between(F.col("from_pos"), F.col("to_pos")) | cut_off)
+    return each.select("key", F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1).alias("field"), "text_hash", (F.col("pos") + 1).alias("line_no"), own.alias("own"))
+
+
+def own_lines(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "summary"), key: str = "id", lines_from: str = "full_text") -> DataFrame:
+    """(key, source, title, field, line_no, line, final) of the own lines, cleaned; ``final`` marks a field's last one. Repeated rows give one set of lines."""
+    flags = scored_lines(articles, fields, key, lines_from).groupBy("key", "field", "text_hash", "line_no").agg(F.max("own").alias("own"))
+    flags = flags.groupBy("key", "field", "text_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "own"))), lambda x: x["own"]).alias("flags"))
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
+    each = articles.select(F.col(key).alias("key"), "source", "title", F.explode(rows).alias("r")).select("key", "source", "title", "r.field", "r.text").where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    f = flags.withColumnsRenamed({"key": "k", "field": "f", "text_hash": "h"})
+    joined = each.join(f, each["key"].eqNullSafe(f["k"]) & (each["field"] == f["f"]) & (each["text_hash"] == f["h"]))
+    lines = F.filter(F.arrays_zip(F.filter(line_array(F.col("text")), lambda x: x != "").alias("line"), F.col("flags").alias("own")), lambda x: x["own"])
+    out = joined.select("key", "source", "title", "field", F.posexplode(lines).alias("line_no", "x"), F.size(F.filter("flags", lambda x: x)).alias("n"))
+    return out.select("key", "source", "title", "field", "line_no", F.col("x.line").alias("line"), (F.col("line_no") == F.col("n") - 1).alias("final"))
+
 
-    A page line at the very end may be cut off, too. Fields that are null have no row, empty and blank ones keep an empty text. Lines that stand in very
-    many texts of the source (see ``repeated_lines``) and lines that name the source count as links in
-    full, like menus, notices and references to other articles. Own lines stay as they stand, in order;
-    with ``normal`` without blank lines and with single blanks. Columns named in ``carry`` come along.
+def main_content(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "first_paragraph"), key: str = "id", lines_from: str = "full_text") -> DataFrame:
+    """(key, source, field, text, page_lines): each field's own text, and the numbers (from 1) of the lines that are not its own.
 
-    The repeated lines of a source (at most lines per text * 20) are joined to its texts as one array,
-    so the texts themselves are never shuffled while the sources are few enough to be broadcast.
+    Fields that are null have no row, empty and blank ones keep an empty text; repeated rows give a row
+    each. Own lines stay as they stand, in order, blank lines too. Further columns are ignored.
     """
-    ship(sys.modules[__name__])
-    known = cut(repeated_lines(articles.select(F.col(key).alias("id"), "source", F.col(lines_from).alias("text"))).groupBy("source").agg(F.collect_set("line").alias("known")))
+    marks = scored_lines(articles, fields, key, lines_from).groupBy("key", "field", "text_hash", "line_no").agg(F.max("own").alias("own"))
+    marks = marks.groupBy("key", "field", "text_hash").agg(F.array_sort(F.collect_list(F.when(~F.col("own"), F.col("line_no")))).alias("page_lines"))
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    each = articles.select(F.col(key).alias("key"), "source", F.struct(F.lit(1).alias("_"), *carry).alias("carry"), F.explode(rows).alias("r")).select("key", "source", "carry", "r.field", "r.text").where("text is not null")
-    each = join_dimension(each, known, "source")
-    each = each.withColumn("lines", F.when(F.col("known").isNotNull(), line_array(F.col("text"))))
-    last = F.try_element_at(F.filter("lines", lambda x: x != ""), F.lit(-1))
-    known_line = lambda x: F.array_contains("known", x) | ((F.length(x) >= CUT) & (x == last) & F.exists("known", lambda k: k.startswith(last)))
-    kinds = dict(articles.dtypes)
-    each = each.select("key", "source", *[F.col(f"carry.{c}").alias(f"carry_{c}") for c in carry], "field", "text", F.filter(F.transform("lines", lambda x, i: F.when(known_line(x), i)), lambda i: i.isNotNull()).alias("marks"))
-    kind = dict(each.dtypes)["key"]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
-        for batch in batches:
-            pages, texts = [], []
-            for source, text, marks in zip(batch["source"], batch["text"], batch["marks"], strict=True):
-                own = score_page(text, source, set() if marks is None else set(map(int, marks)), cache)
-                pages.append([i + 1 for i, x in enumerate(own) if x is False])
-                if normal:
-                    texts.append("\n".join(" ".join(t.split()) for t, x in zip(text.split("\n"), own, strict=True) if x))
-                else:
-                    texts.append("\n".join(t for t, x in zip(text.split("\n"), own, strict=True) if x is not False))
-            along = {f"carry_{c}": batch[f"carry_{c}"] for c in carry}
-            yield pd.DataFrame({"key": batch["key"], "source": batch["source"], **along, "field": batch["field"], "text": texts, "page_lines": pages})
-
-    more = "".join(f"carry_{c} {kinds[c]}, " for c in carry)
-    out = each.mapInPandas(score, f"key {kind}, source string, {more}field string, text string, page_lines array<int>")
-    return out.withColumnsRenamed({"key": key} | {f"carry_{c}": c for c in carry})
-
-
-__all__ = ["clean_line", "link_density", "main_content", "menu_share", "score_page"]
+    each = articles.select(F.col(key).alias("key"), "source", F.explode(rows).alias("r")).select("key", "source", "r.field", "r.text").where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    m = marks.withColumnsRenamed({"key": "k", "field": "f", "text_hash": "h"})
+    joined = each.join(m, each["key"].eqNullSafe(m["k"]) & (each["field"] == m["f"]) & (each["text_hash"] == m["h"]), "left")
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), (i + 1).alias("no"))), lambda x: ~F.array_contains("page_lines", x["no"]))
+    text = F.when(F.size("page_lines") > 0, F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(F.col("text"))
+    return joined.select(F.col("key").alias(key), "source", "field", text.alias("text"), F.coalesce("page_lines", F.array().cast("array<int>")).alias("page_lines"))
+
+
+__all__ = ["clean_line", "main_content", "own_lines", "page_templates", "points", "scored_lines"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .cooccurrence import tag_pairs
-from .main_content import main_content
+from .main_content import main_content, scored_lines
 from .mixing import mixture, shares
 from .names import resolve_names, variant_pairs
 from .repeated_lines import repeated_lines, without_repeated_lines
@@ -67,8 +67,7 @@ def p5_clean(spark, folder):
 
 def p6_found(spark, folder):
     """Numbers of the lines that are not the article's own text."""
-    d = main_content(table(spark, folder, "articles"))
-    return d.select(F.col("id").alias("article_id"), "field", F.explode("page_lines").alias("line_no")).distinct()
+    return scored_lines(table(spark, folder, "articles")).where("not own").select(F.col("key").alias("article_id"), "field", "line_no").distinct()
 
 
 def p6_texts(spark, folder):

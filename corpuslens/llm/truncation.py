@@ -5,85 +5,108 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, join_dimension, written
-from .main_content import main_content
+from ..session import cut, written
+from .main_content import own_lines
 
-#: A trigram seen less often elsewhere is too rare to judge by; an end without a full stop is then a cut.
+#: Words seen less often elsewhere are too rare to judge by; shorter ones decide then.
 LEAST = 2
 #: What ends a text without a full stop is cut if it stands at ends in at most this share of its occurrences.
 BARE_SHARE = 0.25
 #: What ends a text with a full stop is cut (an abbreviation, an ordinal) if it stands inside lines at least so often and at ends in at most this share.
 STOP_LEAST, STOP_SHARE = 20, 0.02
 
-#: Grams with their occurrences inside texts and at ends, in one pass over the words. Each is a hash of its kind and words:
-#: B three words, the last without punctuation (an end: the text's last words, bare); E three words or one with a full stop (an end: of a line).
+#: The words of distinct lines: a, b and c stand in a row, w is c without punctuation. bare_in and stop_in: 1 inside, -1 at an end, 0 neither;
+#: an end is for w the text's last word, bare, and for c with a stop that of a line.
+_WORDS = r"""
+WITH split AS (SELECT final, split(if(final, regexp_replace(line, '\\s*(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$', ''), line), ' ') AS t FROM {lines}),
+cells AS (SELECT final, inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t, concat(slice(t, 2, size(t)), array('$')))) AS (a, b, c, d) FROM split),
+last AS (SELECT a, b, c, d = '$' AS ends, final, substring(c, -1, 1) BETWEEN 'a' AND 'z' AS plain FROM cells WHERE c IS NOT NULL),
+words AS (SELECT a, b, c, ends, final, if(plain, c, rtrim('.,;:!?…"”“»«', c)) AS bare, if(plain, false, substring(rtrim('"”“»)', c), -1, 1) IN ('.', '!', '?')) AS stop FROM last)
+SELECT a, b, c, if(bare = '', c, bare) AS w, CASE WHEN ends AND final AND (bare = c OR bare = '') THEN -1 WHEN ends AND NOT stop THEN 0 ELSE 1 END AS bare_in, CASE WHEN NOT stop THEN 0 WHEN ends THEN -1 ELSE 1 END AS stop_in FROM words
+"""
+#: Grams with their occurrences inside and at ends: a hash of their kind and words. B3 and B2 end with a bare word, E3 and E1 with a stop.
 _GRAMS = r"""
-WITH split AS (SELECT pos = n - 1 AS final, split(line, ' ') AS t FROM (SELECT size(l) AS n, posexplode(l) AS (pos, line) FROM (SELECT split(text, '\n') AS l FROM {texts} WHERE text <> ''))),
-lines AS (SELECT final, if(element_at(t, -1) IN ('…', '...', '[...]', '[…]'), slice(t, 1, size(t) - 1), t) AS t FROM split),
-cells AS (SELECT final, inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t, concat(slice(t, 2, size(t)), array('$')))) AS (a, b, c, d) FROM lines),
-words AS (SELECT a, b, c, d = '$' AS ends, final, rtrim('.,;:!?…"”“»«', c) AS bare, substring(rtrim('"”“»)', c), -1, 1) IN ('.', '!', '?') AS stop FROM cells WHERE c IS NOT NULL),
-seen AS (SELECT stack(3, xxhash64('B', a, b, if(bare = '', c, bare)), CASE WHEN ends AND final AND (bare = c OR bare = '') THEN -1 WHEN ends AND NOT stop THEN 0 ELSE 1 END,
-  xxhash64('E', a, b, c), CASE WHEN NOT stop THEN 0 WHEN ends THEN -1 ELSE 1 END, xxhash64('E', c), CASE WHEN NOT stop THEN 0 WHEN ends THEN -1 ELSE 1 END) AS (gram, inside) FROM words)
+WITH seen AS (SELECT stack(4, xxhash64('B3', a, b, w), bare_in, xxhash64('B2', b, w), bare_in, if(stop_in <> 0, xxhash64('E3', a, b, c), 0), stop_in, if(stop_in <> 0, xxhash64('E1', c), 0), stop_in) AS (gram, inside) FROM {words})
 SELECT gram, sum(if(inside = 1, 1, 0)) AS n_inside, sum(if(inside = -1, 1, 0)) AS n_end FROM seen WHERE inside <> 0 GROUP BY gram
 """
 #: The last words of each text without marks of omission and broken mark-up.
 _ENDS = r"""
-WITH last AS (SELECT id, source, field, text_id, substring_index(text, '\n', -1) AS line, trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS title FROM {texts} WHERE text <> ''),
-marked AS (SELECT id, source, field, text_id, line, coalesce(line = title, false) AS is_title, line RLIKE '(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*)$' AS broken, line RLIKE '(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$' AS omitted FROM last),
-plain AS (SELECT *, split(regexp_replace(line, '\\s*(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*|\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), ' ') AS t FROM marked),
-words AS (SELECT *, coalesce(try_element_at(t, -4), '^') AS z, coalesce(try_element_at(t, -3), '^') AS a, coalesce(try_element_at(t, -2), '^') AS b, try_element_at(t, -1) AS c FROM plain)
-SELECT id, source, field, text_id, broken, omitted, is_title, c = '' AS empty, c RLIKE '[.!?]["”“»)]*$' AS stop, c RLIKE '[!?]' AS asks, c RLIKE '[)]$' AS bracket,
-  line RLIKE '^\\p{{L}}{{2,12}}: \\p{{Lu}}' AND line RLIKE ', \\p{{Lu}}[^ ,]* \\p{{Lu}}[^ ,]*$' AS cast,
-  posexplode(array(xxhash64('B', a, b, if(rtrim('.,;:!?…"”“»«', c) = '', c, rtrim('.,;:!?…"”“»«', c))), xxhash64('B', z, a, rtrim('.,;:!?…"”“»«', b)), xxhash64('E', a, b, c), xxhash64('E', c))) AS (k, gram)
-FROM words
+WITH last AS (SELECT key, source, field, line, xxhash64(line) AS line_id, trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS title FROM {lines} WHERE final),
+marked AS (SELECT key, source, field, line_id, line, coalesce(line = title, false) AS is_title, endswith(line, '�') OR (contains(line, '&') AND line RLIKE '&[A-Za-z]{{1,8}}$') OR (contains(line, '<') AND line RLIKE '<[A-Za-z/!][^<>]*$') AS broken,
+  substring(line, -1, 1) = '…' OR substring(line, -3, 3) IN ('...', '[…]') OR substring(line, -5, 5) = '[...]' AS omitted FROM last),
+plain AS (SELECT *, split(substring_index(if(broken OR omitted, regexp_replace(line, '\\s*(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*|\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), line), ' ', -4), ' ') AS t FROM marked),
+words AS (SELECT *, coalesce(try_element_at(t, -4), '^') AS z, coalesce(try_element_at(t, -3), '^') AS a, coalesce(try_element_at(t, -2), '^') AS b, try_element_at(t, -1) AS c FROM plain),
+bare AS (SELECT *, if(rtrim('.,;:!?…"”“»«', c) = '', c, rtrim('.,;:!?…"”“»«', c)) AS w, if(rtrim('.,;:!?…"”“»«', b) = '', b, rtrim('.,;:!?…"”“»«', b)) AS v FROM words)
+SELECT key, source, field, line_id, broken, omitted, is_title, c = '' AS empty, c RLIKE '[.!?]["”“»)]*$' AS stop, c RLIKE '[!?]' AS asks, c RLIKE '[)]$' AS bracket, c RLIKE '^[„«“(\\[]+$' AS opened,
+  line RLIKE '^\\p{{L}}{{2,12}}: \\p{{Lu}}' AND line RLIKE ', \\p{{Lu}}[^ ,]* \\p{{Lu}}[^ ,]*$' AS cast, w,
+  posexplode(array(xxhash64('B3', a, b, w), xxhash64('B2', b, w), xxhash64('B3', z, a, v), xxhash64('E3', a, b, c), xxhash64('E1', c))) AS (k, gram)
+FROM bare
 """
-#: How many other texts of the same articles have the same end.
+#: How many other ends of the same articles have the same last words.
 _OWN = """
-WITH each AS (SELECT DISTINCT id, text_id FROM {ends}), pairs AS (SELECT DISTINCT x.text_id, y.text_id AS other FROM each x JOIN each y ON x.id = y.id AND x.text_id <> y.text_id),
-last AS (SELECT DISTINCT text_id, k, gram FROM {ends} WHERE k <> 1)
-SELECT p.text_id, x.k, count(*) AS n_own FROM pairs p JOIN last x ON x.text_id = p.text_id JOIN last y ON y.text_id = p.other AND y.k = x.k AND y.gram = x.gram GROUP BY p.text_id, x.k
+WITH each AS (SELECT DISTINCT key, line_id FROM {ends}), pairs AS (SELECT DISTINCT x.line_id, y.line_id AS other FROM each x JOIN each y ON x.key = y.key AND x.line_id <> y.line_id),
+last AS (SELECT DISTINCT line_id, k, gram FROM {ends} WHERE k <> 2)
+SELECT p.line_id, x.k, count(*) AS n_own FROM pairs p JOIN last x ON x.line_id = p.line_id JOIN last y ON y.line_id = p.other AND y.k = x.k AND y.gram = x.gram GROUP BY p.line_id, x.k
+"""
+#: Words with their occurrences inside and at ends.
+_VOCABULARY = """
+SELECT ltrim('"„“”«»(', w) AS word, count_if(bare_in = 1) AS b1_in, count_if(bare_in = -1) AS b1_end FROM {words} GROUP BY 1
+"""
+#: How often longer words begin so.
+_LONGER = """
+SELECT start, sum(b1_in) AS n_longer FROM (SELECT explode(transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))) AS start, b1_in FROM {vocabulary} WHERE length(word) > 1 AND b1_in > 0) GROUP BY start
 """
 _JUDGED = f"""
-WITH found AS (SELECT e.*, coalesce(n_inside, 0) AS n_inside, greatest(coalesce(n_end, 0) - 1 - coalesce(n_own, 0), 0) AS n_else FROM {{ends}} e LEFT JOIN {{counts}} c ON c.gram = e.gram LEFT JOIN {{own}} o ON o.text_id = e.text_id AND o.k = e.k),
-judged AS (SELECT id, source, field, broken, omitted, is_title, empty, stop, asks, bracket, cast, max(if(k = 0, n_inside, 0)) AS b3_in, max(if(k = 0, n_else, 0)) AS b3_end, max(if(k = 1, n_inside, 0)) AS before_in,
-  max(if(k = 2, n_inside, 0)) AS e3_in, max(if(k = 2, n_else, 0)) AS e3_end, max(if(k = 3, n_inside, 0)) AS e1_in, max(if(k = 3, n_else, 0)) AS e1_end FROM found GROUP BY ALL)
-SELECT id, source, field, CASE
-  WHEN broken THEN true WHEN empty THEN false WHEN is_title THEN false
-  WHEN stop AND asks THEN false
-  WHEN stop AND e3_in + e3_end >= {STOP_LEAST} THEN e3_end <= {STOP_SHARE} * (e3_in + e3_end)
-  WHEN stop THEN e1_in + e1_end >= {STOP_LEAST} AND e1_end <= {STOP_SHARE} * (e1_in + e1_end)
-  WHEN NOT omitted AND cast THEN false
-  WHEN NOT omitted AND bracket THEN false
-  WHEN b3_in = 0 AND b3_end >= {LEAST} THEN before_in > 2 * (b3_end + 1)
-  WHEN b3_in + b3_end >= {LEAST} THEN b3_end <= {BARE_SHARE} * (b3_in + b3_end)
-  ELSE true END AS truncated
+WITH found AS (SELECT e.*, coalesce(n_inside, 0) AS n_inside, greatest(coalesce(n_end, 0) - 1 - coalesce(n_own, 0), 0) AS n_else FROM {{ends}} e LEFT JOIN {{counts}} c ON c.gram = e.gram LEFT JOIN {{own}} o ON o.line_id = e.line_id AND o.k = e.k),
+wide AS (SELECT key, source, field, broken, omitted, is_title, empty, stop, asks, bracket, opened, cast, w, max(if(k = 0, n_inside, 0)) AS b3_in, max(if(k = 0, n_else, 0)) AS b3_end, max(if(k = 1, n_inside, 0)) AS b2_in, max(if(k = 1, n_else, 0)) AS b2_end,
+  max(if(k = 2, n_inside, 0)) AS before_in, max(if(k = 3, n_inside, 0)) AS e3_in, max(if(k = 3, n_else, 0)) AS e3_end, max(if(k = 4, n_inside, 0)) AS e1_in, max(if(k = 4, n_else, 0)) AS e1_end FROM found GROUP BY ALL),
+judged AS (SELECT wide.*, coalesce(n_longer, 0) AS n_longer, coalesce(v.b1_in, 0) AS b1_in, greatest(coalesce(v.b1_end, 0) - 1, 0) AS b1_end FROM wide LEFT JOIN {{longer}} l ON l.start = ltrim('"„“”«»(', w) LEFT JOIN {{vocabulary}} v ON v.word = ltrim('"„“”«»(', w))
+SELECT key, source, field, CASE
+  WHEN broken THEN 'cut: mark-up' WHEN empty OR is_title THEN 'whole: headline'
+  WHEN opened THEN 'cut: opening mark'
+  WHEN stop AND asks THEN 'whole: sentence'
+  WHEN stop AND e3_in + e3_end >= {STOP_LEAST} THEN if(e3_end <= {STOP_SHARE} * (e3_in + e3_end), 'cut: trigram with stop', 'whole: sentence')
+  WHEN stop THEN if(e1_in + e1_end >= {STOP_LEAST} AND e1_end <= {STOP_SHARE} * (e1_in + e1_end), 'cut: word with stop', 'whole: sentence')
+  WHEN NOT omitted AND (cast OR bracket) THEN 'whole: list or bracket'
+  WHEN b3_in = 0 AND b3_end >= {LEAST} THEN if(before_in > 2 * (b3_end + 1), 'cut: trigram before', 'whole: trigram')
+  WHEN b3_in + b3_end >= {LEAST} THEN if(b3_end <= {BARE_SHARE} * (b3_in + b3_end), 'cut: trigram', 'whole: trigram')
+  WHEN n_longer >= {LEAST} AND n_longer > b1_in + b1_end THEN 'cut: within a word'
+  WHEN b2_in + b2_end >= {LEAST} THEN if(b2_end <= {BARE_SHARE} * (b2_in + b2_end), 'cut: bigram', 'whole: bigram')
+  WHEN b1_in + b1_end >= {LEAST} THEN if(b1_end <= {BARE_SHARE} * (b1_in + b1_end), 'cut: word', 'whole: word')
+  WHEN before_in >= {LEAST} THEN 'cut: trigram before'
+  ELSE 'whole: no evidence' END AS reason
 FROM judged
 """
 
 
-def truncated_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "summary"), key: str = "id") -> DataFrame:
-    """(key, source, field, truncated) of every field that has a text of its own.
+def judged_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "summary"), key: str = "id") -> DataFrame:
+    """(key, source, field, reason) of every field that has a text of its own; reasons begin with ``cut`` or ``whole``.
 
     Page lines are left out first (they may follow a text that broke off), then marks of omission. A
     text is cut if its last three words stand often inside texts and almost never at an end in that
-    form: without a full stop against ends of texts, with one (abbreviations) against ends of lines, there
-    also by the last word alone. What ends without a full stop in words too rare to judge by is cut,
-    unless it closes a list of names after a label or a bracket; so are words seen only at ends whose
-    three predecessors mostly go on otherwise (a cut word). A text that ends in broken mark-up is cut. A field equal to the row's title is a headline and complete.
+    form: without a full stop against ends of texts, with one (abbreviations) against ends of lines,
+    there also by the last word alone. Where three words are too rare to judge by, the last two
+    decide, then the last one; before them, a last word that is rarer than longer words that begin with
+    it was cut within; one that nothing is known of is cut if the three words before it mostly go on. What ends
+    in words that nothing is known of is whole, as are lists of names after a label and closed
+    brackets. A text that ends in broken mark-up or an opening mark is cut. A field equal to the row's title is a headline and whole.
 
-    Null, empty and blank fields have no row; rows repeated are judged as one.
-    Counts cover every distinct text once, so that copies do not vouch for one another; ends of a text
-    leave out its own and those of other fields of its articles. They are aggregated map-side on hashes of words.
+    Null, empty and blank fields have no row; rows repeated are judged as one. Counts cover every
+    distinct line once, so that copies do not vouch for one another; ends of a text leave out its own
+    and those of other fields of its articles. They are aggregated map-side on hashes of words.
     """
     spark = articles.sparkSession
-    own = main_content(articles, fields, key, carry=("title",), normal=True).withColumnRenamed(key, "id").select("id", "source", "title", "field", "text")
-    own = written(own.withColumns({"text_id": F.xxhash64("text"), "row": F.monotonically_increasing_id()}))
-    of = own.where("text <> ''").select("text_id", "row")
-    firsts = of.groupBy("text_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = cut(of.join(firsts, "text_id").where("row <> first").select("row"))
-    counts = cut(spark.sql(_GRAMS, texts=join_dimension(own, copies, "row", "left_anti")))
-    ends = written(spark.sql(_ENDS, texts=own))
-    return spark.sql(_JUDGED, ends=ends, counts=counts, own=spark.sql(_OWN, ends=ends)).withColumnRenamed("id", key)
+    lines = written(own_lines(articles, fields, key).select("key", "source", F.when(F.col("final"), F.col("title")).alias("title"), "field", "line", "final"))
+    distinct = written(lines.groupBy("line").agg(F.max("final").alias("final")))
+    words = spark.sql(_WORDS, lines=distinct)
+    counts, vocabulary = cut(spark.sql(_GRAMS, words=words)), written(spark.sql(_VOCABULARY, words=words))
+    ends = written(spark.sql(_ENDS, lines=lines))
+    return spark.sql(_JUDGED, ends=ends, counts=counts, own=spark.sql(_OWN, ends=ends), vocabulary=vocabulary, longer=spark.sql(_LONGER, vocabulary=vocabulary)).withColumnRenamed("key", key)
+
+
+def truncated_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "summary"), key: str = "id") -> DataFrame:
+    """(key, source, field, truncated) of every field that has a text of its own, see ``judged_fields``."""
+    return judged_fields(articles, fields, key).select(key, "source", "field", F.col("reason").startswith("cut").alias("truncated"))
 
 
 def truncation_rates(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "summary")) -> DataFrame:

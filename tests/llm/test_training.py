@@ -138,15 +138,29 @@ PAGE = "Startseite\nKultur | Bühne | Film\nSie sind hier: Startseite › Kultur
 
 
 def test_page_lines_are_told_from_own_lines(spark):
-    a = articles(spark, {"id": 1, "source": "Bote", "full_text": PAGE, "first_paragraph": "Startseite\nDie Regie zeigt den Stoff ohne Pause, und das Haus folgt ihr gern."}, {"id": 2}, {"id": 3, "full_text": "", "first_paragraph": " \n "}, {"id": 4, "full_text": "Kurz."})
+    def page(i):
+        own = f"Die Bühne {i} zeigt den Stoff ohne Pause, und das Haus folgt ihr gern."
+        if i != 1:
+            return f"Startseite\nKultur | Bühne | Film\nSie sind hier: Startseite › Kultur › Werk {i}\n{own}\nLesen Sie auch: Titel {chr(97 + i)}{i}\nDer {i}. Abend hat Kraft und Witz, wie man hört.\n{i + 20} Kommentare\nMeistgelesen\nText a{i} im Haus\nText b{i} im Haus\nImpressum\n© Bote"
+        return PAGE
+
+    notice = "Wir und unsere Partner speichern auf Ihrem Gerät, was wir brauchen, und Sie willigen darin ein. " * 20
+    corpus = [{"id": i, "source": "Bote", "full_text": page(i) + (f"\n{notice}" if i > 9 else "")} for i in range(2, 42)]
+    a = articles(spark, {"id": 1, "source": "Bote", "full_text": PAGE, "first_paragraph": "Startseite\nDie Regie zeigt den Stoff ohne Pause, und das Haus folgt ihr gern."}, {"id": 102}, {"id": 103, "full_text": "", "first_paragraph": " \n "}, {"id": 104, "full_text": "Kurz."}, *corpus)
     got = {(r["id"], r["field"]): (sorted(r["page_lines"]), r["text"]) for r in main_content.main_content(a).collect()}
     assert got[1, "full_text"][0] == [1, 2, 3, 6, 11, 12, 13, 14, 15, 16]
     assert got[1, "first_paragraph"] == ([1], "Die Regie zeigt den Stoff ohne Pause, und das Haus folgt ihr gern.")
-    assert got[3, "full_text"] == ([], "") and got[4, "full_text"] == ([], "Kurz.") and (2, "full_text") not in got
+    assert got[103, "full_text"] == ([], "") and got[104, "full_text"] == ([], "Kurz.") and (102, "full_text") not in got
+    assert got[20, "full_text"][0] == [1, 2, 3, 5, 7, 8, 9, 10, 11, 12, 13]
+    flags = {(r["key"], r["field"], r["line_no"]): r["own"] for r in main_content.scored_lines(a.unionByName(a)).collect()}
+    assert all(flags[k, f, n] is False for (k, f), (pages, _) in got.items() for n in pages)
 
 
-def test_menu_share():
-    assert main_content.menu_share("Wetter • Menü • Musik") == 1 and main_content.menu_share("Datenschutz Über uns AGB") == 1 and main_content.menu_share("Die Musik zerlegt den Raum") < 0.5
+def test_lists_of_links_go_and_subheads_stay_without_any_word_list(spark):
+    text = lambda i: f"Im Haus {i} beginnt der Abend, und alle sehen zu.\nZwischenruf {chr(97 + i % 26)}{chr(97 + i // 26)}\nNoch ein Satz steht hier, er ist von {i} Leuten gelesen.\nblork zum flirp\nerster Eintrag {i}\nzweiter Eintrag {i}\ndritter Eintrag {i}"
+    a = articles(spark, *[{"id": i, "source": f"S{i}", "full_text": text(i)} for i in range(30)])
+    for r in main_content.main_content(a, ("full_text",)).collect():
+        assert sorted(r["page_lines"]) == [4, 5, 6, 7]
 
 
 # --- truncation
