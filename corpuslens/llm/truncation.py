@@ -39,14 +39,16 @@ words AS (SELECT *, coalesce(try_element_at(t, -4), '^') AS z, coalesce(try_elem
 bare AS (SELECT *, if(rtrim('.,;:!?…"”“»«', c) = '', c, rtrim('.,;:!?…"”“»«', c)) AS w, if(rtrim('.,;:!?…"”“»«', b) = '', b, rtrim('.,;:!?…"”“»«', b)) AS v FROM words)
 SELECT key, source, field, line_id, broken, omitted, is_title, c = '' AS empty, c RLIKE '[.!?]["”“»)]*$' AS stop, c RLIKE '[!?]' AS asks, c RLIKE '[)]$' AS bracket, c RLIKE '^[„«“(\\[]+$' AS opened,
   line RLIKE '^\\p{{L}}{{2,12}}: \\p{{Lu}}' AND line RLIKE ', \\p{{Lu}}[^ ,]* \\p{{Lu}}[^ ,]*$' AS cast, w,
-  posexplode(array(xxhash64('B3', a, b, w), xxhash64('B2', b, w), xxhash64('B3', z, a, v), xxhash64('E3', a, b, c), xxhash64('E1', c))) AS (k, gram)
+  array(xxhash64('B3', a, b, w), xxhash64('B2', b, w), xxhash64('B3', z, a, v), xxhash64('E3', a, b, c), xxhash64('E1', c)) AS grams
 FROM bare
 """
-#: How many other ends of the same articles have the same last words.
+#: The grams of each last line, once, with how many other ends of the same articles have the same last words.
 _OWN = """
-WITH each AS (SELECT DISTINCT key, line_id FROM {ends}), pairs AS (SELECT DISTINCT x.line_id, y.line_id AS other FROM each x JOIN each y ON x.key = y.key AND x.line_id <> y.line_id),
-last AS (SELECT DISTINCT line_id, k, gram FROM {ends} WHERE k <> 2)
-SELECT p.line_id, x.k, count(*) AS n_own FROM pairs p JOIN last x ON x.line_id = p.line_id JOIN last y ON y.line_id = p.other AND y.k = x.k AND y.gram = x.gram GROUP BY p.line_id, x.k
+WITH each AS (SELECT DISTINCT key, line_id FROM {ends}), many AS (SELECT key FROM each GROUP BY key HAVING count(*) > 1), some AS (SELECT each.* FROM each JOIN many ON each.key = many.key),
+last AS (SELECT line_id, posexplode(grams) AS (k, gram) FROM (SELECT line_id, any_value(grams) AS grams FROM {ends} GROUP BY line_id)),
+pairs AS (SELECT DISTINCT x.line_id, y.line_id AS other FROM some x JOIN some y ON x.key = y.key AND x.line_id <> y.line_id),
+same AS (SELECT p.line_id, x.k, count(*) AS n_own FROM pairs p JOIN last x ON x.line_id = p.line_id JOIN last y ON y.line_id = p.other AND y.k = x.k AND y.gram = x.gram WHERE x.k <> 2 GROUP BY p.line_id, x.k)
+SELECT last.*, coalesce(n_own, 0) AS n_own FROM last LEFT JOIN same ON same.line_id = last.line_id AND same.k = last.k
 """
 #: Words with their occurrences inside and at ends.
 _VOCABULARY = """
@@ -57,9 +59,10 @@ _LONGER = """
 SELECT start, sum(b1_in) AS n_longer FROM (SELECT explode(transform(sequence(1, length(word) - 1), i -> substring(word, 1, i))) AS start, b1_in FROM {vocabulary} WHERE length(word) > 1 AND b1_in > 0) GROUP BY start
 """
 _JUDGED = f"""
-WITH found AS (SELECT e.*, coalesce(n_inside, 0) AS n_inside, greatest(coalesce(n_end, 0) - 1 - coalesce(n_own, 0), 0) AS n_else FROM {{ends}} e LEFT JOIN {{counts}} c ON c.gram = e.gram LEFT JOIN {{own}} o ON o.line_id = e.line_id AND o.k = e.k),
-wide AS (SELECT key, source, field, broken, omitted, is_title, empty, stop, asks, bracket, opened, cast, w, max(if(k = 0, n_inside, 0)) AS b3_in, max(if(k = 0, n_else, 0)) AS b3_end, max(if(k = 1, n_inside, 0)) AS b2_in, max(if(k = 1, n_else, 0)) AS b2_end,
-  max(if(k = 2, n_inside, 0)) AS before_in, max(if(k = 3, n_inside, 0)) AS e3_in, max(if(k = 3, n_else, 0)) AS e3_end, max(if(k = 4, n_inside, 0)) AS e1_in, max(if(k = 4, n_else, 0)) AS e1_end FROM found GROUP BY ALL),
+WITH found AS (SELECT line_id, k, coalesce(n_inside, 0) AS n_inside, greatest(coalesce(n_end, 0) - 1 - n_own, 0) AS n_else FROM {{own}} o LEFT JOIN {{counts}} c ON c.gram = o.gram),
+known AS (SELECT line_id AS known_id, max(if(k = 0, n_inside, 0)) AS b3_in, max(if(k = 0, n_else, 0)) AS b3_end, max(if(k = 1, n_inside, 0)) AS b2_in, max(if(k = 1, n_else, 0)) AS b2_end,
+  max(if(k = 2, n_inside, 0)) AS before_in, max(if(k = 3, n_inside, 0)) AS e3_in, max(if(k = 3, n_else, 0)) AS e3_end, max(if(k = 4, n_inside, 0)) AS e1_in, max(if(k = 4, n_else, 0)) AS e1_end FROM found GROUP BY line_id),
+wide AS (SELECT DISTINCT key, source, field, broken, omitted, is_title, empty, stop, asks, bracket, opened, cast, w, known.* FROM {{ends}} e JOIN known ON known_id = line_id),
 judged AS (SELECT wide.*, coalesce(n_longer, 0) AS n_longer, coalesce(v.b1_in, 0) AS b1_in, greatest(coalesce(v.b1_end, 0) - 1, 0) AS b1_end FROM wide LEFT JOIN {{longer}} l ON l.start = ltrim('"„“”«»(', w) LEFT JOIN {{vocabulary}} v ON v.word = ltrim('"„“”«»(', w))
 SELECT key, source, field, CASE
   WHEN broken THEN 'cut: mark-up' WHEN empty OR is_title THEN 'whole: headline'
