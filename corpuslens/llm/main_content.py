@@ -78,7 +78,7 @@ def page_templates(docs: DataFrame) -> DataFrame:
 
 def standing_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(source, line_key) of the repeated lines of each source, and (source, start_key) of all their beginnings of ``CUT`` characters and more."""
-    lines = cut(repeated_lines(docs))
+    lines = cut(repeated_lines(docs, 1))
     begin = F.transform(F.sequence(F.lit(CUT), F.length("line")), lambda i: F.substring(F.col("line"), F.lit(1), i))
     starts = lines.where(F.length("line") >= CUT).select("source", F.explode(begin).alias("start")).select("source", F.xxhash64("start").alias("start_key")).distinct()
     return lines.select("source", F.xxhash64("line").alias("line_key")), starts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from ..session import join_dimension, ship, written
 from .tokenizing import LEAF, VOCABULARY, token_ids
 
-#: The largest population numpy draws from; beyond it counts are split in proportion.
-DRAWABLE = 500_000_000
+#: The largest population numpy draws from one by one; beyond it the normal law of the same mean and variance is drawn from, which differs by less than a part in ten thousand there.
+COUNTED = 500_000_000
+#: About so many tokens of a source are put in order by one task.
+TOKENS_A_BUCKET = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -63,15 +66,22 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def drawn(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` slots drawn without replacement are good ones."""
+    if good + bad <= COUNTED:
+        return int(rng.hypergeometric(good, bad, n))
+    total, share = good + bad, good / (good + bad)
+    spread = math.sqrt(max(0.0, n * share * (1 - share) * ((total - n) / (total - 1))))
+    return min(max(round(n * share + spread * rng.standard_normal()), n - bad, 0), good, n)
+
+
 def split_counts(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """How many of ``n`` drawn slots each source gets, without replacement from ``counts``."""
-    total = int(counts.sum())
-    if total <= DRAWABLE:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    exact = counts * (n / total)
-    out = np.minimum(np.floor(exact).astype(np.int64), counts)
-    for i in np.argsort(out - exact)[: n - int(out.sum())]:
-        out[i] += 1
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for i, k in enumerate(map(int, counts)):
+        rest -= k
+        out[i] = drawn(k, rest, n, rng)
+        n -= int(out[i])
     return out
 
 
@@ -94,15 +104,19 @@ def shard_counts(quota: np.ndarray, shard: int, shards: int, slots: int, seed: i
     return start, counts
 
 
-def token_blocks(ids: DataFrame, block: int, buckets: int = 1024, seed: int = 0) -> DataFrame:
+def token_blocks(ids: DataFrame, block: int, buckets: int | None = None, seed: int = 0) -> DataFrame:
     """(source, block_no, n_tokens, ids): the tokens of each source, packed in pseudorandom order of its documents.
 
     ``ids`` has source, key and ids. Every block but a source's last has ``block`` tokens. A document's
     offset is a prefix sum in two steps: over hash buckets of its source, then within its bucket, so
-    that no source is summed in one task. Documents without tokens take no place.
+    that no source is summed in one task; their number follows from the tokens of the largest source.
+    Documents without tokens take no place.
     """
     d = ids.where(F.size("ids") > 0).select("source", "key", "ids", F.size("ids").cast("bigint").alias("n"), F.xxhash64(F.col("key"), F.lit(seed)).alias("h"))
-    d = written(d.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")))
+    d = written(d)
+    if buckets is None:
+        buckets = 1 + (d.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) // TOKENS_A_BUCKET
+    d = d.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     sums = d.groupBy("source", "bucket").agg(F.sum("n").alias("size"))
     before = sums.select("source", "bucket", (F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)

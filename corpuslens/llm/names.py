@@ -167,11 +167,12 @@ def _links(profiles: DataFrame) -> DataFrame:
     return star.unionByName(typos).unionByName(part.join(full, "key").where("a <> b").select("a", "b")).distinct()
 
 
-def resolve_names(df: DataFrame, column: str, max_rounds: int = 12) -> DataFrame:
+def resolve_names(df: DataFrame, column: str) -> DataFrame:
     """(spelling, entity): every distinct value of ``column`` that names one person or organisation, with its entity.
 
     Each round merges entities whose profiles match; a merged profile has all spellings, short forms,
-    initials and codes of its members and enters blocking again, until no merge occurs. Abbreviated
+    initials and codes of its members and enters blocking again, until no merge occurs; every round
+    leaves fewer entities, so that it ends. Abbreviated
     names (initials, abbreviations, acronyms, half of a double name) merge only with the one entity
     that fits; if several do they wait, and stay alone if merges never leave just one.
 
@@ -181,10 +182,7 @@ def resolve_names(df: DataFrame, column: str, max_rounds: int = 12) -> DataFrame
     names = cut(df.select(F.col(column).alias("spelling")).where("spelling is not null").distinct())
     keys = cut(name_keys(names).withColumn("entity", F.xxhash64("spelling")))
     current = keys.select("spelling", "entity").distinct()
-    for _ in range(max_rounds):
-        links = cut(_links(keys))
-        if links.isEmpty():
-            break
+    while not (links := cut(_links(keys))).isEmpty():
         merged = connected_components(links).where("node <> component")
         keys = cut(keys.join(merged, keys["entity"] == merged["node"], "left").select("spelling", "kind", "key", "rest", F.coalesce("component", "entity").alias("entity")))
         current = keys.select("spelling", "entity").distinct()

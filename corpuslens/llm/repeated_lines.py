@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, cut, is_small
+from ..session import BROADCAST_ROWS, cut, is_small, path_exists, scratch
 
 
 def clean_line(line: Column) -> Column:
@@ -84,24 +84,86 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return _marked(docs, keys).select("source", "line").distinct()
 
 
-def rebuild(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(id, source, text) of just those documents that hold a line of ``keys``, without these lines.
-
-    Positions of the lines to drop are gathered per document; the other lines stay as they were.
-    """
-    drop = _marked(docs, keys).groupBy("id").agg(F.collect_set("i").alias("drop"))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i))
-    return docs.join(drop, "id").select("id", "source", F.array_join(kept, "\n").alias("text"))
+def _apply(over: DataFrame | None, after: DataFrame) -> DataFrame:
+    """The keys over the threshold, brought up to date by the crossings."""
+    new, lapsed = crossings(over, after)
+    return cut(new if over is None else over.join(lapsed, ["source", "h1", "h2"], "left_anti").unionByName(new))
 
 
 def by_deltas(docs: DataFrame, partitions: int = 2, min_docs: int = 5, min_percent: int = 5) -> tuple[LineCounts, DataFrame]:
-    """The whole corpus merged as ``partitions`` deltas; the state and the keys over the threshold after the last."""
+    """The whole corpus merged as ``partitions`` deltas; the state, and the keys over the threshold as the crossings of each delta left them."""
     state, over = None, None
     for k in range(partitions):
         part = docs.where(F.pmod(F.hash("id"), F.lit(partitions)) == k) if partitions > 1 else docs
         state = merge(state, delta(part))
-        over = over_threshold(state, min_docs, min_percent)
-    return state, cut(over)
+        over = _apply(over, over_threshold(state, min_docs, min_percent))
+    return state, over
+
+
+class LineState:
+    """Line counts, occurrences and crossed lines of a growing corpus, kept as tables in a shared folder.
+
+    Each ``advance`` writes a new version: ``lines`` and ``sources`` (counts), ``over`` (keys over the
+    threshold), ``at`` (id, source, i, h1, h2 of the delta's own lines) and ``rebuilt``, last. A version counts
+    once its last table is complete, so that a run that was broken off is done again from the one before;
+    another session goes on from where this one ended.
+    """
+
+    def __init__(self, spark, folder: str, min_docs: int = 5, min_percent: int = 5):
+        self.spark, self.folder, self.min_docs, self.min_percent = spark, folder.rstrip("/"), min_docs, min_percent
+
+    def versions(self) -> int:
+        """How many complete versions the folder holds."""
+        n = 0
+        while path_exists(self.spark, f"{self.folder}/v{n}/rebuilt/_SUCCESS"):
+            n += 1
+        return n
+
+    def table(self, version: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/v{version}/{name}")
+
+    def _put(self, version: int, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
+        return self.table(version, name)
+
+    def advance(self, new_docs: DataFrame, docs: DataFrame) -> DataFrame:
+        """(id, source, text, n_dropped) of the documents that ``new_docs`` makes necessary to rebuild.
+
+        ``docs`` has all documents so far, the new ones too. Rebuilt are documents that hold a line which is newly
+        over the threshold or no longer over it, and new ones that hold a line over it; no other text is read.
+        """
+        v = self.versions()
+        keys = ["source", "h1", "h2"]
+        part = delta(new_docs)
+        lines, sources = part.lines, part.sources
+        if v:
+            add = lambda a, b, by: a.unionByName(b).groupBy(*by).agg(F.sum("n_docs").alias("n_docs"))
+            lines, sources = add(self.table(v - 1, "lines"), lines, keys), add(self.table(v - 1, "sources"), sources, ["source"])
+        state = LineCounts(self._put(v, "lines", lines), self._put(v, "sources", sources))
+        before = self.table(v - 1, "over") if v else None
+        over = self._put(v, "over", over_threshold(state, self.min_docs, self.min_percent))
+        here = self._put(v, "at", _lines(new_docs).select("id", "i", *keys))
+        new, lapsed = crossings(before, over)
+        side = lambda d: F.broadcast(d) if is_small(d, BROADCAST_ROWS) else d
+        every = here
+        for k in range(v):
+            every = every.unionByName(self.table(k, "at"))
+        crossed = cut(new.unionByName(lapsed))
+        touched = every.join(side(crossed), keys, "left_semi").select("id").unionByName(here.join(side(over), keys, "left_semi").select("id")).distinct()
+        touched = cut(touched)
+        drop = every.join(touched, "id", "left_semi").join(side(over), keys, "left_semi").groupBy("id").agg(F.collect_set("i").alias("drop"))
+        kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i))
+        text = F.when(F.col("drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+        again = docs.join(touched, "id").join(drop, "id", "left")
+        return self._put(v, "rebuilt", again.select("id", "source", text.alias("text"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped")))
+
+    def rebuilt(self) -> DataFrame:
+        """(id, text, n_dropped, times) of every document rebuilt so far, as its last version left it."""
+        parts = [self.table(v, "rebuilt").withColumn("v", F.lit(v)) for v in range(self.versions())]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return every.groupBy("id").agg(F.max_by(F.struct("text", "n_dropped"), "v").alias("r"), F.count_distinct("v").alias("times")).select("id", "r.text", "r.n_dropped", "times")
 
 
 def repeated_lines(docs: DataFrame, partitions: int = 2) -> DataFrame:
@@ -116,8 +178,17 @@ def repeated_lines(docs: DataFrame, partitions: int = 2) -> DataFrame:
     return texts_of(docs, over)
 
 
-def without_repeated_lines(docs: DataFrame, partitions: int = 2) -> DataFrame:
-    """(id, source, text, rebuilt) of every document, without the repeated lines of its source."""
-    _, over = by_deltas(docs, partitions)
-    new = rebuild(docs, over).select("id", F.col("text").alias("new"))
+def without_repeated_lines(docs: DataFrame, partitions: int = 3, folder: str | None = None) -> DataFrame:
+    """(id, source, text, rebuilt) of every document, without the repeated lines of its source.
+
+    The corpus comes as ``partitions`` deltas; each rebuilds only the documents its crossings touch (see
+    ``LineState``). The state stays in ``folder`` or, without one, in the shared checkpoint folder.
+    Documents without id or source stay as they are.
+    """
+    spark = docs.sparkSession
+    state = LineState(spark, folder or scratch(spark, "lines"))
+    part = F.pmod(F.hash("id"), F.lit(partitions))
+    for k in range(partitions):
+        state.advance(docs.where(part == k), docs.where(part <= k))
+    new = state.rebuilt().where("n_dropped > 0").select("id", F.col("text").alias("new"))
     return docs.join(new, "id", "left").select("id", "source", F.coalesce("new", "text").alias("text"), F.col("new").isNotNull().alias("rebuilt"))

@@ -1,12 +1,14 @@
-"""Template residue, filler, error pages and script notices: near-duplicate lines and trusted labels."""
+"""Template residue, filler, error pages and script notices: SimHash tables, components and trusted labels."""
 
 from __future__ import annotations
 
 import html
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,17 @@ from . import residue_rules as R
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: One line in so many is counted for the order of shingles, and at most so many frequent ones are kept; results do not depend on them.
-SAMPLE, FREQUENT = 16, 100_000
-#: Beyond so many sets of one shingle those near one of them are not compared with each other.
+#: Bits of a fingerprint, and how many of them may differ between two lines of ``SIMILARITY``: 15 % on average, five standard deviations more at most.
+BITS = 128
+HAMMING = 40
+#: The chance that two lines of ``SIMILARITY`` meet in a table at least; the number of tables follows from it.
+RECALL = 0.97
+#: Beyond so many lines of one table entry those near one of them are not compared with each other.
 MANY = 100
+#: A segment recurs in so many different pages; it takes a label at this score, once no score rises by more than ``SETTLED``.
+PAGES, LABELLED, SETTLED = 3, 0.35, 0.02
+#: A word is filler if so many lines hold it, and this share of them is filler.
+WORD_LINES, WORD_SHARE = 5, 0.8
 
 _COMPILED: dict = {}
 
@@ -29,12 +38,11 @@ def _rules() -> dict:
     if not _COMPILED:
         import regex
 
-        names = ("PLACEHOLDER", "QUOTED_PLACEHOLDER", "QUOTED", "FILLER_LINE", "ERROR_LINE", "ERROR_ANYWHERE", "SCRIPT", "SCRIPT_STATE", "SCRIPT_ADDRESS", "SCRIPT_LATER")
+        names = ("PLACEHOLDER", "QUOTED_PLACEHOLDER", "QUOTED", "ERROR", "SCRIPT", "REPEATED", "SELF_NAMED")
         _COMPILED.update({n: regex.compile(getattr(R, n)) for n in names})
-        _COMPILED["SPLIT"] = regex.compile(r"(?<=[.!?…])\s+|\s+\|\s+(?=\S{12,})|(?<=\| (?:Suche|Datenschutz))\s+")
-        _COMPILED["NAV"] = regex.compile(r"(?i)^(?:startseite \| kultur \| suche|impressum \| datenschutz)\s+")
+        _COMPILED["SENTENCE"], _COMPILED["PART"] = regex.compile(r"(?<=[.!?…])\s+"), regex.compile(r"\s+[–|]\s+")
         _COMPILED["MASK"] = regex.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
-        _COMPILED["FILLER"] = frozenset(R.FILLER_WORDS)
+        _COMPILED["PASSAGE"] = frozenset(R.PASSAGE)
     return _COMPILED
 
 
@@ -47,49 +55,34 @@ def clean_lines(text: str | None) -> list[str]:
     return list(dict.fromkeys(y for x in s.split("\n") if (y := " ".join(x.split()))))
 
 
-def sign_of(line: str) -> tuple[str, bool] | None:
-    """(kind, whole) of a line: placeholder, filler, error or script, and whether it makes up most of the line.
+def masked(s: str) -> str:
+    """Lower case, numbers and hexadecimal ids as 0."""
+    return _rules()["MASK"].sub("0", s.lower())
 
-    What stands in quotation marks is spoken about and no sign.
-    """
+
+def sign_of(segment: str) -> tuple[str, bool] | None:
+    """(kind, whole) of a segment with a trusted sign, and whether it makes up most of it. What stands in quotation marks is spoken about and no sign."""
     c = _rules()
-    marks = any(x in line for x in "{[$#@%<_")
-    if marks:
-        bare = c["QUOTED_PLACEHOLDER"].sub(" ", line)
-        if found := c["PLACEHOLDER"].findall(bare):
-            return "placeholder", 2 * sum(map(len, found)) >= len(line)
-    run = most = 0
-    seen: set[str] = set()
-    low = line.lower()
-    words = low.split()
-    for w in words:
-        w = w.strip(".,;:!?")
-        run = run + 1 if w in c["FILLER"] else 0
-        seen = seen | {w} if run > 1 else {w}
-        most = max(most, run if len(seen) > 2 else 0)
-    if most >= 5:
-        return "filler", 2 * most >= len(words)
-    if not any(h in low for h in R.HINTS):
+    if any(x in segment for x in "{[$#@%<_"):
+        found = c["PLACEHOLDER"].findall(c["QUOTED_PLACEHOLDER"].sub(" ", segment))
+        if found:
+            return "placeholder", 2 * sum(map(len, found)) >= len(segment)
+    if c["REPEATED"].match(segment) or c["SELF_NAMED"].match(segment):
+        return "filler", True
+    low = segment.lower()
+    if not any(ch.isdigit() for ch in low) and "cript" not in low and "skript" not in low and "browser" not in low:
         return None
-    bare = c["QUOTED"].sub(" Q ", line)
-    total, hit, kind = 0, 0, ""
-    for s in c["SPLIT"].split(c["NAV"].sub("", bare)):
-        s = (s or "").strip()
-        n = len(s.split())
-        total += n
-        k = ""
-        small = s.lower()
-        if not any(h in small for h in R.HINTS):
-            continue
-        if c["FILLER_LINE"].search(s):
-            k = "filler"
-        elif c["ERROR_LINE"].search(s) or c["ERROR_ANYWHERE"].search(s):
-            k = "error"
-        elif c["SCRIPT_LATER"].search(s) or (c["SCRIPT"].search(s) and c["SCRIPT_STATE"].search(s) and c["SCRIPT_ADDRESS"].search(s)):
-            k = "script"
-        if k:
-            kind, hit = kind or k, hit + min(n, 24)
-    return (kind, 2 * hit >= total) if kind else None
+    bare = c["QUOTED"].sub(" Q ", segment)
+    if c["ERROR"].search(bare):
+        return "error", True
+    if c["SCRIPT"].search(bare):
+        return "script", True
+    return None
+
+
+def passage_words(segment: str) -> int:
+    """How many different words of the classical filler passage a segment holds."""
+    return len({w.strip(".,;:!?") for w in segment.lower().split()} & _rules()["PASSAGE"])
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,65 +100,94 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(split, f"key {kind}, line string")
 
 
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """(line_id, line, shingles, kind, whole) of distinct lines; digits and hexadecimal ids are masked in the shingles, sorted 64-bit hashes of five words."""
-    ship(sys.modules[__name__], R)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from hashlib import blake2b
 
-        import numpy as np
+def shingle_hashes(lines: list[str], known: dict) -> list[np.ndarray]:
+    """The sorted 64-bit hashes of the five-word shingles of each masked line; a shorter line is one shingle."""
+    import xxhash
 
-        for batch in batches:
-            ends, hashes = [], []
-            for line in batch["line"]:
-                words = _rules()["MASK"].sub("0", line.lower()).split()
-                hashes += [blake2b(x.encode(), digest_size=8).digest() for x in {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}]
-                ends.append(len(hashes))
-            if not ends:
-                continue
-            values = np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64)
-            signs = [sign_of(x) for x in batch["line"]]
-            yield pd.DataFrame({"line_id": batch["line_id"], "line": batch["line"], "shingles": [np.sort(x) for x in np.split(values, ends[:-1])], "kind": [s and s[0] for s in signs], "whole": [bool(s and s[1]) for s in signs]})
+    out = []
+    for line in lines:
+        words = masked(line).split()
+        h = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], dtype=np.uint64)
+        n = max(1, len(h) - SHINGLE + 1)
+        s = np.zeros(n, dtype=np.uint64)
+        for k in range(min(SHINGLE, len(h))):
+            s = _mix(s + h[k : k + n] + np.uint64(k + 1))
+        out.append(np.unique(s.view(np.int64)))
+        if len(known) > 1_000_000:
+            known.clear()
+    return out
 
-    return lines.mapInPandas(prints, "line_id bigint, line string, shingles array<bigint>, kind string, whole boolean")
 
+def simhashes(shingles: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each set as ``BITS`` truth values: the majority of its shingles' hashed bits."""
+    values, ends = np.concatenate(shingles).view(np.uint64), np.cumsum([len(s) for s in shingles])
+    raw = np.stack([_mix(values + np.uint64(0xD1B54A32D192ED03 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) for i in range(BITS // 64)], axis=1)
+    votes = np.add.reduceat(np.unpackbits(raw.view(np.uint8), axis=1).astype(np.int32), np.concatenate([[0], ends[:-1]]), axis=0)
+    return 2 * votes > np.diff(ends, prepend=0)[:, None]
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(shingle, line_id, n, pos, parity): the rarest shingles of each set, as many as two sets of ``SIMILARITY`` must share one of.
 
-    Any order of shingles that is the same for all sets loses no pair; this one puts those last that are
-    frequent in a sample, so that few sets meet in one shingle. ``parity`` has a bit for each of 64 classes
-    of shingles, set if the set holds an odd number of them: two sets differ in at least as many shingles as bits.
+def table_plan(n: int) -> tuple[int, int]:
+    """(bits of a table's key, number of tables) for n lines.
+
+    A key has log2(n) - 2 bits, so that chance brings few lines together at any size. Two lines of
+    ``SIMILARITY`` agree in a bit with probability 1 - arccos(2 s / (1 + s)) / pi = 0.85, so the number of
+    tables follows from ``RECALL``: it grows with the fourth root of n.
     """
-    sample = sets.where(F.pmod(F.xxhash64("line_id"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("shingle"))
-    often = sample.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").orderBy(F.desc("k"), "shingle").limit(FREQUENT).collect()
-    often = sorted((r["shingle"], r["k"]) for r in often)
-    known, counts = [x for x, _ in often], [k for _, k in often]
+    bits = min(BITS, max(8, math.ceil(math.log2(max(n, 2))) - 2))
+    meet = (1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+
+def table_keys(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """One key a table and fingerprint: ``bits`` pseudorandom places of it, with the table's number, as 64-bit hashes."""
+    out = np.zeros((len(prints), tables), dtype=np.uint64)
+    for t in range(tables):
+        places = np.random.default_rng([BITS, t]).permutation(BITS)[:bits]
+        packed = np.packbits(prints[:, places], axis=1).astype(np.uint64)
+        h = np.full(len(prints), t + 1, dtype=np.uint64)
+        for k in range(packed.shape[1]):
+            h = _mix(h + packed[:, k] + np.uint64(1))
+        out[:, t] = h
+    return out.view(np.int64)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
 
-        shingle, times = np.array(known, dtype=np.int64), np.array(counts, dtype=np.int64)
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """(line_id, line, shingles, low, high) of distinct lines; digits and hexadecimal ids are masked. low and high are the halves of the fingerprint."""
+    ship(sys.modules[__name__], R)
+
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for batch in batches:
             if not len(batch):
                 continue
-            n = batch["shingles"].map(len).to_numpy()
-            values = np.concatenate(batch["shingles"].to_list()).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            rank = np.zeros(len(values), dtype=np.int64)
-            if len(shingle):
-                at = np.minimum(np.searchsorted(shingle, values), len(shingle) - 1)
-                rank = np.where(shingle[at] == values, times[at], 0)
-            order = np.lexsort((values, rank, row))
-            pos = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-            keep = pos < (n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1)[row]
-            parity = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), (values & 63).astype(np.uint64)), np.cumsum(n) - n).view(np.int64)
-            yield pd.DataFrame({"shingle": values[order][keep], "line_id": batch["line_id"].to_numpy()[row[keep]], "n": n[row[keep]], "pos": pos[keep], "parity": parity[row[keep]]})
-
-    # A set that differs from another is at most n / (n + 1) similar to it.
-    long = sets.where(F.size("shingles") >= SIMILARITY * (F.size("shingles") + 1) - 1e-9)
-    return long.select("line_id", "shingles").mapInPandas(prefixes, "shingle bigint, line_id bigint, n int, pos int, parity bigint")
+            s = shingle_hashes(batch["line"].tolist(), known)
+            halves = np.packbits(simhashes(s), axis=1).view(np.int64)
+            yield pd.DataFrame({"line_id": batch["line_id"], "line": batch["line"], "shingles": s, "low": halves[:, 0], "high": halves[:, 1]})
+
+    return lines.mapInPandas(prints, "line_id bigint, line string, shingles array<bigint>, low bigint, high bigint")
+
+
+def _tables(sets: DataFrame) -> DataFrame:
+    """(entry, line_id, low, high): the entries of each set in all tables. A set that differs from another is at most n / (n + 1) similar to it; shorter sets have none."""
+    long = sets.where(F.size("shingles") >= SIMILARITY * (F.size("shingles") + 1) - 1e-9).select("line_id", "low", "high")
+    bits, tables = table_plan(long.count())
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            halves = np.stack([batch["low"].to_numpy(), batch["high"].to_numpy()], axis=1)
+            found = table_keys(np.unpackbits(halves.view(np.uint8), axis=1).astype(bool), bits, tables)
+            yield pd.DataFrame({"line_id": batch["line_id"], "low": batch["low"], "high": batch["high"], "entries": list(found)})
+
+    return long.mapInPandas(keys, "line_id bigint, low bigint, high bigint, entries array<bigint>").select(F.explode("entries").alias("entry"), "line_id", "low", "high")
+
+
+def _near(a: str, b: str):
+    return F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high"))) <= HAMMING
 
 
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -177,55 +199,147 @@ def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """(a, b): pairs of lines whose five-word shingles have a Jaccard similarity of at least ``SIMILARITY``; every such pair of lines is linked, directly or over others.
+    """(a, b): links between lines whose five-word shingles have a Jaccard similarity of at least ``SIMILARITY``.
 
     Lines with one set of shingles form a star around the least of them, so that only distinct sets are
-    joined: exactly, on the rarest shingles (prefix filter), within bounds of length, position and parity. Where
-    more than ``MANY`` sets meet in one shingle, those similar to the least of them form a star too, and
-    only the rest is compared with all. Every pair is verified on the shingles.
+    searched. They meet in partitioned SimHash tables; pairs within ``HAMMING`` bits are verified on the
+    shingles. Two such lines meet with a chance of ``RECALL`` or more (more, the more similar they are),
+    or over others. Where more than ``MANY`` lines share an entry, those similar to the least of them
+    form a star, too, and only the rest is compared with all, so that no pair is left out for its number.
     """
     of = prints.select("line_id", F.xxhash64("shingles").alias("same"))
     heads = of.groupBy("same").agg(F.min("line_id").alias("a"), F.count("*").alias("k")).where("k > 1").select("same", "a")
     stars = cut(of.join(heads, "same").where("line_id <> a").select("a", F.col("line_id").alias("b")))
-    sets = join_dimension(prints.select("line_id", "shingles"), stars.select(F.col("b").alias("line_id")), "line_id", "left_anti")
-    rows = written(_prefixes(sets))
-    keys = rows.groupBy("shingle").agg(F.min("line_id").alias("pivot"), F.count("*").alias("k")).where("k > 1")
-    rows = written(rows.join(keys, "shingle").withColumn("pivot", F.when(F.col("k") > MANY, F.col("pivot"))).drop("k"))
-    around = cut(_verified(rows.where("line_id <> pivot").select(F.col("pivot").alias("a"), F.col("line_id").alias("b")).distinct(), prints))
+    sets = join_dimension(prints.select("line_id", "shingles", "low", "high"), stars.select(F.col("b").alias("line_id")), "line_id", "left_anti")
+    rows = _tables(sets)
+    keys = rows.groupBy("entry").agg(F.min(F.struct("line_id", "low", "high")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    rows = written(rows.join(keys, "entry").select("entry", "line_id", "low", "high", F.when(F.col("k") > MANY, F.col("p")).alias("p")))
+    hot = rows.where("p is not null and line_id <> p.line_id").select(F.col("p.line_id").alias("a"), F.col("line_id").alias("b"), "low", "high", F.col("p.low").alias("p_low"), F.col("p.high").alias("p_high"))
+    around = cut(_verified(hot.where(_near("", "p_")).select("a", "b").distinct(), prints))
     near = around.select(F.col("a").alias("pivot"), F.col("b").alias("line_id"), F.lit(True).alias("near"))
-    rows = rows.join(near, ["pivot", "line_id"], "left").select("shingle", "line_id", "n", "pos", "parity", F.coalesce("near", F.col("line_id") == F.col("pivot"), F.lit(False)).alias("near"))
-    x, y = rows.where("not near").alias("x"), rows.alias("y")
-    close = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where("x.line_id <> y.line_id and (y.near or x.line_id < y.line_id)")
-    shared = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    close = close.where((F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n") - 1e-9) & ((1 + SIMILARITY) * shared >= SIMILARITY * (F.col("x.n") + F.col("y.n")) - 1e-9))
-    close = close.where((1 + SIMILARITY) * F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= (1 - SIMILARITY) * (F.col("x.n") + F.col("y.n")) + 1e-9)
-    pairs = close.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")).distinct()
+    rows = rows.withColumn("pivot", F.col("p.line_id")).join(near, ["pivot", "line_id"], "left").select("entry", "line_id", "low", "high", F.coalesce("near", F.col("line_id") == F.col("pivot"), F.lit(False)).alias("near"))
+    x, y = rows.where("not near"), rows.select("entry", *[F.col(c).alias(f"y_{c}") for c in ("line_id", "low", "high", "near")])
+    close = x.join(y, "entry").where("line_id <> y_line_id and (y_near or line_id < y_line_id)").where(_near("", "y_"))
+    pairs = close.select(F.least("line_id", "y_line_id").alias("a"), F.greatest("line_id", "y_line_id").alias("b")).distinct()
     return _verified(pairs, prints).unionByName(around).unionByName(stars)
 
 
+def segments_of(lines: DataFrame) -> DataFrame:
+    """(line_id, segment, words, kind, whole, passage) of the sentences and parts of each line; ``segment`` is a hash of the masked text, ``passage`` its number of words of the filler passage."""
+    ship(sys.modules[__name__], R)
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        sentences, parts_of = _rules()["SENTENCE"], _rules()["PART"]
+        for batch in batches:
+            rows = []
+            for i, line in zip(batch["line_id"], batch["line"], strict=True):
+                for sentence in sentences.split(line):
+                    of = sign_of(sentence)
+                    for s in filter(None, map(str.strip, parts_of.split(sentence))):
+                        sign, m = of if of and of[1] else sign_of(s), masked(s).strip(" .!?…:;,")
+                        rows.append((i, xxhash.xxh64_intdigest(m) - 2**63, len(m.split()), sign and sign[0], bool(sign and sign[1]), passage_words(s)))
+            yield pd.DataFrame(rows, columns=["line_id", "segment", "words", "kind", "whole", "passage"])
+
+    return lines.select("line_id", "line").mapInPandas(parts, "line_id bigint, segment bigint, words int, kind string, whole boolean, passage int")
+
+
+def filler_lines(lines: DataFrame, segments: DataFrame) -> DataFrame:
+    """(line_id, whole) of lines of mixed filler words.
+
+    A line with three words of the classical passage in a segment is taken for filler at first. A word
+    is filler if it belongs to the passage or if most lines that hold it were taken; a line is filler if
+    most of its words are, five at least of three kinds, as a whole if nine in ten are.
+    """
+    first = segments.where("passage >= 3").select("line_id").distinct()
+    word = F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}\s]", ""), " "))).alias("word")
+    words = lines.select("line_id", word).where("word <> ''")
+    taken = join_dimension(lines, first, "line_id", "left_semi").select("line_id", word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n_taken")).where(F.col("n_taken") >= WORD_LINES)
+    taken = cut(taken)
+    n = join_dimension(words, taken.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    learned = n.join(taken, "word").where(F.col("n_taken") >= WORD_SHARE * F.col("n")).select("word")
+    known = cut(learned.unionByName(lines.sparkSession.createDataFrame([(w,) for w in R.PASSAGE], "word string")).distinct())
+    every = lines.select("line_id", F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}\s]", ""), " ").alias("all")).select("line_id", F.size("all").alias("n"), F.explode("all").alias("word"))
+    hits = join_dimension(every, known.withColumn("filler", F.lit(1)), "word", "inner").groupBy("line_id", "n").agg(F.count("*").alias("k"), F.count_distinct("word").alias("kinds"))
+    return hits.where("k >= 5 and kinds >= 3 and 2 * k >= n").select("line_id", F.expr("10 * k >= 9 * n").alias("whole"))
+
+
+def spread_to_segments(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(segment, kind): ``labels`` and what they lead to over the pages they make up.
+
+    ``pages`` has key, segment, words and text_id, a hash of its text; pages of one text count once. A
+    segment recurs if it stands in ``PAGES`` different pages. Pages of nothing but recurring segments (no
+    article is made of them) link their segments, and only components that hold a label are looked at.
+    There each segment's score is the mean, over all pages that hold more than itself, of the share of
+    the rest that is labelled, a segment not yet labelled counting by its own score: labels count 1,
+    what does not recur 0. Scores only rise; when none rises by ``SETTLED`` any more, those of
+    ``LABELLED`` and above take the label.
+    """
+    sums = pages.groupBy("key").agg(F.sum("words").alias("total"), F.max("text_id").alias("text_id"))
+    once = sums.groupBy("text_id").agg(F.min("key").alias("key")).join(sums.select("key", "total"), "key").select("key", "total")
+    own = written(pages.join(once, "key").select("key", "segment", "words", "total"))
+    recurring = cut(own.groupBy("segment").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("segment"))
+    labels = cut(labels)
+    inside = own.join(recurring.unionByName(labels.select("segment")).distinct(), "segment")
+    least = inside.groupBy("key").agg(F.min("segment").alias("least"), F.sum("words").alias("sum"), F.max("total").alias("total")).where("sum = total").select("key", "least")
+    links = inside.join(least, "key").where("segment <> least").select(F.col("segment").alias("a"), F.col("least").alias("b")).distinct()
+    components = cut(connected_components(links).select(F.col("node").alias("segment"), "component"))
+    held = components.join(labels, "segment").groupBy("component").agg(F.min("kind").alias("kind"))
+    candidates = cut(components.join(held, "component").select("segment", "kind").join(labels.select("segment"), "segment", "left_anti"))
+    scores = cut(labels.select("segment", F.lit(1.0).alias("score"), F.lit(True).alias("fixed")).unionByName(candidates.select("segment", F.lit(0.0).alias("score"), F.lit(False).alias("fixed"))))
+    near = written(own.join(scores.select("segment", "fixed"), "segment"))
+    while True:
+        now = near.join(scores.select("segment", "score"), "segment")
+        mass = now.groupBy("key").agg(F.sum(F.col("words") * F.col("score")).alias("mass"))
+        rest = now.where("not fixed and total > words").join(mass, "key").groupBy("segment").agg(F.avg((F.col("mass") - F.col("words") * F.col("score")) / (F.col("total") - F.col("words"))).alias("next"))
+        new = cut(scores.join(rest, "segment", "left").select("segment", F.when(F.col("fixed"), 1.0).otherwise(F.greatest("score", F.coalesce("next", F.lit(0.0)))).alias("score"), "fixed", "score").toDF("segment", "score", "fixed", "before"))
+        rise = new.agg(F.max(F.col("score") - F.col("before"))).first()[0]
+        scores = new.drop("before")
+        if rise is None or rise < SETTLED:
+            return labels.unionByName(candidates.join(scores.where(F.col("score") >= LABELLED).select("segment"), "segment", "left_semi"))
+
+
 def labelled_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, line_id) of all lines, and (line_id, kind) of those that are residue.
+    """(key, line_id) of all lines, and (line_id, kind, by) of those that are residue; ``by`` is sign, near or page.
 
-    Lines with a trusted sign label their component of near-duplicates. A line takes a label if it has a
-    sign of its own, or if a line that is residue as a whole stands in its component; a sentence with
-    one unfilled placeholder labels no sentence without one.
+    A line with a trusted sign is residue. Labels of lines that are residue as a whole spread through
+    their component of near-duplicates, then from segment to segment over the pages they make up.
+    Placeholders stand among content and label nothing else.
     """
     lines = written(lines_of(docs, key, text).select("key", F.xxhash64("line").alias("line_id"), "line"))
     prints = written(fingerprints(lines.groupBy("line_id").agg(F.min("line").alias("line"))))
-    components = connected_components(near_duplicates(prints)).select(F.col("node").alias("line_id"), "component")
-    placed = prints.join(components, "line_id", "left").select("line_id", "kind", "whole", F.coalesce("component", "line_id").alias("component"))
-    label = placed.where("kind is not null and whole").groupBy("component").agg(F.min("kind").alias("label"))
-    named = placed.join(label, "component", "left").select("line_id", F.coalesce("kind", "label").alias("kind")).where("kind is not null")
+    distinct = prints.select("line_id", "line")
+    segments = written(segments_of(distinct))
+    filler = cut(filler_lines(distinct, segments))
+    signs = segments.where("kind is not null").groupBy("line_id").agg(F.min("kind").alias("kind"), F.sum(F.when(F.col("whole"), F.col("words")).otherwise(0)).alias("hit"))
+    size = segments.groupBy("line_id").agg(F.sum("words").alias("words"))
+    signed = signs.join(size, "line_id").select("line_id", "kind", (F.col("hit") * 10 >= F.col("words") * 9).alias("whole"))
+    signed = cut(signed.unionByName(filler.select("line_id", F.lit("filler").alias("kind"), "whole")).groupBy("line_id").agg(F.min("kind").alias("kind"), F.max("whole").alias("whole")))
+    components = cut(connected_components(near_duplicates(prints)).select(F.col("node").alias("line_id"), "component"))
+    label = signed.where("whole").join(components, "line_id").groupBy("component").agg(F.min("kind").alias("kind"))
+    near = components.join(label, "component").select("line_id", "kind").join(signed.select("line_id"), "line_id", "left_anti")
+    whole = cut(signed.where("whole").select("line_id", "kind").unionByName(near))
+    parts = segments.join(size.withColumnRenamed("words", "of"), "line_id").where("2 * words >= of").select("line_id", "segment").join(whole.where("kind <> 'placeholder'"), "line_id").groupBy("segment").agg(F.min("kind").alias("kind"))
+    direct = segments.where("whole and kind <> 'placeholder'").groupBy("segment").agg(F.min("kind").alias("kind"))
+    seeds = parts.unionByName(direct).groupBy("segment").agg(F.min("kind").alias("kind"))
+    texts = lines.groupBy("key").agg(F.sum(F.xxhash64("line_id").cast("decimal(38,0)")).alias("text_id"))
+    pages = lines.select("key", "line_id").join(segments.select("line_id", "segment", "words"), "line_id").groupBy("key", "segment").agg(F.max("words").alias("words")).join(texts, "key")
+    spread = spread_to_segments(pages, seeds)
+    over = segments.select("line_id", "segment").join(spread, "segment").groupBy("line_id").agg(F.min("kind").alias("kind"))
+    all_ = signed.select("line_id", "kind", F.lit("1 sign").alias("by")).unionByName(near.withColumn("by", F.lit("2 near"))).unionByName(over.withColumn("by", F.lit("3 page")))
+    named = all_.groupBy("line_id").agg(F.min_by("kind", "by").alias("kind"), F.substring(F.min("by"), 3, 9).alias("by"))
     return lines.select("key", "line_id"), named
 
 
 def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kinds): documents with a line of residue, and the kinds found in them, sorted.
+    """(key, kinds, by): documents with a line of residue, the kinds found in them, sorted, and the nearest way they were found by.
 
     Null, empty and blank texts are none; repeated documents are all reported; further columns are ignored.
     """
     lines, named = labelled_lines(docs, key, text)
-    return lines.join(named, "line_id").groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).select(F.col("key").alias(key), "kinds")
+    order = F.array_position(F.array(F.lit("sign"), F.lit("near"), F.lit("page")), F.col("by"))
+    return lines.join(named, "line_id").groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.min_by("by", order).alias("by")).select(F.col("key").alias(key), "kinds", "by")
 
 
 def without_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

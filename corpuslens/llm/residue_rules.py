@@ -1,60 +1,31 @@
-"""Trusted signs of template residue, filler text, error pages and script notices (fixed patterns, RE2 and Java alike)."""
+"""Trusted labels of residue: a small set of signs that hold without any context. All other wording is reached from them."""
 
 from __future__ import annotations
 
-#: Unfilled placeholders of usual template languages. Control tokens such as <|endoftext|> are none.
+_NAME = r"[\p{L}_][\p{L}\p{N}_.\- ]*"
+#: Unfilled placeholders, by the delimiters of usual template languages, of any length. Control tokens such as <|endoftext|> are none.
 PLACEHOLDER = (
-    r"\{\{[^{}\n]+\}\}|\$\{[\p{L}_][\p{L}\p{N}_.]{0,40}\}|#\{[\p{L}_][\p{L}\p{N}_.]{0,40}\}|<%[^%\n]+%>|\{%[^%\n]+%\}"
-    r"|\[\[\s?[\p{L}_][\p{L}\p{N}_.]{0,40}\s?\]\]|##[\p{L}_][\p{L}\p{N}_.]{0,40}##|@@[\p{L}_][\p{L}\p{N}_.]{0,40}@@|<<[\p{L}_][\p{L}\p{N}_.]{0,40}>>"
-    r"|\{[\p{L}_][\p{L}\p{N}_.]{1,40}\}|%[\p{Lu}_]{3,40}%|%%[\p{L}_][\p{L}\p{N}_.]{1,40}%%|\[[\p{L}_][\p{L}\p{N}_. ]{0,40} (?:HIER EINFÜGEN|EINFÜGEN|INSERT HERE|TO INSERT|À INSÉRER)\]|__[\p{Lu}_]{3,40}__"
+    rf"\{{\{{[^{{}}\n]+\}}\}}|[$#]\{{{_NAME}\}}|<%[^%\n]+%>|\{{%[^%\n]+%\}}|\[\[\s?{_NAME}\s?\]\]|##{_NAME}##|@@{_NAME}@@|<<{_NAME}>>|\{{[\p{{L}}_][\p{{L}}\p{{N}}_.]+\}}|%%{_NAME}%%|%[\p{{Lu}}_]{{3,}}%|__[\p{{Lu}}_]{{3,}}__"
+    rf"|\[(?i:your |ihr |ihre |votre |insert |hier )[^\[\]\n]*\]|\[[^\[\]\n]*(?i: einfügen| einsetzen| here| insérer| ici)\]"
 )
+_QUOTES = "„“”\"«»‚‘’'›‹"
 #: A placeholder that a text quotes stands between quotation marks.
-QUOTED_PLACEHOLDER = rf"[„“”\"«»‚‘’'›‹]\s*(?:{PLACEHOLDER})\s*[„“”\"«»‚‘’'›‹]"
+QUOTED_PLACEHOLDER = rf"[{_QUOTES}]\s*(?:{PLACEHOLDER})\s*[{_QUOTES}]"
 #: What a text quotes, speaks about: left out before signs are looked for.
-QUOTED = r"„[^„“”\n]{0,200}[“”]|“[^“”\n]{0,200}”|«[^«»\n]{0,200}»|\"[^\"\n]{0,200}\""
-#: Words of the usual Latin filler.
-FILLER_WORDS = (
+QUOTED = r"„[^„“”\n]*[“”]|“[^“”\n]*”|«[^«»\n]*»|\"[^\"\n]*\""
+#: The words of the classical filler passage. What generators mix with them is learned from the corpus.
+PASSAGE = (
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat"
     " duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-    " mollis nullam quorum ligula nunc felis tempus varius orci vestra pretium vestibulum pellentesque curabitur phasellus vivamus donec mauris"
 ).split()
-FILLER_LINE = (
-    r"(?i)^(?:dies ist (?:nur )?ein blindtext\b.*|hier (?:folgt|steht|kommt) (?:später |noch |bald )?(?:der|die|das|ein) (?:artikel|text|beitrag|inhalt)\b.*|überschrift\b.*\b(?:hier )?einsetzen\b.*|(?:text ?){3,}|(?:blindtext ?){2,}"
-    r"|platzhalter(?:text)? (?:für|fuer) (?:den|die|das|einen|eine) (?:vorspann|text|artikel|titel|überschrift|bild|teaser|anlauf|beitrag|foto|bildunterschrift)\b.*|noch ein satz ohne bedeutung\b.*|(?:mustertext[ .]*){2,}|er steht hier nur, damit die fläche nicht leer bleibt\b.*|(?:xxx+ ?){2,}|(?:bla ?){3,}"
-    r"|placeholder (?:text|for)\b.*|this is (?:a )?(?:dummy|placeholder|sample) text\b.*|insert (?:headline|text|title) here\b.*|(?:headline|text|copy) (?:to come|tbd|tk)\b.*|texte (?:à venir|de remplissage)\b.*|ceci est un (?:faux )?texte\b.*)$"
-)
-_THING = r"(?:server|dienst|datenbank|adresse|dokument|artikel|seite|website|webseite|ressource|anwendung|verbindung|inhalt|beitrag|datei|service|system|angebot|archiv)"
-_GERMAN = (
-    rf"(?:(?:die|diese|der|dieser|das|dieses|unser|unsere|ihr|ihre) )?(?:angeforderte[nrs]? |gewünschte[nrs]? |aufgerufene[nrs]? )?{_THING} "
-    r"(?:hat die anfrage (?:abgelehnt|nicht)|antwortet (?:derzeit |zurzeit |momentan )?nicht|ist (?:derzeit|zurzeit|momentan|vorübergehend|leider|aktuell|nicht|gerade|im moment)\b|wurde (?:leider )?(?:nicht gefunden|verschoben|gelöscht|entfernt|unterbrochen|abgebrochen)"
-    r"|konnte (?:leider )?(?:nicht|keine|die anfrage)\b|kann (?:derzeit |zurzeit )?(?:nicht|keine)\b|existiert nicht|wird gewartet|lässt sich nicht|steht (?:derzeit |zurzeit )?nicht|meldet (?:einen|keine) )"
-)
-#: Messages of servers; each stands at the start of a sentence, perhaps after a number.
-ERROR_LINE = (
-    r"(?i)^(?:(?:http )?(?:fehler|error|erreur|status|code)?\s*(?:code )?[1-5]\d\d\s*[:–—-]?\s*)?(?:"
-    + _GERMAN
-    + r"|(?:die )?seite (?:wurde )?nicht gefunden|zugriff verweigert(?:\.|!|$)|zeitüberschreitung\b|ups!|hoppla!|wartungsarbeiten:|ihre sitzung ist abgelaufen|es ist ein (?:interner |unerwarteter |unbekannter )?fehler aufgetreten|interner (?:server)?fehler|ein (?:interner |unerwarteter )?fehler ist aufgetreten|kennung der anfrage\b"
-    r"|(?:the |this )?(?:page|resource|document|article|file|url|site|server|service|database|address|content|link)s?(?: you (?:requested|are looking for|were looking for))? (?:could not be|cannot be|was not|is not|is currently|is temporarily|has been|have been|does not|did not|doesn.t|isn.t|refused|timed out|no longer|failed)\b"
-    r"|not found|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|forbidden|unauthorized|internal server error|bad request|method not allowed|request time-?out|too many requests|access (?:to this (?:resource|page) (?:was|is|has been) )?denied|something went wrong|an? (?:unexpected |internal )?error (?:has )?occurred|your session (?:has )?expired"
-    r"|(?:fatal |uncaught |parse )?(?:error|exception): |(?:warning|notice): (?:undefined|mysql|include)|traceback \(most recent|upstream (?:timed out|sent|connect)|connection (?:refused|reset|timed out|closed)|checking your browser|please wait while we|under maintenance|we.ll be back|this may take a few seconds"
-    r"|page introuvable|page non trouvée|accès (?:refusé|interdit)|erreur (?:interne|serveur)|service (?:temporairement |momentanément )?indisponible|(?:la|le|cette|ce) (?:page|document|serveur|service|site|article|adresse|base de données|ressource|contenu)s?(?: demandée?| que vous (?:cherchez|demandez))? (?:n.existe|n.a pas|n.est|est (?:introuvable|indisponible|temporairement)|a été (?:supprimée?|déplacée?)|ne répond)|une erreur (?:est survenue|s.est produite|interne)|votre session a expiré|délai (?:d.attente )?dépassé)"
-)
-#: The same messages with their number, which no sentence of a text has: anywhere outside quotations.
-ERROR_ANYWHERE = (
-    r"(?i)\b(?:HTTP (?:error|status|fehler) [1-5]\d\d|[45]\d\d\s*[:–—-]?\s*(?:not found|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|forbidden|unauthorized|internal server error|bad request|request time-?out|too many requests)"
-    r"|too many requests \(error \d+\)|fehler [1-5]\d\d\s*: zugriff verweigert|erreur [1-5]\d\d\s*: (?:page|accès|service)|[45]\d\d – seite nicht gefunden|uncaught exception in \S+|upstream timed out while|nginx/\d|checking your browser before|die angeforderte seite existiert nicht|es ist ein interner fehler aufgetreten|ihre sitzung ist abgelaufen"
-    r"|vorübergehend nicht erreichbar \(\d+\)|something went wrong on our end|the page you requested could not be found|access to this resource was denied)"
-)
-#: Demands to switch on scripts: scripts, their state, and the reader or the site spoken to.
-SCRIPT = r"(?i)java ?script|\bskript(?:e|en|s)?\b|\bscripts?\b"
-SCRIPT_STATE = r"(?i)aktivier|deaktiviert|ausgeschaltet|einschalten|eingeschaltet|schalten|abgeschaltet|blockier|unterdrück|gesperrt|sperrt|verhindert|erlauben|zulassen|benötigt|erforderlich|\bohne\b|disabled|enable|blocked|blocks|requires?|required|needs?\b|\brun\b|\ballow|turned? (?:it |them )?o|switch|activer|activez|activé|désactivé|bloqué|nécessaire|\bsans\b"
-SCRIPT_ADDRESS = r"(?i)\b(?:ihr|ihre|ihrem|ihren|ihres|bitte|browser|browsers|your|please|this (?:site|page|app|application|website)|diese (?:seite|anwendung|website)|das angebot|die seite|der artikel|der inhalt|dieser (?:beitrag|artikel|inhalt)|ihnen|veuillez|votre|ce (?:site|contenu)|cette page|navigateur|wird benötigt|you need|appear to be|scripts? (?:is|are)|is required)\b"
-SCRIPT_LATER = r"(?i)^(?:a required script failed to load\b.*|(?:please )?(?:switch|turn) (?:it|them) on\b.*|(?:update|disable) your (?:browser|blocker)\b.*|allow scripts\b.*)$"
-#: What else such pages hold; it neither makes nor breaks a case.
-CHROME = r"(?i)^(?:ray [0-9a-f]{6,}|kennung der anfrage.*|nginx.*|zurück|zur startseite|startseite|neu laden|anmelden|impressum.*|datenschutz.*|startseite \| .*)$"
-#: No message, filler line or script notice is without one of these (lower case): lines without any are not looked at closer.
-HINTS = (
-    "error", "fehler", "erreur", "found", "gateway", "unavailable", "forbidden", "unauthorized", "request", "denied", "wrong", "session", "sitzung", "exception", "warning", "notice", "traceback", "upstream", "connection", "checking", "wait", "maintenance", "wartung", "be back", "few seconds", "introuvable", "non trouvée",
-    "accès", "indisponible", "expiré", "délai", "server", "dienst", "datenbank", "adresse", "dokument", "artikel", "seite", "ressource", "anwendung", "verbindung", "inhalt", "beitrag", "datei", "service", "system", "angebot", "archiv", "verweigert", "zeitüberschreitung", "ups!", "hoppla", "kennung", "page", "resource", "document",
-    "article", "file", "url", "site", "database", "address", "content", "link", "serveur", "base de données", "contenu", "nginx", "erreichbar", "skript", "script", "blocker", "browser", "blindtext", "folgt", "steht", "kommt", "überschrift", "text", "platzhalter", "bedeutung", "xxx", "bla", "placeholder", "insert", "to come", "tbd", " tk", "them on", "it on", "missing", "method", "bad ", "status", "code",
-)
+#: Reason phrases of HTTP status codes in English, German and French. Beside a status code they are an error message.
+PHRASES = r"(?:not found|bad gateway|bad request|forbidden|unauthorized|internal server error|service (?:temporarily )?unavailable|gateway time-?out|request time-?out|too many requests|access denied|(?:seite )?nicht gefunden|zugriff verweigert|interner serverfehler|page introuvable|non trouvée|accès refusé|erreur interne)"
+ERROR = rf"(?i)(?<!\d)[1345]\d\d(?!\d)\W{{0,4}}(?:error\W{{0,3}})?{PHRASES}|{PHRASES}\W{{0,3}}(?:error |fehler |erreur |code )?[1345]\d\d(?!\d)|^[45]\d\d: |^checking your browser\b"
+#: A demand for scripts names them and, in the same clause, how to switch them on, or that they are off or needed; plain scripts are meant only beside a browser, a site or a page.
+_SWITCH = r"\b(?:enabled?|disabled|turn(?:ed)? o(?:n|ff)|activate|requires?|required|needs?|blocks?|blocked|aktivier\w*|deaktivier\w*|(?:ein|an|aus)(?:ge)?schalte\w*|benötigt|blockier\w*|activer|activez|désactivé\w*|nécessaire)\b"
+_CLAUSE = r"[^;:.!?]*"
+_ADDRESS = r"(?=.*\b(?:bitte|please|veuillez|your|you|ihr\w*|sie|votre|vous|browser|site|page|seite|muss|must|is|ist|wird|ohne|without|sans|bei)\b)"
+SCRIPT = rf"(?i)^{_ADDRESS}(?:.*java ?script{_CLAUSE}{_SWITCH}|.*{_SWITCH}{_CLAUSE}java ?script)|^(?={_CLAUSE}\bs[ck]ripte?n?s?\b)(?={_CLAUSE}{_SWITCH}){_CLAUSE}\b(?:browser|site|page|seite)\b"
+#: A text of nothing but one word, three times or more, and texts that call themselves filler.
+REPEATED = r"(?i)^(\p{L}{3,})(?:\W+\1){2,}\W*$"
+SELF_NAMED = r"(?i)^(?:dies ist (?:nur )?ein (?:blind|platzhalter)text|this is (?:a )?(?:dummy|placeholder|sample) text|ceci est un (?:faux )?texte)\b[^.!?]*[.!]?$"

@@ -38,15 +38,6 @@ def encode(text: str, vocabulary: str) -> list[int]:
     return encoder(vocabulary).encode_ordinary(text)
 
 
-def _ends(enc, ids: list[int]) -> list[int]:
-    """The byte offset after each token."""
-    out, at = [], 0
-    for t in ids:
-        at += len(enc.decode_single_token_bytes(t))
-        out.append(at)
-    return out
-
-
 def _can_cut(data: bytes, at: int) -> bool:
     """Whether a window may begin or end here: between characters, and not beside an apostrophe.
 
@@ -66,16 +57,19 @@ def concatenate(left: str, a: list[int], right: str, b: list[int], vocabulary: s
     result is that of the whole text. If a side never agrees, the window takes in all of it.
     """
     enc = encoder(vocabulary)
+    length = lambda t: len(enc.decode_single_token_bytes(t))
     x, y = left.encode(), right.encode()
-    ends_a, ends_b = [0, *_ends(enc, a)], [0, *_ends(enc, b)]
     size = window
     while True:
         i, j = max(0, len(a) - size), min(len(b), size)
-        while i > 0 and not _can_cut(x, ends_a[i]):
+        from_, to = len(x) - sum(map(length, a[i:])), sum(map(length, b[:j]))
+        while i > 0 and not _can_cut(x, from_):
             i -= 1
-        while j < len(b) and not _can_cut(y, ends_b[j]):
+            from_ -= length(a[i])
+        while j < len(b) and not _can_cut(y, to):
+            to += length(b[j])
             j += 1
-        mid = encode((x[ends_a[i] :] + y[: ends_b[j]]).decode(), vocabulary)
+        mid = encode((x[from_:] + y[:to]).decode(), vocabulary)
         left_agrees = i == 0 or (len(mid) > 3 and mid[:2] == a[i : i + 2])
         right_agrees = j == len(b) or (len(mid) > 3 and j >= 2 and mid[-2:] == b[j - 2 : j])
         if left_agrees and right_agrees:
@@ -97,7 +91,7 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
     An empty and a null text both give an empty list; repeated rows and keys give a row each. Texts up
     to ``leaf`` characters are encoded where they are read, without a shuffle. A longer one is cut
     into parts of at most ``leaf`` characters, which are spread over the cluster and encoded in
-    parallel; then neighbours are concatenated in a tree. No text is shortened. Only the file path
+    parallel; then neighbours are concatenated level by level of a tree, each pair in its own task. No text is shortened. Only the file path
     of the vocabulary is shipped; each worker process loads it once.
     """
     ship(sys.modules[__name__])
@@ -115,20 +109,25 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
         for batch in batches:
             yield batch.assign(ids=[enc.encode_ordinary(t) for t in batch["text"]])
 
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
         row = group.sort_values("i")
-        nodes = list(zip(row["text"], map(list, row["ids"]), strict=True))
-        while len(nodes) > 1:
-            up = [(x[0] + y[0], concatenate(x[0], x[1], y[0], y[1], vocabulary)) for x, y in zip(nodes[::2], nodes[1::2], strict=False)]
-            nodes = up + nodes[len(up) * 2 :]
-        return pd.DataFrame({"key": [row["key"].iloc[0]], "ids": [nodes[0][1]]})
+        text, ids = row["text"].iloc[0], list(row["ids"].iloc[0])
+        if len(row) > 1:
+            ids = concatenate(text, ids, row["text"].iloc[1], list(row["ids"].iloc[1]), vocabulary)
+            text += row["text"].iloc[1]
+        return pd.DataFrame({"row": [row["row"].iloc[0]], "i": [int(row["i"].iloc[0]) // 2], "text": [text], "ids": [ids]})
 
     kind = dict(d.dtypes)["key"]
     schema = f"key {kind}, ids array<int>"
     direct = d.where(F.length("text") <= leaf).mapInPandas(short, schema)
-    long = d.where(F.length("text") > leaf).withColumn("row", F.expr("uuid()"))
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / leaf).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.substring("text", i * leaf + 1, F.lit(leaf)).alias("text")))
-    spread = long.select("key", "row", F.explode(pieces).alias("p")).select("key", "row", "p.*").repartition("row", "i")
-    encoded = spread.mapInPandas(parts, f"key {kind}, row string, i int, text string, ids array<int>")
-    joined = encoded.groupBy("row").applyInPandas(whole, schema)
-    return direct.unionByName(joined).select(F.col("key").alias(key), "ids")
+    # Equal rows are encoded once; the number of a row depends on nothing but its content.
+    long = d.where(F.length("text") > leaf).groupBy("key", "text").agg(F.count("*").alias("copies")).withColumn("row", F.concat_ws(".", F.xxhash64("key", "text"), F.hash("key", "text")))
+    n = F.ceil(F.length("text") / leaf).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.substring("text", i * leaf + 1, F.lit(leaf)).alias("text")))
+    most = d.agg(F.max(n)).first()[0] or 0
+    nodes = long.select("row", F.explode(pieces).alias("p")).select("row", "p.*").repartition("row", "i").mapInPandas(parts, "row string, i int, text string, ids array<int>")
+    while most > 1:  # one level of the tree a round: every pair of neighbours is joined in a task of its own
+        nodes = nodes.groupBy("row", F.floor(F.col("i") / 2).alias("pair")).applyInPandas(joined, "row string, i int, text string, ids array<int>")
+        most = -(-most // 2)
+    encoded = long.select("row", "key", "copies").join(nodes.select("row", "ids"), "row").select("key", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("key", "ids")
+    return direct.unionByName(encoded).select(F.col("key").alias(key), "ids")
