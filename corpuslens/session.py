@@ -58,12 +58,24 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the checkpoint folder: like ``cut``, for wide rows. Removed when the driver ends."""
     spark = df.sparkSession
-    at = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    at = scratch(spark, "table")
     df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder for tables of one run. Removed when the driver ends."""
+    at = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_remove_written)
     _WRITTEN.append((spark, at))
-    return spark.read.schema(df.schema).parquet(at)
+    return at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def _remove_written() -> None:
