@@ -94,6 +94,26 @@ def add_parsed(df: DataFrame, raw: str, locale: str | None = None, prefix: str =
     return df.drop(*[x for x in df.columns if x.startswith(f"__{prefix}")])
 
 
+def add_day(df: DataFrame, raw: str, locale: str | None = None, name: str = "day") -> DataFrame:
+    """``df`` with the calendar day that the date text in column ``raw`` names, as written, whatever its zone; Unix times count in UTC.
+
+    Null for relative and useless values, impossible days, and dates with slashes where column ``locale`` is null.
+    """
+    s, x = F.col("__day_s"), F.col("__day_x")
+    us, slash = (F.col(locale) == "en-US" if locale else F.lit(False)), x[9] == "slash"
+    mid, day = F.lower(F.when(slash & us, x[2]).otherwise(x[1])), F.when(slash & us, x[1]).otherwise(x[2])
+    month = F.coalesce(F.when(mid != "", mid).try_cast("int"), F.try_element_at(_words(MONTHS), mid))
+    year = F.when(F.length(x[0]) == 2, F.concat(F.lit("20"), x[0])).otherwise(x[0])
+    lost = slash & (F.col(locale).isNull() if locale else F.lit(True))
+    written = F.when(~F.coalesce(lost, F.lit(False)), F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"))
+    n = F.regexp_extract(s, r"^(\d{6,19})(?:\.\d+)?$", 1)
+    value, size = F.when(n != "", n).try_cast("bigint"), F.length(n)
+    seconds = F.when(size <= 11, value).when(size.between(12, 14), value / 1000).when(size.between(15, 17), value / 1_000_000).when(size >= 18, value / 1_000_000_000)
+    df = df.withColumn("__day_s", F.trim(F.regexp_replace(raw, r"[\s\p{Z}]+", " ")))
+    df = df.withColumn("__day_x", F.split(F.coalesce(*[F.when(s.rlike(p), F.regexp_replace(s, p, t)) for p, t in NOTATIONS]), r"\|"))
+    return df.withColumn(name, F.coalesce(written, F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")))).drop("__day_s", "__day_x")
+
+
 def iso_utc(ms: Column) -> Column:
     """``2026-05-01T08:03:04.123Z`` of milliseconds since 1970, whatever the session's time zone."""
     day = F.floor(ms / 86_400_000)

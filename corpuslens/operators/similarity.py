@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, join_dimension
 from .graph import connected_components
 from .ranking import top_per_group
 
@@ -53,8 +53,12 @@ def winners(a: DataFrame, groups: DataFrame, feeds: DataFrame) -> DataFrame:
 
 
 def centroids(e: DataFrame) -> DataFrame:
-    """(label, n, spread): the mean vector of each label as the mean cosine of its members to it."""
-    x = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
-    c = x.groupBy("label", "i").agg(F.avg("v").alias("m"))
-    j = x.join(c, ["label", "i"]).groupBy("label", "vec_id").agg((F.sum(F.col("v") * F.col("m")) / F.sqrt(F.sum(F.col("v") * F.col("v")) * F.sum(F.col("m") * F.col("m")))).alias("cos"))
-    return j.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("cos"), 4).alias("spread"))
+    """(label, n, spread): the mean vector of each label as the mean cosine of its members to it.
+
+    Means are summed map-side, so that only labels x dimensions are shuffled; each vector then meets its label's mean as one array.
+    """
+    m = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    m = m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
+    cos = dot(F.col("embedding"), F.col("mean")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("mean"), F.col("mean")))
+    return join_dimension(e.select("label", "embedding"), m, "label", "inner").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(cos), 4).alias("spread"))

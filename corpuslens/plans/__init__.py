@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "search", "enrichment", "ingest", "pipeline", "text", "timestamps")
+MODULES = ("relational", "search", "enrichment", "ingest", "pipeline", "text", "timestamps", "lookups")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -61,7 +61,7 @@ QUERIES = {
     "report_cards": lambda s, d: articles(s, d).select("id", ST.html_card(F.col("title"), F.col("source"), F.col("relevance_score"), F.col("summary")).alias("html")),
     "tumbling_counts": lambda s, d: W.tumbling(table(s, d, "events"), ["event_type"]), "sliding_errors": lambda s, d: W.sliding(table(s, d, "events").where("event_type = 'error'"), ["user_id"], "6 hours", "2 hours", 2),
     "rate_limit": lambda s, d: W.sliding(table(s, d, "events"), ["user_id"], "60 minutes", "20 minutes", 3), "sessions": lambda s, d: W.sessions(table(s, d, "events"), "user_id", "2 hours"),
-    "exact_texts": lambda s, d: M.exact_groups(articles(s, d)), "similar_titles": lambda s, d: M.same_title_pairs(articles(s, d)), "clusters": lambda s, d: M.clusters(articles(s, d)),
+    "exact_texts": lambda s, d: M.exact_groups(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("full_text"))), "similar_titles": lambda s, d: M.same_title_pairs(articles(s, d)), "clusters": lambda s, d: M.clusters(articles(s, d)),
     "cluster_winners": lambda s, d: M.winners(articles(s, d), M.clusters(articles(s, d)), table(s, d, "feeds")), "embedding_centroids": lambda s, d: M.centroids(table(s, d, "embeddings")),
     "content_metadata": lambda s, d: C.metadata(articles(s, d)), "summaries": lambda s, d: articles(s, d).where("full_text is not null").select("id", C.summary(F.col("full_text"), F.col("title")).alias("summary")), "keywords": lambda s, d: C.keywords(articles(s, d)),
 }
@@ -80,7 +80,7 @@ SQL = {
     "sliding_errors": "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT user_id, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 4 HOUR]) AS w FROM events WHERE event_type = 'error') GROUP BY w, user_id HAVING count(*) >= 2",
     "rate_limit": "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT user_id, unnest([time_bucket(INTERVAL 20 MINUTE, ts), time_bucket(INTERVAL 20 MINUTE, ts) - INTERVAL 20 MINUTE, time_bucket(INTERVAL 20 MINUTE, ts) - INTERVAL 40 MINUTE]) AS w FROM events) GROUP BY w, user_id HAVING count(*) >= 3",
     "sessions": "WITH g AS (SELECT user_id, ts, if(ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR, 0, 1) AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM s GROUP BY user_id, k",
-    "exact_texts": _A + "SELECT min(id) AS first_id, count(*) AS n FROM a WHERE trim(full_text, ' ') <> '' GROUP BY trim(regexp_replace(full_text, '[\\s\\p{Z}]+', ' ', 'g'), ' ') HAVING count(*) > 1",
+    "exact_texts": "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents WHERE trim(text, ' ') <> '' GROUP BY trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'), ' ') HAVING count(*) > 1",
     "embedding_centroids": "WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY 1, 2), j AS (SELECT x.label, vec_id, sum(v * m) / sqrt(sum(v * v) * sum(m * m)) AS cos FROM x JOIN c ON c.label = x.label AND c.i = x.i GROUP BY 1, 2) SELECT label, count(*) AS n, round(avg(cos), 4) AS spread FROM j GROUP BY label",
     "keywords": _A + f", w AS (SELECT unnest(list_filter(regexp_split_to_array({_FOLD('coalesce(full_text, chr(32))')}, '[^a-z0-9]+'), lambda t: length(t) >= 5 AND NOT list_contains({_STOP}, t))) AS term FROM a) SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY 2 DESC, 1 LIMIT 100",
 }

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..schema import with_days
 from ..session import join_dimension, table
-from .common import ARTICLES, ENTITIES, RESONANCE, articles, entities
+from .common import ARTICLES, DATED, ENTITIES, RESONANCE, articles, entities
 
 FROM, TO, TODAY = "2025-03-01", "2025-12-31", "2025-12-31"
 #: Parts of a hot entity in a join; results do not depend on it.
@@ -27,9 +28,7 @@ def range_scan(s, d):
 
 def range_scan_all(s, d):
     """The same range with duplicates."""
-    from ..schema import iso_day
-
-    a = table(s, d, "articles").withColumn("day", iso_day(F.col("published_date"))).where(F.col("day").between(FROM, TO) & F.col("deleted_at").isNull())
+    a = with_days(table(s, d, "articles"), table(s, d, "feeds")).where(F.col("day").between(FROM, TO) & F.col("deleted_at").isNull())
     return a.select("id", "title", "duplicate_of", "day").orderBy(F.desc("day"), "id")
 
 
@@ -59,9 +58,9 @@ def health_status(failures, error, last_success):
 
 
 def new_items(s, d):
-    """Feed items (events of users) whose key is not among the known ones: an anti join."""
-    e = table(s, d, "events").select(F.col("user_id").alias("key"), "event_type").distinct()
-    return e.join(table(s, d, "customer").select(F.col("c_custkey").alias("key")), "key", "left_anti")
+    """Items of feeds whose normalized URL is not among the bookmarked ones: an anti join."""
+    known = table(s, d, "articles").join(table(s, d, "bookmarks").select(F.col("article_id").alias("id")), "id", "left_semi").select("url_normalized")
+    return articles(s, d).select("id", "url_normalized").join(known, "url_normalized", "left_anti")
 
 
 def trend_join(s, d):
@@ -207,7 +206,7 @@ _HEALTH = """h AS (SELECT source, max(consecutive_failures) AS failures, max(las
  k AS (SELECT name AS source, priority, disabled, failures, error, CASE WHEN failures > 0 AND error = 'forbidden' THEN 'blocked' WHEN failures > 0 AND error IN ('gone', 'notfound') THEN 'dead' WHEN failures >= 4 THEN 'dead' WHEN failures >= 1 THEN 'degraded' WHEN last_success IS NOT NULL THEN 'ok' ELSE 'unknown' END AS status FROM feeds LEFT JOIN h ON h.source = name)"""
 SQL = {
     "range_scan": _A + f"SELECT id, title, source, relevance_score, day FROM a WHERE day BETWEEN '{FROM}' AND '{TO}' ORDER BY relevance_score DESC, day DESC, id",
-    "range_scan_all": rf"SELECT id, title, duplicate_of, day FROM (SELECT *, TRY_CAST(regexp_extract(published_date, '^(\d{{4}}-\d{{2}}-\d{{2}})', 1) AS DATE) AS day FROM articles) WHERE day BETWEEN '{FROM}' AND '{TO}' AND deleted_at IS NULL",
+    "range_scan_all": f"WITH {DATED} SELECT id, title, duplicate_of, day FROM dated WHERE day BETWEEN '{FROM}' AND '{TO}' AND deleted_at IS NULL",
     "dedup_projection": _A + f"SELECT id, url, title, source, first_paragraph, day FROM a WHERE day >= '{FROM}'", "high_relevance": _A + f"SELECT id, relevance_score FROM a WHERE relevance_score >= 80 AND day >= '{FROM}'",
     "retag_scan": "SELECT id, title, summary, sentiment, category, paywall FROM articles WHERE deleted_at IS NULL",
     "stats_overview": "SELECT count(*) AS total, count(*) FILTER (duplicate_of IS NULL) AS canonical, count(duplicate_of) AS duplicates, count(*) FILTER (sentiment = 'positiv') AS positive, count(*) FILTER (sentiment = 'negativ') AS negative, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (paywall) AS paywalled FROM articles",
@@ -249,7 +248,7 @@ SQL = {
     "bookmarks_join": "SELECT article_id, title, note, epoch_us(b.created_at) AS bookmarked_at FROM bookmarks b JOIN articles a ON a.id = b.article_id",
     "tags_collect": _A + f"SELECT a.id AS article_id, coalesce(tags, '') AS tags, b.article_id IS NOT NULL AS bookmarked FROM a LEFT JOIN (SELECT article_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM ({_TAG}) GROUP BY 1) t ON t.article_id = a.id LEFT JOIN bookmarks b ON b.article_id = a.id",
     "feeds_health": f"WITH {_HEALTH} SELECT * FROM k", "health_histogram": f"WITH {_HEALTH} SELECT status, count(*) AS n FROM k GROUP BY status",
-    "new_items": "SELECT DISTINCT user_id AS key, event_type FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)",
+    "new_items": _A + "SELECT id, url_normalized FROM a WHERE url_normalized NOT IN (SELECT url_normalized FROM articles JOIN bookmarks ON article_id = id WHERE url_normalized IS NOT NULL)",
     "trend_join": "WITH t AS (SELECT trim(lower(tag), ' ') AS tag, CAST(created_at AS DATE) AS day FROM article_tags WHERE trim(tag, ' ') <> ''), l AS (SELECT tag, count(*) AS n FROM t WHERE day >= '2025-09-01' GROUP BY tag), e AS (SELECT tag, count(*) AS n FROM t WHERE day < '2025-09-01' GROUP BY tag) SELECT l.tag, l.n AS n_late, coalesce(e.n, 0) AS n_early, l.n - coalesce(e.n, 0) AS change FROM l LEFT JOIN e ON e.tag = l.tag",
     "fused_scores": _E + f", t AS (SELECT article_id, count(*) AS n FROM ({_TAG}) GROUP BY 1), m AS (SELECT article_id, sum(mentions) AS m FROM e GROUP BY 1) SELECT coalesce(t.article_id, m.article_id) AS article_id, round(0.65::DOUBLE * coalesce(n, 0) + 0.35::DOUBLE * coalesce(m, 0), 6) AS score FROM t FULL JOIN m ON m.article_id = t.article_id",
     "entities_in_range": f"WITH {ARTICLES}, {ENTITIES} SELECT source, entity_type, count(*) AS n, CAST(sum(mentions) AS BIGINT) AS mentions FROM e JOIN a ON a.id = e.article_id WHERE day BETWEEN '{FROM}' AND '{TO}' GROUP BY 1, 2",
@@ -263,5 +262,5 @@ SQL = {
     "title_updates": _A + r", k AS (SELECT *, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS key FROM a WHERE day IS NOT NULL AND title IS NOT NULL) SELECT key, lag(id) OVER w AS before, id AS after, datediff('day', lag(day) OVER w, day) AS gap, source <> lag(source) OVER w AS changed FROM k WINDOW w AS (PARTITION BY key ORDER BY day, id) QUALIFY lag(id) OVER w IS NOT NULL",
     "failure_runs": "WITH g AS (SELECT *, sum(if(event_type = 'error', 0, 1)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events), r AS (SELECT user_id, island, count(*) AS n FROM g WHERE event_type = 'error' GROUP BY 1, 2) SELECT user_id, max(n) AS longest, arg_max(n, island) AS latest FROM r GROUP BY user_id",
     "update_tags_union": f"WITH t AS ({_TAG}) SELECT article_id, tag FROM (SELECT * FROM t UNION SELECT DISTINCT article_id, 'status:geprueft' FROM article_tags) WHERE NOT (tag LIKE 'tonalitaet:%')",
-    "related_articles": f"WITH {ARTICLES}, {ENTITIES}, n AS (SELECT count(DISTINCT article_id) AS n FROM e), r AS (SELECT entity_type, entity_value FROM e, n GROUP BY 1, 2, n.n HAVING count(*) * 50 <= n.n), x AS (SELECT e.article_id, entity_type, entity_value, day FROM e JOIN r USING (entity_type, entity_value) JOIN a ON a.id = e.article_id WHERE day IS NOT NULL) SELECT x.article_id, y.article_id AS other, count(*) AS shared FROM x JOIN x y ON x.entity_type = y.entity_type AND x.entity_value = y.entity_value AND x.article_id <> y.article_id AND x.article_id % 50 = 0 AND abs(datediff('day', x.day, y.day)) <= 14 GROUP BY 1, 2 HAVING count(*) >= 2",
+    "related_articles": f"WITH {ARTICLES}, {ENTITIES}, x AS (SELECT e.article_id, entity_type, entity_value, day FROM e JOIN a ON a.id = e.article_id WHERE day IS NOT NULL) SELECT x.article_id, y.article_id AS other, count(*) AS shared FROM x JOIN x y ON x.entity_type = y.entity_type AND x.entity_value = y.entity_value AND x.article_id <> y.article_id AND x.article_id % 50 = 0 AND abs(datediff('day', x.day, y.day)) <= 14 GROUP BY 1, 2 HAVING count(*) >= 2",
 }

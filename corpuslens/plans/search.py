@@ -35,7 +35,7 @@ def presets(s, d):
 
 QUERIES = {
     "structured_query": _where(STRUCTURED), "tag_any": _where("tag:form:kritik tag:form:interview"), "tag_all": _where("tag:form:kritik tag:tonalitaet:positiv tagmode:all"), "tag_none": _where("tag:form:kritik tagmode:none tagnot:tonalitaet:negativ"),
-    "phrase_query": _where('"der Chor" NOT Premiere has:image'), "presets": presets, "like_search": lambda s, d: articles(s, d).where(F.col("title").ilike("%premiere%") | F.col("summary").ilike("%premiere%")).select("id", "relevance_score"),
+    "phrase_query": _where('"der Chor" NOT Premiere has:image'), "presets": presets, "like_search": lambda s, d: articles(s, d).where(F.col("title").ilike("%premiere%") | F.col("full_text").ilike("%premiere%") | F.col("summary").ilike("%premiere%")).select("id", "relevance_score", "day").orderBy(F.desc("relevance_score"), F.desc_nulls_last("day"), "id"),
     "bm25": lambda s, d: S.bm25(articles(s, d), RANKED, S.Ranking(title_bonus=0, bigram_bonus=0, proximity=False)).select("id", "score"),
     "bm25_boosted": lambda s, d: S.search(searchable(s, d), RANKED + " type:review", 50).select("id", "score"), "bm25_recent": lambda s, d: S.search(searchable(s, d), RANKED, 50, S.Ranking(recency="exponential"), "2026-06-30").select("id", "score"),
     "synonym_search": lambda s, d: S.search(searchable(s, d), "Rezension", 50, S.Ranking(synonyms=(("rezension", "kritik", "besprechung", "review"),))).select("id", "score"),
@@ -63,7 +63,7 @@ SQL = {
     "tag_any": _S + "SELECT id FROM x WHERE list_has_any(tags, ['form:kritik', 'form:interview'])", "tag_all": _S + "SELECT id FROM x WHERE list_has_all(tags, ['form:kritik', 'tonalitaet:positiv'])", "tag_none": _S + "SELECT id FROM x WHERE NOT list_has_any(tags, ['form:kritik']) AND NOT list_has_any(tags, ['tonalitaet:negativ'])",
     "phrase_query": _S + "SELECT id FROM x WHERE contains(body, 'der chor') AND NOT contains(body, 'premiere') AND has_image",
     "presets": _S + "SELECT unnest(['top', 'reviews', 'positive', 'negative', 'long', 'free', 'images', 'saved']) AS preset, unnest([count(*) FILTER (relevance_score >= 80), count(*) FILTER (article_type = 'review'), count(*) FILTER (sentiment = 'positiv'), count(*) FILTER (sentiment = 'negativ'), count(*) FILTER (word_count >= 400), count(*) FILTER (NOT paywall), count(*) FILTER (has_image), count(*) FILTER (bookmarked)]) AS n FROM x",
-    "like_search": _A + "SELECT id, relevance_score FROM a WHERE title ILIKE '%premiere%' OR summary ILIKE '%premiere%'",
+    "like_search": _A + "SELECT id, relevance_score, day FROM a WHERE title ILIKE '%premiere%' OR full_text ILIKE '%premiere%' OR summary ILIKE '%premiere%'",
     "bm25": _A + f", k AS (SELECT id, {_TOK('title')} AS tt, {_TOK('summary')} AS ts, {_TOK('full_text')} AS tb FROM a), f AS (SELECT id, 4 * len(tt) + len(ts) + len(tb) AS dl, {_TF('premiere')} AS f0, {_TF('publikum')} AS f1 FROM k), z AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM f) SELECT id, round(({_PART(0)} + {_PART(1)}) * (0.3 + 0.7 * (if(f0 > 0, 1, 0) + if(f1 > 0, 1, 0)) / 2), 6) AS score FROM f, z WHERE f0 > 0 OR f1 > 0",
     "suggestions": _A + f", w AS (SELECT source AS value, 5 AS w FROM a WHERE starts_with({_FOLD('source')}, 'th') UNION ALL SELECT value, 2 FROM (SELECT id, unnest(list_distinct({_TOK('title')})) AS value FROM a) WHERE starts_with(value, 'th')) SELECT value, CAST(sum(w) AS BIGINT) AS weight FROM w GROUP BY value ORDER BY 2 DESC, 1 LIMIT 10",
     "highlights": _A + "SELECT id, regexp_replace(title, '(?i)(premiere|kritik)', '<mark>\\1</mark>', 'g') AS marked FROM a",

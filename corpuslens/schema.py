@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.timestamps import add_day
+
 #: Text that stands for a missing source in reports.
 UNKNOWN = "Unbekannt"
 
 
-def iso_day(raw: Column) -> Column:
-    """The calendar day of an ISO-like date text; null for other notations (see ``normalise_dates``) and impossible days."""
-    return F.try_to_date(F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
-
-
-def with_days(articles: DataFrame) -> DataFrame:
-    """Articles with ``day`` (from ``published_date``) and the usual defaults."""
-    return articles.withColumns({
-        "day": iso_day(F.col("published_date")), "sentiment": F.coalesce("sentiment", F.lit("neutral")), "word_count": F.coalesce("word_count", F.lit(0)), "relevance_score": F.coalesce("relevance_score", F.lit(0)),
+def with_days(articles: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """Articles with ``day`` (from ``published_date``, in any notation) and the usual defaults. Dates with slashes need the locale of ``feeds``."""
+    if feeds is None:
+        dated = add_day(articles, "published_date")
+    else:
+        f = feeds.where("name is not null").groupBy(F.col("name").alias("__name")).agg(F.min("locale").alias("__locale"))
+        dated = add_day(articles.join(f, articles["source"] == f["__name"], "left"), "published_date", "__locale").drop("__name", "__locale")
+    return dated.withColumns({
+        "sentiment": F.coalesce("sentiment", F.lit("neutral")), "word_count": F.coalesce("word_count", F.lit(0)), "relevance_score": F.coalesce("relevance_score", F.lit(0)),
         "language": F.coalesce("language", F.lit("de")), "category": F.coalesce("category", F.lit("irrelevant")), "article_type": F.coalesce("article_type", F.lit("news")), "source": F.coalesce("source", F.lit(UNKNOWN)), "paywall": F.coalesce("paywall", F.lit(False)),
     })
 

@@ -34,14 +34,20 @@ def charset(content_type: Column, body: Column) -> Column:
     return F.coalesce(some(F.coalesce(content_type, F.lit("")), r"(?i)charset=[\"']?([\w-]+)"), bom, some(head, r"(?i)<\?xml[^>]+encoding=[\"']([\w-]+)"), some(head, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)"), F.lit("utf-8"))
 
 
+#: What windows-1252 has where ISO-8859-1 has control characters (0x80 to 0x9F); five places stay as they are.
+_LATIN = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0))
+
+
 def decoded(content_type: Column, body: Column) -> Column:
-    """The text of a response; character sets the JVM always has are decoded as such, others as utf-8."""
+    """The text of a response; windows-1252 and the character sets the JVM always has are decoded as such, others as utf-8, and what is no utf-8 as windows-1252."""
     c = charset(content_type, body)
-    known = {"iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "windows-1252": "ISO-8859-1", "us-ascii": "US-ASCII", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-16": "UTF-16"}
+    known = {"iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "us-ascii": "US-ASCII", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-16": "UTF-16"}
     out = F.try_validate_utf8(body.cast("string"))
     for name, java in known.items():
         out = F.when(c == name, F.decode(body, java)).otherwise(out)
-    return F.coalesce(out, F.decode(body, "ISO-8859-1"))
+    windows = F.translate(F.decode(body, "ISO-8859-1"), _LATIN, _WINDOWS)
+    return F.coalesce(F.when(c.isin("windows-1252", "cp1252", "x-cp1252"), windows).otherwise(out), windows)
 
 
 def _local(tag: str) -> str:

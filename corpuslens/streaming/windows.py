@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import path_exists, ship
 
 
 def _timed(events: DataFrame, ts: str, late: str | None) -> DataFrame:
@@ -81,18 +81,25 @@ def streaks_of(log: DataFrame, key: str = "source") -> DataFrame:
     return j.groupBy(key).agg(F.count("*").alias("consecutive"))
 
 
+def committed_epochs(spark, path: str) -> list[int]:
+    """The epochs whose table below ``path`` is complete."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[6:]) for n in names if n.startswith("epoch=") and path_exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def merge_into(path: str, keys: list[str], order: str):
-    """A ``foreachBatch`` sink that keeps the newest row of each key in a parquet table, written to a new folder and swapped by name."""
+    """A ``foreachBatch`` sink that keeps the newest row of each key in a parquet table, one folder an epoch.
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        from pyspark.errors import AnalysisException
+    A batch is merged with the newest complete epoch before it, however far back; a batch that is repeated replaces its own
+    epoch. An epoch that cannot be read stops the query, so that history is never replaced in silence.
+    """
 
+    def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/epoch={epoch - 1}")
-            rows = old.unionByName(batch)
-        except AnalysisException:
-            rows = batch
+        before = [e for e in committed_epochs(spark, path) if e < epoch]
+        rows = spark.read.parquet(f"{path}/epoch={before[-1]}").unionByName(batch) if before else batch
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
