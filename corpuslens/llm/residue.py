@@ -19,11 +19,11 @@ from . import residue_rules as R
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits of a fingerprint, and how many of them may differ between two lines of ``SIMILARITY``: 15 % on average, five standard deviations more at most.
+#: Bits of a fingerprint, and how many of them may differ between two lines of ``SIMILARITY``: 15 % on average, five standard deviations more at most; in the whole and in its lower half.
 BITS = 128
-HAMMING = 40
+HAMMING, HAMMING_LOW = 40, 24
 #: The chance that two lines of ``SIMILARITY`` meet in a table at least; the number of tables follows from it.
-RECALL = 0.97
+RECALL = 0.95
 #: Beyond so many lines of one table entry those near one of them are not compared with each other.
 MANY = 100
 #: A segment recurs in so many different pages; it takes a label at this score, once no score rises by more than ``SETTLED``.
@@ -134,11 +134,11 @@ def simhashes(shingles: list[np.ndarray]) -> np.ndarray:
 def table_plan(n: int) -> tuple[int, int]:
     """(bits of a table's key, number of tables) for n lines.
 
-    A key has log2(n) - 2 bits, so that chance brings few lines together at any size. Two lines of
+    A key has log2(n) - 4 bits, so that chance brings some sixteen lines together at any size. Two lines of
     ``SIMILARITY`` agree in a bit with probability 1 - arccos(2 s / (1 + s)) / pi = 0.85, so the number of
     tables follows from ``RECALL``: it grows with the fourth root of n.
     """
-    bits = min(BITS, max(8, math.ceil(math.log2(max(n, 2))) - 2))
+    bits = min(BITS, max(8, math.ceil(math.log2(max(n, 2))) - 4))
     meet = (1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
 
@@ -173,7 +173,7 @@ def fingerprints(lines: DataFrame) -> DataFrame:
 
 
 def _tables(sets: DataFrame) -> DataFrame:
-    """(entry, line_id, low, high): the entries of each set in all tables. A set that differs from another is at most n / (n + 1) similar to it; shorter sets have none."""
+    """(entry, line_id, low): the entries of each set in all tables. A set that differs from another is at most n / (n + 1) similar to it; shorter sets have none."""
     long = sets.where(F.size("shingles") >= SIMILARITY * (F.size("shingles") + 1) - 1e-9).select("line_id", "low", "high")
     bits, tables = table_plan(long.count())
 
@@ -181,21 +181,21 @@ def _tables(sets: DataFrame) -> DataFrame:
         for batch in batches:
             halves = np.stack([batch["low"].to_numpy(), batch["high"].to_numpy()], axis=1)
             found = table_keys(np.unpackbits(halves.view(np.uint8), axis=1).astype(bool), bits, tables)
-            yield pd.DataFrame({"line_id": batch["line_id"], "low": batch["low"], "high": batch["high"], "entries": list(found)})
+            yield pd.DataFrame({"line_id": batch["line_id"], "low": batch["low"], "entries": list(found)})
 
-    return long.mapInPandas(keys, "line_id bigint, low bigint, high bigint, entries array<bigint>").select(F.explode("entries").alias("entry"), "line_id", "low", "high")
+    return long.mapInPandas(keys, "line_id bigint, low bigint, entries array<bigint>").select(F.explode("entries").alias("entry"), "line_id", "low")
 
 
-def _near(a: str, b: str):
-    return F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high"))) <= HAMMING
+def _differ(x: str, y: str):
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) with a Jaccard similarity of at least ``SIMILARITY``."""
-    of = prints.select("line_id", "shingles")
-    both = pairs.join(of.select(F.col("line_id").alias("a"), F.col("shingles").alias("s")), "a").join(of.select(F.col("line_id").alias("b"), F.col("shingles").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    return both.where(common >= SIMILARITY * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
+    """The pairs (a, b) within ``HAMMING`` bits and with a Jaccard similarity of at least ``SIMILARITY``."""
+    of = lambda n: prints.select(F.col("line_id").alias(n), F.struct("low", "high").alias(f"{n}_bits"), F.col("shingles").alias(f"{n}_set"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(_differ("a_bits.low", "b_bits.low") + _differ("a_bits.high", "b_bits.high") <= HAMMING)
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(common >= SIMILARITY * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b")
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
@@ -212,14 +212,17 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     stars = cut(of.join(heads, "same").where("line_id <> a").select("a", F.col("line_id").alias("b")))
     sets = join_dimension(prints.select("line_id", "shingles", "low", "high"), stars.select(F.col("b").alias("line_id")), "line_id", "left_anti")
     rows = _tables(sets)
-    keys = rows.groupBy("entry").agg(F.min(F.struct("line_id", "low", "high")).alias("p"), F.count("*").alias("k")).where("k > 1")
-    rows = written(rows.join(keys, "entry").select("entry", "line_id", "low", "high", F.when(F.col("k") > MANY, F.col("p")).alias("p")))
-    hot = rows.where("p is not null and line_id <> p.line_id").select(F.col("p.line_id").alias("a"), F.col("line_id").alias("b"), "low", "high", F.col("p.low").alias("p_low"), F.col("p.high").alias("p_high"))
-    around = cut(_verified(hot.where(_near("", "p_")).select("a", "b").distinct(), prints))
+    keys = rows.groupBy("entry").agg(F.min(F.struct("line_id", "low")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    rows = rows.join(keys.select("entry", F.when(F.col("k") > MANY, F.col("p")).alias("p")), "entry")
+    rows = written(rows)
+    hot = rows.where("p is not null and line_id <> p.line_id").where(_differ("low", "p.low") <= HAMMING_LOW)
+    around = cut(_verified(hot.select(F.col("p.line_id").alias("a"), F.col("line_id").alias("b")).distinct(), prints))
+    cold = rows.where("p is null").select("entry", "line_id", "low", F.lit(False).alias("near"))
     near = around.select(F.col("a").alias("pivot"), F.col("b").alias("line_id"), F.lit(True).alias("near"))
-    rows = rows.withColumn("pivot", F.col("p.line_id")).join(near, ["pivot", "line_id"], "left").select("entry", "line_id", "low", "high", F.coalesce("near", F.col("line_id") == F.col("pivot"), F.lit(False)).alias("near"))
-    x, y = rows.where("not near"), rows.select("entry", *[F.col(c).alias(f"y_{c}") for c in ("line_id", "low", "high", "near")])
-    close = x.join(y, "entry").where("line_id <> y_line_id and (y_near or line_id < y_line_id)").where(_near("", "y_"))
+    of_pivot = rows.where("p is not null").withColumn("pivot", F.col("p.line_id")).join(near, ["pivot", "line_id"], "left")
+    rows = cold.unionByName(of_pivot.select("entry", "line_id", "low", F.coalesce("near", F.col("line_id") == F.col("pivot"), F.lit(False)).alias("near")))
+    x, y = rows.where("not near"), rows.select("entry", *[F.col(c).alias(f"y_{c}") for c in ("line_id", "low", "near")])
+    close = x.join(y, "entry").where("line_id <> y_line_id and (y_near or line_id < y_line_id)").where(_differ("low", "y_low") <= HAMMING_LOW)
     pairs = close.select(F.least("line_id", "y_line_id").alias("a"), F.greatest("line_id", "y_line_id").alias("b")).distinct()
     return _verified(pairs, prints).unionByName(around).unionByName(stars)
 
