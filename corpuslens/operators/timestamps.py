@@ -40,7 +40,7 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
                 at = lambda s, tz=tz: (epoch + timedelta(seconds=s)).astimezone(tz).utcoffset() // timedelta(seconds=1)
                 year_start = int((datetime(int(year), 1, 1, tzinfo=UTC) - epoch).total_seconds())
                 begin, end = max(low, year_start - 2 * day), min(high, year_start + 368 * day)
-                start, now, t = begin, at(begin), begin
+                start, now, t = begin - 3 * day, at(begin), begin
                 while t < end:
                     u = min(t + 5 * day, end)
                     if at(u) != now:

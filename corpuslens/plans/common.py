@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.timestamps import MONTHS
 from ..schema import canonical, with_days
-from ..session import table
+from ..session import spread, table
 
 
 def articles(spark, folder):
     """Canonical articles with days and defaults."""
-    return with_days(canonical(table(spark, folder, "articles")), table(spark, folder, "feeds"))
+    return with_days(spread(canonical(table(spark, folder, "articles"))), table(spark, folder, "feeds"))
 
 
 def entities(spark, folder):

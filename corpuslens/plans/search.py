@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import search as S
 from ..operators.query_language import PRESETS, compile_query, parse
-from ..session import table
+from ..session import scratch, table
 from .common import ARTICLES, articles
 
 STRUCTURED = '+premiere -kino ODER kritik score:>=40 words:<400 lang:de after:2025-01'
@@ -33,6 +33,17 @@ def presets(s, d):
     return n.unpivot([], list(PRESETS), "preset", "n")
 
 
+def bm25_indexed(s, d):
+    """The same ranking from a postings table."""
+    return S.bm25_indexed(S.index_articles(articles(s, d), scratch(s, "index")), RANKED)
+
+
+def boosted_scores(s, d):
+    """The same ranking with bonuses for phrases in the title and for trusted sources."""
+    r = S.bm25(articles(s, d), RANKED, S.Ranking(title_bonus=0, bigram_bonus=0, proximity=False))
+    return S.boosted(r.select("id", "title", "source", "score"), ["premiere"], table(s, d, "feeds")).select("id", "score")
+
+
 QUERIES = {
     "structured_query": _where(STRUCTURED), "tag_any": _where("tag:form:kritik tag:form:interview"), "tag_all": _where("tag:form:kritik tag:tonalitaet:positiv tagmode:all"), "tag_none": _where("tag:form:kritik tagmode:none tagnot:tonalitaet:negativ"),
     "phrase_query": _where('"der Chor" NOT Premiere has:image'), "presets": presets, "like_search": lambda s, d: articles(s, d).where(F.col("title").ilike("%premiere%") | F.col("full_text").ilike("%premiere%") | F.col("summary").ilike("%premiere%")).select("id", "relevance_score", "day").orderBy(F.desc("relevance_score"), F.desc_nulls_last("day"), "id"),
@@ -41,7 +52,7 @@ QUERIES = {
     "synonym_search": lambda s, d: S.search(searchable(s, d), "Rezension", 50, S.Ranking(synonyms=(("rezension", "kritik", "besprechung", "review"),))).select("id", "score"),
     "hybrid_search": lambda s, d: S.hybrid(searchable(s, d), "Premjere Publikumm", 50), "sound_alike": lambda s, d: S.sound_alike(articles(s, d), "Zweivel Puplikum"), "did_you_mean": lambda s, d: S.closest_terms(_vocabulary(s, d), "premjere publikumm kritick"),
     "suggestions": lambda s, d: S.suggestions(articles(s, d), "th"), "highlights": lambda s, d: articles(s, d).select("id", S.highlight(F.col("title"), "premiere kritik").alias("marked")), "snippets": lambda s, d: articles(s, d).where("full_text is not null").select("id", S.snippet(F.col("full_text"), RANKED).alias("snippet")),
-    "top_terms": lambda s, d: S.top_terms(articles(s, d)),
+    "top_terms": lambda s, d: S.top_terms(articles(s, d)), "bm25_indexed": bm25_indexed, "boosted_scores": boosted_scores,
 }
 
 
@@ -70,3 +81,5 @@ SQL = {
     "did_you_mean": _A + f", v AS (SELECT term, count(*) AS n FROM (SELECT id, unnest(list_distinct({_TOK('title')})) AS term FROM a) GROUP BY term), j AS (SELECT q.w AS query_term, term, n, levenshtein(term, q.w) AS distance FROM v, (SELECT unnest(['premjere', 'publikumm', 'kritick']) AS w) q WHERE levenshtein(term, q.w) <= 2) SELECT query_term, term, CAST(distance AS INTEGER) AS distance FROM j QUALIFY row_number() OVER (PARTITION BY query_term ORDER BY distance, n DESC, term) = 1",
     "top_terms": _A + f", w AS (SELECT id, unnest(list_distinct(list_filter({_TOK(chr(99) + 'oncat_ws(chr(32), title, summary)')}, lambda t: length(t) >= 4))) AS term FROM a) SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY 2 DESC, 1 LIMIT 30",
 }
+SQL["bm25_indexed"] = SQL["bm25"]
+SQL["boosted_scores"] = f"WITH b AS ({SQL['bm25']}) SELECT b.id, round(b.score * (1 + if(contains(lower(coalesce(title, '')), 'premiere'), 0.3::DOUBLE, 0)) * CASE WHEN priority >= 95 THEN 1.1::DOUBLE WHEN priority >= 80 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM b JOIN articles x ON x.id = b.id LEFT JOIN (SELECT name, max(priority) AS priority FROM feeds GROUP BY 1) f ON f.name = x.source"

@@ -102,6 +102,15 @@ def join_dimension(left: DataFrame, right: DataFrame, on, how: str = "left", row
     return left.join(F.broadcast(right) if is_small(right, rows) else right, on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, in as many partitions as there are cores if a scan gives fewer (one small file is one task); large inputs stay as they are."""
+    sc = df.sparkSession.sparkContext
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        return df
+    return df.repartition(sc.defaultParallelism) if run.toRdd().getNumPartitions() < sc.defaultParallelism else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -250,3 +250,69 @@ def test_related_articles_equal_brute_force_with_frequent_entities(spark):
     known = [i for i in of if i in days]
     want = {(i, j, len(of[i] & of[j])) for i in known if i % 50 == 0 for j in known if i != j and abs((days[i] - days[j]).days) <= 14 and len(of[i] & of[j]) >= 2}
     assert want and {tuple(r) for r in relational.related_articles(spark, folder).collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "locale", "day"),
+    [
+        ("2025-03-01", None, "2025-03-01"), ("2025-03-01T23:30:00-05:00", None, "2025-03-01"), ("Sat, 01 Mar 2025 10:00:00 GMT", None, "2025-03-01"), ("1. März 2025, 10.30 Uhr", None, "2025-03-01"), ("01.03.25", None, "2025-03-01"),
+        ("March 1, 2025", None, "2025-03-01"), ("03/01/2025", "en-US", "2025-03-01"), ("01/03/2025", "en-GB", "2025-03-01"), ("01/03/2025", None, None), ("1740823200", None, "2025-03-01"), ("1740823200123", None, "2025-03-01"), ("31.02.2025", None, None), ("vor 3 Tagen", None, None),
+        ("2150-06-01 12:00", None, "2150-06-01"), ("", None, None), (None, None, None), ("k. A.", None, None),
+    ],
+)
+def test_days_of_all_notations(spark, raw, locale, day):
+    from corpuslens.functions.timestamps import add_day
+
+    d = add_day(spark.createDataFrame([(raw, locale, 1)], "raw string, locale string, line int"), "raw", "locale")
+    assert str(d.first()["day"]) == str(day) and d.columns == ["raw", "locale", "line", "day"]
+
+
+def test_local_times_of_any_year(spark):
+    rows = [(1, "Bote", "2150-07-01 12:00", None), (2, "Bote", "1893-04-01 12:00", None), (3, "Bote", "9999-12-31 12:00", None), (4, "Bote", "0001-01-01 12:00", None), (5, "Bote", "2025-03-30 02:30", None), (6, "Bote", "2025-10-26 02:30", None), (7, None, "2025-06-01 12:00", None)]
+    a = spark.createDataFrame(rows, "id bigint, source string, published_date string, found_date string")
+    f = spark.createDataFrame([("Bote", "Europe/Berlin", "de-DE")], "name string, time_zone string, locale string")
+    got = {r["article_id"]: r["utc"] for r in normalise_dates(a, f).collect()}
+    assert got[1] == "2150-07-01T10:00:00.000Z" and got[2].startswith("1893-04-01T1") and got[3] == "9999-12-31T11:00:00.000Z" and got[4].startswith("0001-01-01T11")
+    assert got[5] is None and got[6] is None and got[7] is None
+
+
+def test_windows_1252_is_decoded(spark):
+    text = "„Nachtlicht“ – für 5 €"
+    d = spark.createDataFrame([("text/html; charset=windows-1252", bytearray(text.encode("cp1252"))), ("text/html", bytearray(text.encode())), ("text/html; charset=gibberish", bytearray(text.encode("cp1252")))], "t string, b binary")
+    assert [r[0] for r in d.select(feeds.decoded(F.col("t"), F.col("b"))).collect()] == [text] * 3
+
+
+def test_merge_sink_keeps_history_over_missing_epochs(spark, tmp_path):
+    write = windows.merge_into(f"file://{tmp_path}/state", ["k"], "ts")
+    batch = lambda *rows: spark.createDataFrame(rows, "k string, ts int, v int")
+    write(batch(("a", 1, 1), ("b", 1, 1)), 0)
+    write(batch(("a", 2, 2)), 3)
+    write(batch(("a", 2, 2)), 3)
+    assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/state/epoch=3").collect()} == {("a", 2, 2), ("b", 1, 1)}
+    assert windows.committed_epochs(spark, f"file://{tmp_path}/state") == [0, 3]
+
+
+def test_related_by_words_equals_brute_force(spark):
+    from datetime import date, timedelta
+
+    from corpuslens.operators import lookups
+
+    r = random.Random(3)
+    rows = [(i, r.choice("abcdefg") if j else "hot", date(2025, 1, 1) + timedelta(days=i % 60)) for i in range(120) for j in range(4)]
+    words = spark.createDataFrame(rows + [(500, None, None)], "id bigint, word string, day date")
+    of, day = {}, {}
+    for i, w, d in rows:
+        of.setdefault(i, set()).add(w)
+        day[i] = d
+    want = {(i, j, len(of[i] & of[j])) for i in range(0, 120, 50) for j in of if i != j and abs((day[i] - day[j]).days) <= 14 and len(of[i] & of[j]) >= 2}
+    got = {tuple(x) for x in lookups.related_by_words(words, words.where("id % 50 = 0"), 2, 14).collect()}
+    assert got == want
+
+
+def test_freshness_labels(spark):
+    from corpuslens.operators import lookups
+
+    now = "2025-06-10 12:00:00"
+    times = {"2025-06-10 11:30:00": "breaking", "2025-06-10 07:00:00": "fresh", "2025-06-09 13:00:00": "recent", "2025-06-04 12:00:01": "week-old", "2025-06-03 12:00:00": "stale", None: "unknown", "2025-06-11 00:00:00": "breaking"}
+    d = spark.createDataFrame([(t,) for t in times], "t string")
+    assert [x[0] for x in d.select(lookups.freshness(F.col("t"), F.lit(now))).collect()] == list(times.values())
