@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from .cooccurrence import tag_pairs
 from .main_content import main_content, scored_lines
 from .mixing import mixture, shares
@@ -17,17 +17,22 @@ from .truncation import truncated_fields, truncation_rates
 
 
 def _documents_of_articles(spark, folder):
-    return table(spark, folder, "articles").select("id", "source", F.col("full_text").alias("text"))
+    return spread(table(spark, folder, "articles").select("id", "source", F.col("full_text").alias("text")))
+
+
+def _texts(spark, folder):
+    """The columns of articles that problems 1 and 6 read."""
+    return spread(table(spark, folder, "articles").select("id", "source", "title", "full_text", "first_paragraph", "summary"))
 
 
 def p1_found(spark, folder):
     """Fields whose own text was broken off."""
-    return truncated_fields(table(spark, folder, "articles")).where("truncated").select(F.col("id").alias("article_id"), "field").distinct()
+    return truncated_fields(_texts(spark, folder)).where("truncated").select(F.col("id").alias("article_id"), "field").distinct()
 
 
 def p1_rates(spark, folder):
     """Truncated texts by source and field."""
-    return truncation_rates(table(spark, folder, "articles"))
+    return truncation_rates(_texts(spark, folder))
 
 
 def p2_found(spark, folder):
@@ -67,12 +72,12 @@ def p5_clean(spark, folder):
 
 def p6_found(spark, folder):
     """Numbers of the lines that are not the article's own text."""
-    return scored_lines(table(spark, folder, "articles")).where("not own").select(F.col("key").alias("article_id"), "field", "line_no").distinct()
+    return scored_lines(_texts(spark, folder)).where("not own").select(F.col("key").alias("article_id"), "field", "line_no").distinct()
 
 
 def p6_texts(spark, folder):
     """Each field's own text."""
-    return main_content(table(spark, folder, "articles")).select(F.col("id").alias("article_id"), "field", "text")
+    return main_content(_texts(spark, folder)).select(F.col("id").alias("article_id"), "field", "text")
 
 
 def p7_found(spark, folder):
@@ -85,7 +90,7 @@ def p7_records(spark, folder):
 
 
 def p8_ids(spark, folder):
-    return token_ids(table(spark, folder, "documents"))
+    return token_ids(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def p9_mix(spark, folder):
@@ -99,12 +104,12 @@ def p9_shares(spark, folder):
 
 
 def p10_found(spark, folder):
-    return residue_documents(table(spark, folder, "documents")).select("doc_id")
+    return residue_documents(spread(table(spark, folder, "documents").select("doc_id", "text"))).select("doc_id")
 
 
 def p10_kinds(spark, folder):
     """Documents by kind of residue."""
-    d = residue_documents(table(spark, folder, "documents"))
+    d = residue_documents(spread(table(spark, folder, "documents").select("doc_id", "text")))
     return d.select("doc_id", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n_docs"))
 
 
