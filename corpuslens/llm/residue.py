@@ -192,8 +192,10 @@ def _differ(x: str, y: str):
 
 def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs (a, b) within ``HAMMING`` bits and with a Jaccard similarity of at least ``SIMILARITY``."""
-    of = lambda n: prints.select(F.col("line_id").alias(n), F.struct("low", "high").alias(f"{n}_bits"), F.col("shingles").alias(f"{n}_set"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(_differ("a_bits.low", "b_bits.low") + _differ("a_bits.high", "b_bits.high") <= HAMMING)
+    bits = lambda n: prints.select(F.col("line_id").alias(n), F.struct("low", "high").alias(f"{n}_bits"))
+    sets = lambda n: prints.select(F.col("line_id").alias(n), F.col("shingles").alias(f"{n}_set"))
+    near = pairs.join(bits("a"), "a").join(bits("b"), "b").where(_differ("a_bits.low", "b_bits.low") + _differ("a_bits.high", "b_bits.high") <= HAMMING).select("a", "b")
+    both = near.join(sets("a"), "a").join(sets("b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     return both.where(common >= SIMILARITY * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b")
 
