@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import math
+import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ HAMMING, HAMMING_LOW = 40, 24
 RECALL = 0.95
 #: Beyond so many lines of one table entry those near one of them are not compared with each other.
 MANY = 100
+#: The share of its shingles that a line must have in common with labelled lines to be searched for near-duplicates, and the one from which all its neighbours have that.
+POOL, CLOSED = 0.4, 0.7
 #: A segment recurs in so many different pages; it takes a label at this score, once no score rises by more than ``SETTLED``.
 PAGES, LABELLED, SETTLED = 3, 0.35, 0.02
 #: A word is filler if so many lines hold it, and this share of them is filler.
@@ -55,22 +59,25 @@ def clean_lines(text: str | None) -> list[str]:
     return list(dict.fromkeys(y for x in s.split("\n") if (y := " ".join(x.split()))))
 
 
+_DIGIT, _NUMBER, _DELIMITER = re.compile(r"\d"), re.compile("[0-9]"), re.compile(r"[{\[$#@%<_]")
+
+
 def masked(s: str) -> str:
     """Lower case, numbers and hexadecimal ids as 0."""
-    return _rules()["MASK"].sub("0", s.lower())
+    return _rules()["MASK"].sub("0", s.lower()) if _DIGIT.search(s) else s.lower()
 
 
 def sign_of(segment: str) -> tuple[str, bool] | None:
     """(kind, whole) of a segment with a trusted sign, and whether it makes up most of it. What stands in quotation marks is spoken about and no sign."""
     c = _rules()
-    if any(x in segment for x in "{[$#@%<_"):
+    if _DELIMITER.search(segment):
         found = c["PLACEHOLDER"].findall(c["QUOTED_PLACEHOLDER"].sub(" ", segment))
         if found:
             return "placeholder", 2 * sum(map(len, found)) >= len(segment)
     if c["REPEATED"].match(segment) or c["SELF_NAMED"].match(segment):
         return "filler", True
     low = segment.lower()
-    if not any(ch.isdigit() for ch in low) and "cript" not in low and "skript" not in low and "browser" not in low:
+    if not _NUMBER.search(low) and "cript" not in low and "skript" not in low and "browser" not in low:
         return None
     bare = c["QUOTED"].sub(" Q ", segment)
     if c["ERROR"].search(bare):
@@ -80,24 +87,37 @@ def sign_of(segment: str) -> tuple[str, bool] | None:
     return None
 
 
-def passage_words(segment: str) -> int:
-    """How many different words of the classical filler passage a segment holds."""
-    return len({w.strip(".,;:!?") for w in segment.lower().split()} & _rules()["PASSAGE"])
+class _Cache(dict):
+    """``make`` of each word as it is written, made once."""
 
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line) of the distinct lines of every document; null and blank texts have none."""
-    ship(sys.modules[__name__], R)
-    kind = dict(docs.dtypes)[key]
+    def __missing__(self, word: str):
+        if len(self) > 500_000:
+            self.clear()
+        x = self[word] = self.make(word)
+        return x
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                rows = [(i, x) for i, t in zip(part["key"], part["text"], strict=True) for x in clean_lines(t)]
-                yield pd.DataFrame(rows, columns=["key", "line"])
 
-    return docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(split, f"key {kind}, line string")
+def word_hashes() -> _Cache:
+    """The 64-bit hash of each word, numbers masked."""
+    import xxhash
+
+    return _Cache(lambda w: xxhash.xxh64_intdigest(masked(w)))
+
+
+def bare_words(keep: frozenset) -> _Cache:
+    """Each word in lower case and without punctuation; what is not in ``keep`` then as the empty word."""
+    bare = lambda w: "".join(ch for ch in w.lower() if ch.isalnum())
+    return _Cache(lambda w: b if (b := bare(w)) in keep else "")
+
+
+def passage_of() -> _Cache:
+    """Each word in lower case and without marks around it, if it is one of the classical filler passage; others as the empty word."""
+    known = _rules()["PASSAGE"]
+    return _Cache(lambda w: b if (b := w.lower().strip(".,;:!?")) in known else "")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,22 +125,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(lines: list[str], known: dict) -> list[np.ndarray]:
-    """The sorted 64-bit hashes of the five-word shingles of each masked line; a shorter line is one shingle."""
-    import xxhash
+def shingles_of(lines: list[str], known: _Cache) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the five-word shingles of all lines, in order and with repeats, and how many each line has; a shorter line is one shingle."""
+    words = [line.split() for line in lines]
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    h = np.array([known[w] for of in words for w in of], dtype=np.uint64)
+    start, size = np.cumsum(n) - n, np.maximum(1, n - SHINGLE + 1)
+    at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    end, h = np.repeat(start + n, size), np.append(h, np.zeros(SHINGLE, dtype=np.uint64))
+    s = np.zeros(len(at), dtype=np.uint64)
+    for k in range(SHINGLE):
+        s = np.where(at + k < end, _mix(s + h[np.minimum(at + k, len(h) - 1)] + np.uint64(k + 1)), s)
+    return s.view(np.int64), size
 
-    out = []
-    for line in lines:
-        words = masked(line).split()
-        h = np.array([known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], dtype=np.uint64)
-        n = max(1, len(h) - SHINGLE + 1)
-        s = np.zeros(n, dtype=np.uint64)
-        for k in range(min(SHINGLE, len(h))):
-            s = _mix(s + h[k : k + n] + np.uint64(k + 1))
-        out.append(np.unique(s.view(np.int64)))
-        if len(known) > 1_000_000:
-            known.clear()
-    return out
+
+def shingle_hashes(lines: list[str], known: _Cache) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
+    values, size = shingles_of(lines, known)
+    return [np.unique(x) for x in np.split(values, np.cumsum(size)[:-1])]
 
 
 def simhashes(shingles: list[np.ndarray]) -> np.ndarray:
@@ -161,7 +183,7 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     ship(sys.modules[__name__], R)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
+        known = word_hashes()
         for batch in batches:
             if not len(batch):
                 continue
@@ -229,51 +251,198 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     return _verified(pairs, prints).unionByName(around).unionByName(stars)
 
 
-def segments_of(lines: DataFrame) -> DataFrame:
-    """(line_id, segment, words, kind, whole, passage) of the sentences and parts of each line; ``segment`` is a hash of the masked text, ``passage`` its number of words of the filler passage."""
+def _of_texts(docs: DataFrame, text: str, rows, schema: str) -> DataFrame:
+    """What ``rows(lists)``, made anew for each partition, yields of the lists of lines of up to 500 texts; null texts are left out."""
     ship(sys.modules[__name__], R)
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        sentences, parts_of = _rules()["SENTENCE"], _rules()["PART"]
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = rows()
         for batch in batches:
-            rows = []
-            for i, line in zip(batch["line_id"], batch["line"], strict=True):
-                for sentence in sentences.split(line):
-                    of = sign_of(sentence)
-                    for s in filter(None, map(str.strip, parts_of.split(sentence))):
-                        sign, m = of if of and of[1] else sign_of(s), masked(s).strip(" .!?…:;,")
-                        rows.append((i, xxhash.xxh64_intdigest(m) - 2**63, len(m.split()), sign and sign[0], bool(sign and sign[1]), passage_words(s)))
-            yield pd.DataFrame(rows, columns=["line_id", "segment", "words", "kind", "whole", "passage"])
+            for k in range(0, len(batch), 500):
+                yield of([clean_lines(t) for t in batch["text"].iloc[k : k + 500]])
+
+    return docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(scan, schema)
 
-    return lines.select("line_id", "line").mapInPandas(parts, "line_id bigint, segment bigint, words int, kind string, whole boolean, passage int")
 
+def line_hash(line: str | bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(line) - 2**63
 
-def filler_lines(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    """(line_id, whole) of lines of mixed filler words.
+
+def _sentence(sentence: str, passage: _Cache) -> list[tuple]:
+    """(segment, words, kind, whole, passage) of the parts of a sentence."""
+    out, of = [], sign_of(sentence)
+    for s in filter(None, map(str.strip, _rules()["PART"].split(sentence) if "–" in sentence or "|" in sentence else [sentence])):
+        sign, m = of if s == sentence or (of and of[1]) else sign_of(s), masked(s).strip(" .!?…:;,")
+        out.append((line_hash(m), len(m.split()), sign and sign[0], bool(sign and sign[1]), len({passage[w] for w in s.split()} - {""}) >= 3))
+    return out
+
+
+def segments_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each sentence or part of each distinct line of every document.
+
+    page numbers the documents, text_id is a hash of a document's lines and total its words, each distinct
+    segment counted once (once: where it stands first); starts: the first segment of its line. ``segment``
+    is a hash of the masked text; kind and whole are its sign. sign and sign_whole are those of the line,
+    of its words, passage: a segment of it has three words of the filler passage; such lines and
+    those with a sign have their text in ``line``, where they start.
+    """
+    ship(sys.modules[__name__], R)
+    kind = dict(docs.dtypes)[key]
+    columns = ["key", "page", "text_id", "total", "line_id", "starts", "segment", "words", "once", "kind", "whole", "of", "sign", "sign_whole", "passage", "line"]
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        sentences, passage_words, known, page = _rules()["SENTENCE"], passage_of(), {}, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                part, rows = batch.iloc[k : k + 500], []
+                for i, t in zip(part["key"], part["text"], strict=True):
+                    page, lines, seen = page + 1, [], {}
+                    for line in clean_lines(t):
+                        own = []
+                        for sentence in sentences.split(line):
+                            if (x := known.get(sentence)) is None:
+                                if len(known) > 50_000:
+                                    known.clear()
+                                x = known[sentence] = _sentence(sentence, passage_words)
+                            own += x
+                        line_id = line_hash(line)
+                        lines.append((line_id, line, own))
+                        seen.update((x[0], x[1]) for x in own)
+                    text_id = line_hash(np.sort(np.array([x[0] for x in lines], dtype=np.int64)).tobytes())
+                    total, left = sum(seen.values()), set(seen)
+                    for line_id, line, own in lines:
+                        of, sign = sum(x[1] for x in own), min((x[2] for x in own if x[2]), default=None)
+                        whole, passage = None if sign is None else 10 * sum(x[1] for x in own if x[3]) >= 9 * of, any(x[4] for x in own)
+                        for j, x in enumerate(own):
+                            rows.append((i, page, text_id, total, line_id, j == 0, x[0], x[1], x[0] in left, x[2], x[3], of, sign, whole, passage, line if j == 0 and (passage or sign) else None))
+                            left.discard(x[0])
+                yield pd.DataFrame(rows, columns=columns)
+
+    schema = f"key {kind}, page bigint, text_id bigint, total bigint, line_id bigint, starts boolean, segment bigint, words int, once boolean, kind string, whole boolean, of int, sign string, sign_whole boolean, passage boolean, line string"
+    return docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(parts, schema)
+
+
+def bitmap(values: DataFrame):
+    """A broadcast bit map of a column of 64-bit hashes, by their upper bits: sixteen bits a row, 32 MB at most. What is in the column is always found, little else unless it is huge."""
+    n, (v,) = values.count(), values.columns
+    bits = min(28, max(16, math.ceil(math.log2(max(n, 1) * 16))))
+    at = F.shiftrightunsigned(v, 64 - bits)
+    words = values.select(at.alias("p")).select(F.shiftright("p", 6).alias("at"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(2 ** (bits - 6), dtype=np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return values.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def in_bitmap(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the bit map."""
+    p = values.view(np.uint64) >> np.uint64(64 - 6 - (len(bits).bit_length() - 1))
+    return (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def filler_lines(docs: DataFrame, text: str, segments: DataFrame) -> DataFrame:
+    """(line_id, line, whole) of lines of mixed filler words.
 
     A line with three words of the classical passage in a segment is taken for filler at first. A word
     is filler if it belongs to the passage or if most lines that hold it were taken; a line is filler if
-    most of its words are, five at least of three kinds, as a whole if nine in ten are.
+    most of its words are, five at least of three kinds, as a whole if nine in ten are. Lines are counted
+    once: those that may repeat by their hash, the others, which stand in one text only, where they stand.
     """
-    first = segments.where("passage >= 3").select("line_id").distinct()
+    first = segments.where("passage and starts").select("line_id", "line").dropDuplicates(["line_id"])
     word = F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}\s]", ""), " "))).alias("word")
-    words = lines.select("line_id", word).where("word <> ''")
-    taken = join_dimension(lines, first, "line_id", "left_semi").select("line_id", word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n_taken")).where(F.col("n_taken") >= WORD_LINES)
+    taken = first.select(word).where("word <> ''").groupBy("word").agg(F.count("*").alias("n_taken")).where(F.col("n_taken") >= WORD_LINES)
     taken = cut(taken)
-    n = join_dimension(words, taken.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    learned = n.join(taken, "word").where(F.col("n_taken") >= WORD_SHARE * F.col("n")).select("word")
-    known = cut(learned.unionByName(lines.sparkSession.createDataFrame([(w,) for w in R.PASSAGE], "word string")).distinct())
-    every = lines.select("line_id", F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}\s]", ""), " ").alias("all")).select("line_id", F.size("all").alias("n"), F.explode("all").alias("word"))
-    hits = join_dimension(every, known.withColumn("filler", F.lit(1)), "word", "inner").groupBy("line_id", "n").agg(F.count("*").alias("k"), F.count_distinct("word").alias("kinds"))
-    return hits.where("k >= 5 and kinds >= 3 and 2 * k >= n").select("line_id", F.expr("10 * k >= 9 * n").alias("whole"))
+    asked, known = frozenset(r[0] for r in taken.select("word").collect()) - frozenset(R.PASSAGE), frozenset(R.PASSAGE)
+    if asked:
+        again = bitmap(segments.where("starts").groupBy("line_id").agg(F.count("*").alias("k")).where("k > 1").select("line_id"))
+
+        def counts():
+            bare = bare_words(asked)
+
+            def of(texts: list[list[str]]) -> pd.DataFrame:
+                rows, single = [], Counter()
+                lines = [x for t in texts for x in t]
+                ids = np.array([line_hash(x) for x in lines], dtype=np.int64)
+                for line, i, repeats in zip(lines, ids.tolist(), in_bitmap(ids, again.value).tolist(), strict=True):
+                    held = {bare[w] for w in line.split()} - {""}
+                    if repeats:
+                        rows += [(w, i, 1) for w in held]
+                    else:
+                        single.update(held)
+                word, line_id, n = zip(*rows, *((w, None, k) for w, k in single.items())) if rows or single else ((), (), ())
+                return pd.DataFrame({"word": word, "line_id": pd.array(line_id, dtype="Int64"), "n": n})
+
+            return of
+
+        n = _of_texts(docs, text, counts, "word string, line_id bigint, n bigint")
+        n = n.groupBy("word", "line_id").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum(F.when(F.col("line_id").isNull(), F.col("n")).otherwise(1)).alias("n"))
+        known |= {r[0] for r in n.join(taken, "word").where(F.col("n_taken") >= WORD_SHARE * F.col("n")).select("word").collect()}
+
+    def filler():
+        bare = bare_words(known)
+
+        def of(texts: list[list[str]]) -> pd.DataFrame:
+            rows = []
+            for t in texts:
+                for line in t:
+                    held = [bare[w] for w in line.split()]
+                    n = len(held)
+                    k = n - held.count("")
+                    if k >= 5 and 2 * k >= n and len(set(held) - {""}) >= 3:
+                        rows.append((line_hash(line), line, 10 * k >= 9 * n))
+            return pd.DataFrame(rows, columns=["line_id", "line", "whole"])
+
+        return of
+
+    return _of_texts(docs, text, filler, "line_id bigint, line string, whole boolean").dropDuplicates(["line_id"])
+
+
+def reached(docs: DataFrame, text: str, labelled: DataFrame) -> DataFrame:
+    """(line_id, component) of the lines in the components of near-duplicates that hold one of ``labelled`` (line_id, line); the others are never gathered.
+
+    Of two lines of ``SIMILARITY`` s, where the first has a share x of its shingles among those of some lines, the
+    second has at least s (x - (1 - s)): what shares ``POOL`` with the labelled lines is searched for near-duplicates, and
+    holds all neighbours of what shares ``CLOSED``. Lines that are reached and share less begin another pass over the texts.
+    """
+    pool, start = labelled.select("line_id", "line", F.lit(1.0).alias("share")), labelled
+    while True:
+        begun = written(fingerprints(start.select("line_id", "line")))
+        bits = bitmap(begun.select(F.explode("shingles").alias("shingle")).distinct())
+
+        def sharing(bits=bits):
+            known = word_hashes()
+
+            def of(texts: list[list[str]]) -> pd.DataFrame:
+                rows, lines = [], [x for t in texts for x in t]
+                if lines:
+                    values, size = shingles_of(lines, known)
+                    hits, starts = in_bitmap(values, bits.value), np.cumsum(size) - size
+                    for k in np.flatnonzero(np.add.reduceat(hits, starts, dtype=np.int64)).tolist():
+                        share = in_bitmap(np.unique(values[starts[k] : starts[k] + size[k]]), bits.value).mean()
+                        if share >= POOL - 1e-9:
+                            rows.append((line_hash(lines[k]), lines[k], float(share)))
+                return pd.DataFrame(rows, columns=["line_id", "line", "share"])
+
+            return of
+
+        pool = written(pool.unionByName(_of_texts(docs, text, sharing, "line_id bigint, line string, share double")).groupBy("line_id").agg(F.min("line").alias("line"), F.max("share").alias("share")))
+        components = cut(connected_components(near_duplicates(written(fingerprints(pool.select("line_id", "line"))))).select(F.col("node").alias("line_id"), "component"))
+        held = components.join(labelled.select("line_id"), "line_id").select("component").distinct()
+        components = cut(components.join(held, "component").select("line_id", "component"))
+        start = cut(pool.where(F.col("share") < CLOSED).join(components, "line_id", "left_semi").select("line_id", "line"))
+        if start.isEmpty():
+            return components
+        pool = pool.unionByName(start.withColumn("share", F.lit(1.0)))
 
 
 def spread_to_segments(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(segment, kind): ``labels`` and what they lead to over the pages they make up.
 
-    ``pages`` has key, segment, words and text_id, a hash of its text; pages of one text count once. A
+    ``pages`` has page, text_id, a hash of its text, total, its words, segment and words; pages of one text count once. A
     segment recurs if it stands in ``PAGES`` different pages. Pages of nothing but recurring segments (no
     article is made of them) link their segments, and only components that hold a label are looked at.
     There each segment's score is the mean, over all pages that hold more than itself, of the share of
@@ -281,19 +450,18 @@ def spread_to_segments(pages: DataFrame, labels: DataFrame) -> DataFrame:
     what does not recur 0. Scores only rise; when none rises by ``SETTLED`` any more, those of
     ``LABELLED`` and above take the label.
     """
-    sums = pages.groupBy("key").agg(F.sum("words").alias("total"), F.max("text_id").alias("text_id"))
-    once = sums.groupBy("text_id").agg(F.min("key").alias("key")).join(sums.select("key", "total"), "key").select("key", "total")
-    own = written(pages.join(once, "key").select("key", "segment", "words", "total"))
+    again = pages.select("page", "text_id").distinct().groupBy("text_id").agg(F.min("page").alias("only"), F.count("*").alias("k")).where("k > 1").select("text_id", "only")
+    own = join_dimension(pages, cut(again), "text_id").where("only is null or page = only").select(F.col("page").alias("key"), "segment", "words", "total")
     recurring = cut(own.groupBy("segment").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES).select("segment"))
     labels = cut(labels)
-    inside = own.join(recurring.unionByName(labels.select("segment")).distinct(), "segment")
+    inside = join_dimension(own, cut(recurring.unionByName(labels.select("segment")).distinct()), "segment", "inner")
     least = inside.groupBy("key").agg(F.min("segment").alias("least"), F.sum("words").alias("sum"), F.max("total").alias("total")).where("sum = total").select("key", "least")
     links = inside.join(least, "key").where("segment <> least").select(F.col("segment").alias("a"), F.col("least").alias("b")).distinct()
     components = cut(connected_components(links).select(F.col("node").alias("segment"), "component"))
     held = components.join(labels, "segment").groupBy("component").agg(F.min("kind").alias("kind"))
     candidates = cut(components.join(held, "component").select("segment", "kind").join(labels.select("segment"), "segment", "left_anti"))
     scores = cut(labels.select("segment", F.lit(1.0).alias("score"), F.lit(True).alias("fixed")).unionByName(candidates.select("segment", F.lit(0.0).alias("score"), F.lit(False).alias("fixed"))))
-    near = written(own.join(scores.select("segment", "fixed"), "segment"))
+    near = written(join_dimension(own, scores.select("segment", "fixed"), "segment", "inner"))
     while True:
         now = near.join(scores.select("segment", "score"), "segment")
         mass = now.groupBy("key").agg(F.sum(F.col("words") * F.col("score")).alias("mass"))
@@ -312,29 +480,23 @@ def labelled_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
     their component of near-duplicates, then from segment to segment over the pages they make up.
     Placeholders stand among content and label nothing else.
     """
-    lines = written(lines_of(docs, key, text).select("key", F.xxhash64("line").alias("line_id"), "line"))
-    prints = written(fingerprints(lines.groupBy("line_id").agg(F.min("line").alias("line"))))
-    distinct = prints.select("line_id", "line")
-    segments = written(segments_of(distinct))
-    filler = cut(filler_lines(distinct, segments))
-    signs = segments.where("kind is not null").groupBy("line_id").agg(F.min("kind").alias("kind"), F.sum(F.when(F.col("whole"), F.col("words")).otherwise(0)).alias("hit"))
-    size = segments.groupBy("line_id").agg(F.sum("words").alias("words"))
-    signed = signs.join(size, "line_id").select("line_id", "kind", (F.col("hit") * 10 >= F.col("words") * 9).alias("whole"))
-    signed = cut(signed.unionByName(filler.select("line_id", F.lit("filler").alias("kind"), "whole")).groupBy("line_id").agg(F.min("kind").alias("kind"), F.max("whole").alias("whole")))
-    components = cut(connected_components(near_duplicates(prints)).select(F.col("node").alias("line_id"), "component"))
+    segments = written(segments_of(docs, key, text))
+    lines = segments.where("starts").select("key", "line_id")
+    filler = written(filler_lines(docs, text, segments))
+    signs = segments.where("sign is not null and starts").select("line_id", F.col("sign").alias("kind"), F.col("sign_whole").alias("whole"), "line")
+    signed = written(signs.unionByName(filler.select("line_id", F.lit("filler").alias("kind"), "whole", "line")).groupBy("line_id").agg(F.min("kind").alias("kind"), F.max("whole").alias("whole"), F.min("line").alias("line")))
+    components = reached(docs, text, signed.where("whole").select("line_id", "line"))
     label = signed.where("whole").join(components, "line_id").groupBy("component").agg(F.min("kind").alias("kind"))
     near = components.join(label, "component").select("line_id", "kind").join(signed.select("line_id"), "line_id", "left_anti")
     whole = cut(signed.where("whole").select("line_id", "kind").unionByName(near))
-    parts = segments.join(size.withColumnRenamed("words", "of"), "line_id").where("2 * words >= of").select("line_id", "segment").join(whole.where("kind <> 'placeholder'"), "line_id").groupBy("segment").agg(F.min("kind").alias("kind"))
+    parts = join_dimension(segments.where("2 * words >= of").select("line_id", "segment"), whole.where("kind <> 'placeholder'"), "line_id", "inner").groupBy("segment").agg(F.min("kind").alias("kind"))
     direct = segments.where("whole and kind <> 'placeholder'").groupBy("segment").agg(F.min("kind").alias("kind"))
     seeds = parts.unionByName(direct).groupBy("segment").agg(F.min("kind").alias("kind"))
-    texts = lines.groupBy("key").agg(F.sum(F.xxhash64("line_id").cast("decimal(38,0)")).alias("text_id"))
-    pages = lines.select("key", "line_id").join(segments.select("line_id", "segment", "words"), "line_id").groupBy("key", "segment").agg(F.max("words").alias("words")).join(texts, "key")
-    spread = spread_to_segments(pages, seeds)
-    over = segments.select("line_id", "segment").join(spread, "segment").groupBy("line_id").agg(F.min("kind").alias("kind"))
+    spread = cut(spread_to_segments(segments.where("once").select("page", "text_id", "total", "segment", "words"), seeds))
+    over = join_dimension(segments.select("line_id", "segment"), spread, "segment", "inner").groupBy("line_id").agg(F.min("kind").alias("kind"))
     all_ = signed.select("line_id", "kind", F.lit("1 sign").alias("by")).unionByName(near.withColumn("by", F.lit("2 near"))).unionByName(over.withColumn("by", F.lit("3 page")))
-    named = all_.groupBy("line_id").agg(F.min_by("kind", "by").alias("kind"), F.substring(F.min("by"), 3, 9).alias("by"))
-    return lines.select("key", "line_id"), named
+    named = cut(all_.groupBy("line_id").agg(F.min_by("kind", "by").alias("kind"), F.substring(F.min("by"), 3, 9).alias("by")))
+    return lines, named
 
 
 def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -344,7 +506,7 @@ def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     lines, named = labelled_lines(docs, key, text)
     order = F.array_position(F.array(F.lit("sign"), F.lit("near"), F.lit("page")), F.col("by"))
-    return lines.join(named, "line_id").groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.min_by("by", order).alias("by")).select(F.col("key").alias(key), "kinds", "by")
+    return join_dimension(lines, named, "line_id", "inner").groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.min_by("by", order).alias("by")).select(F.col("key").alias(key), "kinds", "by")
 
 
 def without_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

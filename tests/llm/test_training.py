@@ -371,3 +371,31 @@ def test_very_long_texts(spark):
     assert main_content.main_content(a).count() == 1 and truncation.truncated_fields(a).count() == 1
     d = spark.createDataFrame([(1, long)], "doc_id bigint, text string")
     assert residue.residue_documents(d).count() == 0 and len(tokenizing.token_ids(d).first()["ids"]) == len(tokenizing.encode(long, tokenizing.VOCABULARY))
+
+
+# --- residue: what is written, and chains of near-duplicates
+
+
+def test_only_lines_near_labels_are_gathered_however_long_the_chain(spark, monkeypatch):
+    r = random.Random(11)
+    words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    chain = [["404", "Not", "Found"] + [r.choice(words) for _ in range(60)]]
+    for k in range(12):
+        chain.append(chain[-1][:-2] + [r.choice(words), r.choice(words)] if k % 2 else [*chain[-1][4:], *(r.choice(words) for _ in range(3))])
+    chain = [" ".join(x) for x in chain]
+    content = [" ".join(r.choice(words) for _ in range(60)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(chain + content)), "doc_id bigint, text string")
+    gathered, near = [], residue.near_duplicates
+    monkeypatch.setattr(residue, "near_duplicates", lambda prints: gathered.append(prints.count()) or near(prints))
+    got = {x["doc_id"]: x["by"] for x in residue.residue_documents(docs).collect()}
+    assert got == {0: "sign"} | dict.fromkeys(range(1, len(chain)), "near")
+    assert len(gathered) > 1 and max(gathered) <= len(chain)
+
+
+def test_repeated_lines_count_once_for_words_of_filler(spark):
+    filler = [f"lorem ipsum dolor sit nullam wort{chr(97 + k)}" for k in range(10)]
+    once = [(i, x) for i, x in enumerate(filler)] + [(10, "Nullam nullam nullam nullam lorem ipsum.")]
+    again = [(20 + i, "Ein Satz mit nullam steht hier.") for i in range(8)]
+    of = lambda docs: {x["doc_id"] for x in residue.residue_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert of(once + again) == {*range(11)}
+    assert of(once + [(i, f"{x} {chr(97 + i % 26)}") for i, x in again]) == set()
