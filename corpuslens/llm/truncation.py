@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, written
+from ..session import cut, join_dimension, written
 from .main_content import own_lines
 
 #: Words seen less often elsewhere are too rare to judge by; shorter ones decide then.
@@ -82,6 +82,14 @@ FROM judged
 """
 
 
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(line, final) of the distinct lines, final if one of them is. Only lines whose hash stands more than once are gathered; the others are read where they stand."""
+    hashed = lines.select("line", "final", F.xxhash64("line").alias("h"))
+    again = cut(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    repeated = written(join_dimension(hashed, again, "h", "left_semi").groupBy("line").agg(F.max("final").alias("final")))
+    return join_dimension(hashed, again, "h", "left_anti").select("line", "final").unionByName(repeated)
+
+
 def judged_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "summary"), key: str = "id") -> DataFrame:
     """(key, source, field, reason) of every field that has a text of its own; reasons begin with ``cut`` or ``whole``.
 
@@ -100,8 +108,7 @@ def judged_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "
     """
     spark = articles.sparkSession
     lines = written(own_lines(articles, fields, key).select("key", "source", F.when(F.col("final"), F.col("title")).alias("title"), "field", "line", "final"))
-    distinct = written(lines.groupBy("line").agg(F.max("final").alias("final")))
-    words = spark.sql(_WORDS, lines=distinct)
+    words = spark.sql(_WORDS, lines=distinct_lines(lines))
     counts, vocabulary = cut(spark.sql(_GRAMS, words=words)), written(spark.sql(_VOCABULARY, words=words))
     ends = written(spark.sql(_ENDS, lines=lines))
     return spark.sql(_JUDGED, ends=ends, counts=counts, own=spark.sql(_OWN, ends=ends), vocabulary=vocabulary, longer=spark.sql(_LONGER, vocabulary=vocabulary)).withColumnRenamed("key", key)

@@ -399,3 +399,13 @@ def test_repeated_lines_count_once_for_words_of_filler(spark):
     of = lambda docs: {x["doc_id"] for x in residue.residue_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert of(once + again) == {*range(11)}
     assert of(once + [(i, f"{x} {chr(97 + i % 26)}") for i, x in again]) == set()
+
+
+def test_only_repeated_lines_are_gathered_to_count_each_line_once(spark, monkeypatch):
+    once = [(f"Zeile {i} steht hier allein.", i % 2 == 0) for i in range(200)]
+    again = [(f"Zeile {i % 5} steht oft", i == 7) for i in range(40)]
+    gathered, write = [], truncation.written
+    monkeypatch.setattr(truncation, "written", lambda df: gathered.append(df.count()) or write(df))
+    got = truncation.distinct_lines(spark.createDataFrame(once + again, "line string, final boolean"))
+    assert sorted(map(tuple, got.collect())) == sorted(once + [(f"Zeile {k} steht oft", k == 2) for k in range(5)])
+    assert gathered == [5]
