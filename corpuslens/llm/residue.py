@@ -374,7 +374,8 @@ def filler_lines(docs: DataFrame, text: str, segments: DataFrame) -> DataFrame:
                     else:
                         single.update(held)
                 word, line_id, n = zip(*rows, *((w, None, k) for w, k in single.items())) if rows or single else ((), (), ())
-                return pd.DataFrame({"word": word, "line_id": pd.array(line_id, dtype="Int64"), "n": n})
+                # typed: Spark cannot convert the float column that no rows would give
+                return pd.DataFrame({"word": pd.Series(word, dtype=object), "line_id": pd.array(line_id, dtype="Int64"), "n": pd.Series(n, dtype="int64")})
 
             return of
 

@@ -409,3 +409,10 @@ def test_only_repeated_lines_are_gathered_to_count_each_line_once(spark, monkeyp
     got = truncation.distinct_lines(spark.createDataFrame(once + again, "line string, final boolean"))
     assert sorted(map(tuple, got.collect())) == sorted(once + [(f"Zeile {k} steht oft", k == 2) for k in range(5)])
     assert gathered == [5]
+
+
+def test_texts_that_hold_no_word_of_filler_in_a_whole_partition(spark):
+    filler = [(i, f"lorem ipsum dolor sit nullam wort{chr(97 + i)}") for i in range(10)]
+    content = [(100 + i, f"Das Haus zeigt den Stoff {chr(97 + i % 26)}{chr(97 + i // 26)} ohne Pause.") for i in range(40)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(filler + content, 5), "doc_id bigint, text string")
+    assert {x["doc_id"] for x in residue.residue_documents(docs).collect()} == set(range(10))
