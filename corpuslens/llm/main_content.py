@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +21,27 @@ CUT = 5
 SIBLING = 1.0
 _HEAD = r"(?:[^\n]*[›»>→]|[^\n:–—]*[:–—]) "
 #: The end of a sentence within a line: three letters, a stop, and a new beginning.
-_INNER = r"""(?<=\p{L}{3})[.!?…]["”“»)’']* ["„“«(–—]*[\p{Lu}(–—]"""
+_INNER = r"""[.!?…](?<=\p{L}{3}[.!?…])["”“»)’']* ["„“«(–—]*[\p{Lu}(–—]"""
 
 
 def _masked(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[0-9]+", "0")
 
 
+def _head(masked: Column) -> Column:
+    """What ``_HEAD`` finds, searched only where one of its marks stands before a blank."""
+    return F.when(reduce(or_, [masked.contains(f"{x} ") for x in "›»>→:–—"]), F.regexp_extract(masked, rf"^({_HEAD})", 1)).otherwise("")
+
+
+def _last(line: Column, marks: str) -> Column:
+    """Whether the last character is one of ``marks``."""
+    return reduce(or_, [line.endswith(x) for x in marks])
+
+
 def _ends(line: Column, marks: str) -> Column:
     """Whether a line ends with one of ``marks``, perhaps within quotation marks or brackets."""
-    return F.substring(F.rtrim(line, F.lit("\"”“»)’'")), -1, 1).isin(*marks)
+    closing = "\"”“»)’'"
+    return F.when(_last(line, closing), _last(F.rtrim(line, F.lit(closing)), marks)).otherwise(_last(line, marks))
 
 
 def _spaces(line: Column) -> Column:
@@ -42,11 +56,11 @@ def points(line: Column) -> Column:
 
 def _open(line: Column) -> Column:
     """Short and without a stop at its end, or of three words at most: what may be a link, a label or a counter."""
-    return (F.length(line) < LIGHT) & (~F.substring(line, -1, 1).isin(*".!?…") | (_spaces(line) < 3))
+    return (F.length(line) < LIGHT) & (~_last(line, ".!?…") | (_spaces(line) < 3))
 
 
 def _light(line: Column) -> Column:
-    return (F.length(line) < LIGHT) & ~F.substring(line, -1, 1).isin(*".!?…") & ~line.contains(",")
+    return (F.length(line) < LIGHT) & ~_last(line, ".!?…") & ~line.contains(",")
 
 
 def page_templates(docs: DataFrame) -> DataFrame:
@@ -65,7 +79,7 @@ def page_templates(docs: DataFrame) -> DataFrame:
     three = F.arrays_zip("l", F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))).alias("m"), F.slice("l", 3, F.greatest(F.size("l"), F.lit(1))).alias("n"))
     each = lines.select("row", F.explode(three).alias("x")).select("row", "x.l", "x.m", "x.n").where(_open(F.col("l")))
     each = each.select("row", _masked(F.col("l")).alias("line"), _light(F.col("l")).alias("light"), F.coalesce(_light(F.col("l")) & _light(F.col("m")) & _light(F.col("n")), F.lit(False)).alias("listed"))
-    each = each.withColumn("head", F.regexp_extract("line", rf"^({_HEAD})", 1))
+    each = each.withColumn("head", _head(F.col("line")))
     kinds = F.array(
         F.struct(F.when(F.col("light"), "line").alias("kind"), F.col("line").alias("key")), F.struct(F.when(F.col("listed"), "list").alias("kind"), F.col("line").alias("key")), F.struct(F.when(F.col("line").contains("0"), "digits").alias("kind"), F.col("line").alias("key")),
         F.struct(F.when(F.col("head") != "", F.when(F.col("light"), "head").when(F.col("line").contains(","), "comma")).alias("kind"), F.col("head").alias("key")),
@@ -106,8 +120,8 @@ def scored_lines(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "f
     names_it = F.when((F.length("source") >= 4) & (at > 0), ~around.rlike(r"[\p{L}\p{N}]") & (F.size(F.split(line, _INNER)) <= 2))
     masked = F.when(_open(line), _masked(line))
     each = each.select(
-        "row", "key", "source", "field", "text_hash", "pos", points(line).alias("points"), F.xxhash64("line").alias("line_key"), F.xxhash64(masked).alias("masked_key"), F.when(_light(line), F.xxhash64(F.regexp_extract(masked, rf"^({_HEAD})", 1))).alias("head_key"),
-        F.coalesce(masked.contains("0"), F.lit(False)).alias("has_digit"), F.substring(line, -1, 1).isin("?", "!").alias("asks"), F.coalesce(names_it, F.lit(False)).alias("names_it"),
+        "row", "key", "source", "field", "text_hash", "pos", points(line).alias("points"), F.xxhash64("line").alias("line_key"), F.xxhash64(masked).alias("masked_key"), F.when(_light(line), F.xxhash64(_head(masked))).alias("head_key"),
+        F.coalesce(masked.contains("0"), F.lit(False)).alias("has_digit"), _last(line, "?!").alias("asks"), F.coalesce(names_it, F.lit(False)).alias("names_it"),
     )
     each = join_dimension(each, known.withColumn("standing", F.lit(True)), ["source", "line_key"])
     each = join_dimension(each, known.groupBy("line_key").agg(F.count("*").alias("n")).where("n > 1").select("line_key", F.lit(True).alias("common")), "line_key")

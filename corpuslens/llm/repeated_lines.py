@@ -16,9 +16,11 @@ def clean_line(line: Column) -> Column:
 
 
 def line_array(text: Column) -> Column:
-    """The cleaned lines of a text, blank ones too; equal to ``clean_line`` of each, but in one pass over the text."""
-    runs = F.regexp_replace(text, r"[\s\p{Z}\x{feff}&&[^\n]]+", " ")
-    return F.split(F.trim(runs), " ?\n ?")
+    """The cleaned lines of a text, blank ones too; equal to ``clean_line`` of each, but in one pass over the text, in which only what has such runs is replaced."""
+    runs = text.contains("  ") | text.rlike(r"[\s\p{Z}\x{feff}&&[^\n ]]")
+    cleaned = F.trim(F.when(runs, F.regexp_replace(text, r"[\s\p{Z}\x{feff}&&[^\n]]+", " ")).otherwise(text))
+    of = lambda s: F.when(s.contains(" \n") | s.contains("\n "), F.split(s, " ?\n ?")).otherwise(F.split(s, "\n"))
+    return F.element_at(F.transform(F.array(cleaned), of), 1)
 
 
 @dataclass
@@ -35,31 +37,36 @@ class LineCounts:
 
 def _keys(docs: DataFrame) -> DataFrame:
     line = F.explode(F.array_distinct(F.filter(line_array(F.col("text")), lambda x: x != "")))
-    return docs.where("source is not null and text is not null").select("source", line.alias("line")).select("source", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    return docs.where("source is not null and text is not null").select("source", F.xxhash64("text").alias("at"), line.alias("line")).select("source", "at", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
-def delta(docs: DataFrame) -> LineCounts:
-    """Counts of one partition of new documents (id, source, text)."""
-    return LineCounts(_keys(docs).groupBy("source", "h1", "h2").agg(F.count("*").alias("n_docs")), docs.where("source is not null").groupBy("source").agg(F.count("*").alias("n_docs")))
+def _added(lines: DataFrame) -> list[Column]:
+    return [F.sum("n_docs").alias("n_docs"), *[F.min("at").alias("at") for c in lines.columns if c == "at"]]
+
+
+def delta(docs: DataFrame, located: bool = False) -> LineCounts:
+    """Counts of one partition of new documents (id, source, text); ``located``: each line also has in ``at`` the hash of a text that holds it."""
+    found = [F.count("*").alias("n_docs"), *[F.min("at").alias("at")] * located]
+    return LineCounts(_keys(docs).groupBy("source", "h1", "h2").agg(*found), docs.where("source is not null").groupBy("source").agg(F.count("*").alias("n_docs")))
 
 
 def merge(state: LineCounts | None, new: LineCounts) -> LineCounts:
     """The state with a delta added; equal keys add up."""
     if state is None:
         return LineCounts(cut(new.lines), cut(new.sources))
-    add = lambda a, b, keys: cut(a.unionByName(b).groupBy(*keys).agg(F.sum("n_docs").alias("n_docs")))
+    add = lambda a, b, keys: cut(a.unionByName(b).groupBy(*keys).agg(*_added(a)))
     return LineCounts(add(state.lines, new.lines, ["source", "h1", "h2"]), add(state.sources, new.sources, ["source"]))
 
 
 def over_threshold(state: LineCounts, min_docs: int = 5, min_percent: int = 5) -> DataFrame:
-    """(source, h1, h2) of lines in at least ``min_docs`` documents and ``min_percent`` % of the source's documents.
+    """(source, h1, h2, and at, if the state has it) of lines in at least ``min_docs`` documents and ``min_percent`` % of the source's documents.
 
     Of a source with n documents at most ``lines per document * 100 / min_percent`` lines can qualify.
     """
     n = state.sources.select("source", F.col("n_docs").alias("n_source"))
     n = F.broadcast(n) if is_small(n, BROADCAST_ROWS) else n
     often = state.lines.where(F.col("n_docs") >= min_docs).join(n, "source")
-    return often.where(F.col("n_docs") * 100 >= F.col("n_source") * min_percent).select("source", "h1", "h2")
+    return often.where(F.col("n_docs") * 100 >= F.col("n_source") * min_percent).select("source", "h1", "h2", *[c for c in state.lines.columns if c == "at"])
 
 
 def crossings(before: DataFrame | None, after: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +87,10 @@ def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(source, line) of the keys, read back from the documents that hold them."""
+    """(source, line) of the keys, read back from the documents that hold them; if the keys have ``at``, from those texts only."""
+    if "at" in keys.columns:
+        at = keys.select("at").distinct()
+        docs = docs.select("id", "source", "text").withColumn("at", F.xxhash64("text")).join(F.broadcast(at) if is_small(keys, BROADCAST_ROWS) else at, "at", "left_semi")
     return _marked(docs, keys).select("source", "line").distinct()
 
 
@@ -91,11 +101,11 @@ def _apply(over: DataFrame | None, after: DataFrame) -> DataFrame:
 
 
 def by_deltas(docs: DataFrame, partitions: int = 2, min_docs: int = 5, min_percent: int = 5) -> tuple[LineCounts, DataFrame]:
-    """The whole corpus merged as ``partitions`` deltas; the state, and the keys over the threshold as the crossings of each delta left them."""
+    """The whole corpus merged as ``partitions`` deltas; the state, and the keys over the threshold as the crossings of each delta left them, with ``at``."""
     state, over = None, None
     for k in range(partitions):
         part = docs.where(F.pmod(F.hash("id"), F.lit(partitions)) == k) if partitions > 1 else docs
-        state = merge(state, delta(part))
+        state = merge(state, delta(part, located=True))
         over = _apply(over, over_threshold(state, min_docs, min_percent))
     return state, over
 

@@ -15,23 +15,27 @@ BARE_SHARE = 0.25
 #: What ends a text with a full stop is cut (an abbreviation, an ordinal) if it stands inside lines at least so often and at ends in at most this share.
 STOP_LEAST, STOP_SHARE = 20, 0.02
 
-#: The words of distinct lines: a, b and c stand in a row, w is c without punctuation. bare_in and stop_in: 1 inside, -1 at an end, 0 neither;
-#: an end is for w the text's last word, bare, and for c with a stop that of a line.
+#: The words c of distinct lines; a and b stand before them. The words of a line come out of a generator, so that they are not pushed below a union and copied there.
+_CELLS = r"""
+WITH split AS (SELECT final, explode(array(split(if(final AND (endswith(line, '…') OR endswith(line, '...') OR endswith(line, '…]') OR endswith(line, '...]') OR endswith(line, '\u0085')), regexp_replace(line, '\\s*(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$', ''), line), ' '))) AS t FROM {lines}),
+cells AS (SELECT final, t, posexplode(t) AS (i, c) FROM split)
+SELECT coalesce(get(t, i - 2), '^') AS a, coalesce(get(t, i - 1), '^') AS b, c, i + 1 = size(t) AS ends, final FROM cells
+"""
+#: w is c without punctuation. bare_in and stop_in: 1 inside, -1 at an end, 0 neither; an end is for w the text's last word, bare, and for c with a stop that of a line.
 _WORDS = r"""
-WITH split AS (SELECT final, split(if(final, regexp_replace(line, '\\s*(…|[.]{{3}}|\\[…\\]|\\[[.]{{3}}\\])$', ''), line), ' ') AS t FROM {lines}),
-cells AS (SELECT final, inline(arrays_zip(concat(array('^', '^'), t), concat(array('^'), t), t, concat(slice(t, 2, size(t)), array('$')))) AS (a, b, c, d) FROM split),
-last AS (SELECT a, b, c, d = '$' AS ends, final, substring(c, -1, 1) BETWEEN 'a' AND 'z' AS plain FROM cells WHERE c IS NOT NULL),
-words AS (SELECT a, b, c, ends, final, if(plain, c, rtrim('.,;:!?…"”“»«', c)) AS bare, if(plain, false, substring(rtrim('"”“»)', c), -1, 1) IN ('.', '!', '?')) AS stop FROM last)
-SELECT a, b, c, if(bare = '', c, bare) AS w, CASE WHEN ends AND final AND (bare = c OR bare = '') THEN -1 WHEN ends AND NOT stop THEN 0 ELSE 1 END AS bare_in, CASE WHEN NOT stop THEN 0 WHEN ends THEN -1 ELSE 1 END AS stop_in FROM words
+WITH last AS (SELECT *, substring(c, -1, 1) BETWEEN 'a' AND 'z' AS plain FROM {cells}),
+words AS (SELECT *, if(plain, c, rtrim('.,;:!?…"”“»«', c)) AS bare, if(plain, false, substring(rtrim('"”“»)', c), -1, 1) IN ('.', '!', '?')) AS stop FROM last)
+SELECT *, if(bare = '', c, bare) AS w, CASE WHEN ends AND final AND (bare = c OR bare = '') THEN -1 WHEN ends AND NOT stop THEN 0 ELSE 1 END AS bare_in, CASE WHEN NOT stop THEN 0 WHEN ends THEN -1 ELSE 1 END AS stop_in FROM words
 """
 #: Grams with their occurrences inside and at ends: a hash of their kind and words. B3 and B2 end with a bare word, E3 and E1 with a stop.
 _GRAMS = r"""
-WITH seen AS (SELECT stack(4, xxhash64('B3', a, b, w), bare_in, xxhash64('B2', b, w), bare_in, if(stop_in <> 0, xxhash64('E3', a, b, c), 0), stop_in, if(stop_in <> 0, xxhash64('E1', c), 0), stop_in) AS (gram, inside) FROM {words})
+WITH each AS (SELECT bare_in, stop_in, posexplode(if(stop_in = 0, array(xxhash64('B3', a, b, w), xxhash64('B2', b, w)), array(xxhash64('B3', a, b, w), xxhash64('B2', b, w), xxhash64('E3', a, b, c), xxhash64('E1', c)))) AS (k, gram) FROM {words}),
+seen AS (SELECT gram, if(k < 2, bare_in, stop_in) AS inside FROM each)
 SELECT gram, sum(if(inside = 1, 1, 0)) AS n_inside, sum(if(inside = -1, 1, 0)) AS n_end FROM seen WHERE inside <> 0 GROUP BY gram
 """
 #: The last words of each text without marks of omission and broken mark-up.
 _ENDS = r"""
-WITH last AS (SELECT key, source, field, line, xxhash64(line) AS line_id, trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS title FROM {lines} WHERE final),
+WITH last AS (SELECT key, source, field, line, h AS line_id, trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ')) AS title FROM {lines} WHERE final),
 marked AS (SELECT key, source, field, line_id, line, coalesce(line = title, false) AS is_title, endswith(line, '�') OR (contains(line, '&') AND line RLIKE '&[A-Za-z]{{1,8}}$') OR (contains(line, '<') AND line RLIKE '<[A-Za-z/!][^<>]*$') AS broken,
   substring(line, -1, 1) = '…' OR substring(line, -3, 3) IN ('...', '[…]') OR substring(line, -5, 5) = '[...]' AS omitted FROM last),
 plain AS (SELECT *, split(substring_index(if(broken OR omitted, regexp_replace(line, '\\s*(�+|&[A-Za-z]{{1,8}}|<[A-Za-z/!][^<>]*|\\[…\\]|\\[[.]{{3}}\\]|…|[.]{{3}})$', ''), line), ' ', -4), ' ') AS t FROM marked),
@@ -50,9 +54,13 @@ pairs AS (SELECT DISTINCT x.line_id, y.line_id AS other FROM some x JOIN some y
 same AS (SELECT p.line_id, x.k, count(*) AS n_own FROM pairs p JOIN last x ON x.line_id = p.line_id JOIN last y ON y.line_id = p.other AND y.k = x.k AND y.gram = x.gram WHERE x.k <> 2 GROUP BY p.line_id, x.k)
 SELECT last.*, coalesce(n_own, 0) AS n_own FROM last LEFT JOIN same ON same.line_id = last.line_id AND same.k = last.k
 """
+#: Words as they are written, each once with its occurrences: what it is bare is found out once, not wherever it stands.
+_SPELLINGS = """
+SELECT c, ends, final, count(*) AS n FROM {cells} GROUP BY c, ends, final
+"""
 #: Words with their occurrences inside and at ends.
 _VOCABULARY = """
-SELECT ltrim('"„“”«»(', w) AS word, count_if(bare_in = 1) AS b1_in, count_if(bare_in = -1) AS b1_end FROM {words} GROUP BY 1
+SELECT ltrim('"„“”«»(', w) AS word, sum(if(bare_in = 1, n, 0)) AS b1_in, sum(if(bare_in = -1, n, 0)) AS b1_end FROM {words} GROUP BY 1
 """
 #: How often longer words begin so.
 _LONGER = """
@@ -83,8 +91,8 @@ FROM judged
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(line, final) of the distinct lines, final if one of them is. Only lines whose hash stands more than once are gathered; the others are read where they stand."""
-    hashed = lines.select("line", "final", F.xxhash64("line").alias("h"))
+    """(line, final) of the distinct lines, final if one of them is. Only lines whose hash (``h``, if it is given) stands more than once are gathered; the others are read where they stand."""
+    hashed = lines.select("line", "final", F.col("h") if "h" in lines.columns else F.xxhash64("line").alias("h"))
     again = cut(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     repeated = written(join_dimension(hashed, again, "h", "left_semi").groupBy("line").agg(F.max("final").alias("final")))
     return join_dimension(hashed, again, "h", "left_anti").select("line", "final").unionByName(repeated)
@@ -107,9 +115,10 @@ def judged_fields(articles: DataFrame, fields: tuple[str, ...] = ("full_text", "
     and those of other fields of its articles. They are aggregated map-side on hashes of words.
     """
     spark = articles.sparkSession
-    lines = written(own_lines(articles, fields, key).select("key", "source", F.when(F.col("final"), F.col("title")).alias("title"), "field", "line", "final"))
-    words = spark.sql(_WORDS, lines=distinct_lines(lines))
-    counts, vocabulary = cut(spark.sql(_GRAMS, words=words)), written(spark.sql(_VOCABULARY, words=words))
+    lines = written(own_lines(articles, fields, key).select("key", "source", F.when(F.col("final"), F.col("title")).alias("title"), "field", "line", F.xxhash64("line").alias("h"), "final"))
+    cells = spark.sql(_CELLS, lines=distinct_lines(lines))
+    counts = cut(spark.sql(_GRAMS, words=spark.sql(_WORDS, cells=cells)))
+    vocabulary = written(spark.sql(_VOCABULARY, words=spark.sql(_WORDS, cells=spark.sql(_SPELLINGS, cells=cells))))
     ends = written(spark.sql(_ENDS, lines=lines))
     return spark.sql(_JUDGED, ends=ends, counts=counts, own=spark.sql(_OWN, ends=ends), vocabulary=vocabulary, longer=spark.sql(_LONGER, vocabulary=vocabulary)).withColumnRenamed("key", key)
 

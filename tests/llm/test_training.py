@@ -416,3 +416,36 @@ def test_texts_that_hold_no_word_of_filler_in_a_whole_partition(spark):
     content = [(100 + i, f"Das Haus zeigt den Stoff {chr(97 + i % 26)}{chr(97 + i // 26)} ohne Pause.") for i in range(40)]
     docs = spark.createDataFrame(spark.sparkContext.parallelize(filler + content, 5), "doc_id bigint, text string")
     assert {x["doc_id"] for x in residue.residue_documents(docs).collect()} == set(range(10))
+
+
+# --- truncation and standing lines: what is read and counted
+
+
+def test_a_dollar_sign_is_no_end_of_a_line(spark):
+    whole = [{"id": i, "source": "A", "title": f"Titel {i}", "full_text": f"Wort{i} beginnt den Abend. Das Haus kostet fünf $ im Jahr."} for i in range(40)]
+    cut = {"id": 100, "source": "A", "title": "T", "full_text": "Das Licht geht an. Das Haus kostet fünf"}
+    assert {(r["id"], r["field"]) for r in truncation.truncated_fields(articles(spark, *whole, cut)).where("truncated").collect()} == {(100, "full_text")}
+
+
+def test_standing_lines_are_read_from_texts_that_hold_them_only(spark, monkeypatch):
+    docs = [(None if i == 3 else i, "A", f"oft\nnur {i}" if i < 20 else f"allein {i}") for i in range(60)] + [(100 + i, "B", "auch  hier\noft") for i in range(9)]
+    read, marked = [], repeated_lines._marked
+    monkeypatch.setattr(repeated_lines, "_marked", lambda d, keys: read.append(d.count()) or marked(d, keys))
+    df = spark.createDataFrame(docs, "id bigint, source string, text string")
+    for k in (1, 2):
+        assert rows(repeated_lines.repeated_lines(df, k)) == brute_lines(docs) == {("A", "oft"), ("B", "oft"), ("B", "auch hier")}
+    assert max(read) <= 10
+
+
+def test_lines_of_a_text_equal_each_line_cleaned(spark):
+    texts = ["eins\nzwei", " a \nb", "a\n b", "a  b\nc", "a\tb", "a\u00a0b\n\u3000c\u2003", "\ufeffa\r\n\n b", "", " ", "\n", None, "a \n\n\n b ", "a\u2028b", "a\u0085b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", repeated_lines.line_array(F.col("text")).alias("x"), F.transform(F.split("text", "\n"), repeated_lines.clean_line).alias("y")).collect()
+    strip = lambda x: x and "\n".join(x).strip(" ").split("\n")
+    assert all(strip(r["x"]) == strip(r["y"]) for r in got)
+
+
+@pytest.mark.parametrize("line", ["Titel: Wort", "pfad › hier › dort", "a: b – c", "ohne", "a:b", "", "x > y: z", "– a", "a —"])
+def test_heads_are_found_where_the_pattern_finds_them(spark, line):
+    c = F.lit(line)
+    assert spark.range(1).select(main_content._head(c).eqNullSafe(F.regexp_extract(c, rf"^({main_content._HEAD})", 1)).alias("same")).first()["same"]
